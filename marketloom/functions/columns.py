@@ -52,7 +52,7 @@ def lexical_score(text: Column, positive: Iterable[str] = POSITIVE_TERMS,
     """(pos - neg) / (pos + neg) over the words of the whole text; 0 when no word is in the lexicon."""
     positive, negative = list(positive), list(negative)
     words = F.transform(
-        F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"),
+        F.split(F.coalesce(text, F.lit("")), r"(?U)[\s\x1c-\x1f]+"),
         lambda w: F.lower(F.btrim(w, F.lit(STRIPPED_CHARACTERS))),
     )
     known = F.filter(words, lambda w: w.isin(positive + negative))

@@ -85,6 +85,6 @@ def sentiment_summary(articles: DataFrame) -> DataFrame:
 def sentiment_trend(articles: DataFrame) -> DataFrame:
     usable = articles.where(F.col("published_at").isNotNull() & F.col("sentiment_score").isNotNull())
     return usable.groupBy("asset_id", F.to_date("published_at").alias("published_date")).agg(
-        F.bround(ratio(exact_sum("sentiment_score"), F.count("*")), 4).alias("average_sentiment"),
+        F.bround(F.avg(F.col("sentiment_score").cast("decimal(18,10)")), 4).cast("double").alias("average_sentiment"),
         F.count("headline").alias("article_count"),
     )

@@ -131,3 +131,132 @@ def text_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         day.cast("timestamp").alias("published_at"), F.substring_index("text", "\n", 1).alias("headline"),
         score.alias("sentiment_score"),
     ).withColumn("sentiment_label", sentiment_label(F.col("sentiment_score")))
+
+
+def ingestion_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as an ingestion run log: customers request tickers, the order status is the outcome."""
+    o = read(spark, sf_dir, "orders")
+    status = F.col("o_orderstatus")
+    day = F.to_date("o_orderdate")
+    return o.select(
+        F.col("o_orderkey").alias("run_id"),
+        F.concat(F.lit("S"), F.lpad(F.col("o_custkey").cast("string"), 6, "0")).alias("ticker"),
+        F.when(F.substring("o_orderpriority", 1, 1).isin("1", "2", "3"), "feed_f").otherwise("feed_o").alias("provider_name"),
+        F.when(F.col("o_custkey") % 5 == 0, "ETF").otherwise("Equity").alias("asset_type"),
+        F.col("o_orderdate").cast("timestamp").alias("started_at"),
+        F.when(status == "F", "success").when(status == "P", "timeout").otherwise("provider_error").alias("fetch_status"),
+        F.when(status != "F", F.concat(F.lit("status "), status)).alias("error_message"),
+        F.floor("o_totalprice").alias("record_count_fetched"),
+        F.floor(F.col("o_totalprice") / 2).alias("records_written"),
+        F.date_sub(day, 365).alias("coverage_start_date"), day.alias("coverage_end_date"),
+    )
+
+
+def raw_daily_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as raw vendor rows: zoned text dates, missing and NaN closes."""
+    price = F.col("l_extendedprice")
+    net = price * (1 - F.col("l_discount"))
+    return read(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("asset_id"),
+        F.concat(F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit("T23:30:00-05:00")).alias("date"),
+        price.alias("open"), (price + 1).alias("high"), (price - 1).alias("low"),
+        F.when(F.col("l_returnflag") == "R", F.lit(float("nan"))).otherwise(net).alias("close"),
+        F.when(F.col("l_linestatus") == "F", net).alias("adj_close"), F.col("l_quantity").alias("volume"))
+
+
+def raw_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as raw asset records with blank, missing and spelled-out missing values."""
+    key = F.col("c_custkey")
+    return read(spark, sf_dir, "customer").select(
+        F.concat(F.lit(" s"), F.lpad(key.cast("string"), 6, "0"), F.lit(" ")).alias("ticker"),
+        F.when(key % 3 != 0, F.col("c_name")).otherwise("").alias("short_name"),
+        F.when(key % 2 != 0, F.concat(F.lit("Long "), "c_name")).alias("long_name"),
+        F.lower("c_mktsegment").alias("instrument_type"),
+        F.when(key % 4 == 0, "None").when(key % 4 == 1, F.col("c_mktsegment")).alias("quote_type"),
+        F.when(key % 5 == 0, "nan").when(key % 5 == 1, " NYS ").otherwise("").alias("exchange"),
+        F.lit("ARC").alias("fast_exchange"),
+        F.when(key % 6 == 0, "eur").otherwise("").alias("currency"),
+        F.when(key % 7 == 0, "gbp").alias("fast_currency"),
+        F.when(key % 2 == 0, F.col("c_mktsegment")).otherwise("").alias("sector"),
+        F.lit("None").alias("industry"),
+        F.concat(F.lit(" C"), F.col("c_nationkey").cast("string")).alias("country"),
+        F.when(F.col("c_acctbal") < 0, -1).otherwise(15).alias("data_delayed_by"))
+
+
+def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON payloads of the three feed shapes, some of them unusable."""
+    e = read(spark, sf_dir, "events")
+    n = F.col("event_id").cast("string")
+    seconds = F.unix_seconds(F.date_trunc("SECOND", F.col("ts").cast("timestamp")))
+    iso = F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    title = F.concat(F.lit(" beats "), F.col("event_type"), F.lit(" weak growth ")) 
+    url = F.when(F.col("event_type") != "error", F.concat(F.lit("https://raw.test/"), n))
+    source = F.struct(F.concat(F.lit("pub "), "event_type").alias("name"), F.lit("https://p.test").alias("url"))
+    flat = F.to_json(F.struct(
+        F.col("event_id").alias("id"), title.alias("headline"), F.lit("record losses").alias("summary"), url.alias("url"),
+        F.when(F.col("value") > 20, seconds * 1000).otherwise(seconds).alias("datetime"), F.lit("desk").alias("source")))
+    nested = F.to_json(F.struct(
+        F.concat(F.lit("n"), n).alias("id"), title.alias("title"), F.lit("").alias("description"),
+        F.lit("surge; strong, gains!").alias("content"), url.alias("url"), iso.alias("publishedAt"), source.alias("source")))
+    bare = F.to_json(F.struct(title.alias("title"), F.col("props").alias("description"), url.alias("url"),
+                              iso.alias("publishedAt"), source.alias("source")))
+    shape = (F.when(F.col("event_type").isin("click", "error"), "flat")
+             .when(F.col("event_type") == "view", "nested").otherwise("nested_without_id"))
+    return e.select("event_id", F.col("user_id").alias("asset_id"), shape.alias("shape"),
+                    F.when(shape == "flat", flat).when(shape == "nested", nested).otherwise(bare).alias("payload"))
+
+
+def price_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Re-quoted bars from returned lines: some replace a stored bar, the batch arrives a day later."""
+    ticks = read(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R")
+    daily = ticks.groupBy(
+        F.col("l_suppkey").alias("asset_id"),
+        F.when(F.col("l_linestatus") == "F", 1).otherwise(2).cast("long").alias("source_id"),
+        F.to_date("l_shipdate").alias("price_date")).agg(*_bar_columns())
+    stamp = F.timestamp_add("HOUR", F.lit(42) + F.col("source_id").cast("int"), F.col("price_date").cast("timestamp"))
+    return daily.select("*", F.lit(None).cast("double").alias("open_price"), F.col("close_price").alias("adjusted_close"),
+                        stamp.alias("ingestion_timestamp"))
+
+
+def news_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second news batch: same id with a new url, same url without an id, or an entirely new article."""
+    kind = F.col("publisher_name")
+    moved = F.concat("url", F.lit("/v2"))
+    return news_articles(spark, sf_dir).withColumns({
+        "provider_article_id": F.when(kind == "desk view", F.lit(None)).when(
+            kind == "desk click", F.concat(F.lit("new-"), "provider_article_id")).otherwise(F.col("provider_article_id")),
+        "url": F.when(kind.isin("desk signup", "desk click"), moved).otherwise(F.col("url")),
+        "headline": F.concat(F.lit(" Update "), "headline", F.lit(" ")),
+        "ingestion_timestamp": F.timestamp_add("HOUR", F.lit(5), F.col("published_at")),
+    })
+
+
+def stored_predictions(model_rows: DataFrame) -> DataFrame:
+    """A prediction per asset and date, made from features alone, in the stored form."""
+    from marketloom.plans.score import MODEL_FAMILY, TARGET_NAME, signal_columns
+
+    raw = model_rows.where(F.col("momentum_20d").isNotNull()).withColumns({
+        "raw_return": F.least(F.greatest(F.col("momentum_20d"), F.lit(-0.6)), F.lit(0.6)),
+        "raw_challenger": F.col("trailing_return_60d"),
+        "raw_probability": 1.0 / (1.0 + F.exp(-3.0 * F.col("momentum_5d")))})
+    signal = signal_columns(raw, F.lit(0.25))
+    return signal.select(
+        "asset_id", F.col("feature_date").alias("as_of_date"), F.lit(20).alias("prediction_horizon_days"),
+        F.concat(F.lit("run-"), F.year("feature_date").cast("string")).alias("model_run_id"),
+        F.lit("ridge_regression").alias("regression_model_name"),
+        F.lit("random_forest_classifier").alias("classification_model_name"),
+        F.lit("ridge_regression").alias("selected_model_name"), F.lit(MODEL_FAMILY).alias("model_family"),
+        F.lit(TARGET_NAME).alias("target_name"),
+        "predicted_return_20d", "downside_probability_20d", "probability_positive_20d",
+        "predicted_negative_return_flag", "composite_ml_score", "confidence_score", "directional_signal",
+        "history_score", "risk_score", "sentiment_score",
+        *[(0.1 * F.col(f"{p}_score")).alias(f"{p}_contribution") for p in ("history", "risk", "sentiment")],
+        F.timestamp_add("DAY", F.lit(1), F.col("feature_date").cast("timestamp")).alias("prediction_generated_at"))
+
+
+def model_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    years = read(spark, sf_dir, "lineitem", "l_shipdate").select(F.year("l_shipdate").alias("y")).distinct()
+    y = F.col("y").cast("string")
+    return years.select(
+        F.concat(F.lit("run-"), y).alias("run_id"), F.make_date("y", F.lit(12), F.lit(31)).cast("timestamp").alias("run_timestamp"),
+        F.concat(F.lit('{"year": '), y, F.lit("}")).alias("evaluation_summary"), F.lit("v1").alias("feature_version"))
