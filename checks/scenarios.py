@@ -17,9 +17,9 @@ select asset_id, last_price as starting_price, daily_drift, daily_volatility, re
        daily_drift * 252 as annualized_drift, daily_volatility * sqrt(252.0) as annualized_volatility
 from x_kpi where return_count >= 2
 """
-# calm inputs: the generated prices jump so much that raw paths would overflow any rounding
+# calm, indexed inputs: the generated prices jump so much that raw paths would overflow any rounding
 BLOCKS["x_calm"] = """
-select asset_id, starting_price, daily_drift / 1000 as daily_drift, daily_volatility / 1000 as daily_volatility from x_input
+select asset_id, 100.0::double as starting_price, daily_drift / 1000 as daily_drift, daily_volatility / 1000 as daily_volatility from x_input
 """
 BLOCKS["x_shock"] = f"""
 select asset_id, path_id, step, sqrt(-2 * ln((u + 0.5) / 4503599627370496.0)) * cos(2 * pi() * ((v + 0.5) / 4503599627370496.0)) as z
@@ -39,7 +39,7 @@ _INPUTS = "daily_drift daily_volatility annualized_drift annualized_volatility"
 
 def calm(spark, sf):
     return sc.scenario_inputs(u.bars(spark, sf)).withColumns(
-        {c: F.col(c) / 1000.0 for c in ("daily_drift", "daily_volatility")})
+        {"starting_price": F.lit(100.0), **{c: F.col(c) / 1000.0 for c in ("daily_drift", "daily_volatility")}})
 
 
 def paths(spark, sf):
@@ -55,7 +55,7 @@ def _(spark, sf):
     return sc.scenario_inputs(u.bars(spark, sf))
 
 
-@check("n01_scenario_paths", "select asset_id, path_id, step, price from x_path", rounds="price", digits=5)
+@check("n01_scenario_paths", "select asset_id, path_id, step, price from x_path", rounds="price")
 def _(spark, sf):
     return paths(spark, sf).drop("starting_price")
 
@@ -70,14 +70,14 @@ select asset_id, any_value(starting_price) as starting_price, avg(terminal_price
   {', '.join(f'quantile_cont(terminal_price, {q}) as {n}_terminal_price' for q, n in _Q.items())},
   avg((terminal_price > starting_price)::int) as probability_above_start,
   avg((terminal_price < starting_price)::int) as probability_below_start
-from x_terminal group by 1""", rounds=_TERM, digits=5)
+from x_terminal group by 1""", rounds=_TERM)
 def _(spark, sf):
     return sc.terminal_summary(terminal(spark, sf))
 
 
 @check("n03_percentile_bands", f"""
 select asset_id, step, {', '.join(f'quantile_cont(price, {q}) as p{int(q * 100):02d}' for q in _Q)} from x_path group by 1, 2""",
-       rounds="p05 p25 p50 p75 p95", digits=5)
+       rounds="p05 p25 p50 p75 p95")
 def _(spark, sf):
     return sc.percentile_bands(paths(spark, sf))
 
@@ -123,7 +123,7 @@ def _(spark, sf):
 
 @check("n06_display_paths", """
 select asset_id, step, price, path_id from x_path where path_id <= 15
-union all select asset_id, step, quantile_cont(price, 0.5), 0 from x_path group by 1, 2""", rounds="price", digits=5)
+union all select asset_id, step, quantile_cont(price, 0.5), 0 from x_path group by 1, 2""", rounds="price")
 def _(spark, sf):
     return sc.display_paths(paths(spark, sf), 15)
 
@@ -131,7 +131,7 @@ def _(spark, sf):
 @check("a20_terminal_histogram", """
 select asset_id, least(floor((terminal_price - lo) * 36 / (hi - lo)) + 1, 36)::int as bin, lo as low, hi as high, count(*) as paths
 from x_terminal join (select asset_id, min(terminal_price) as lo, max(terminal_price) as hi from x_terminal group by 1) using (asset_id)
-group by all""", rounds="low high", digits=5)
+group by all""", rounds="low high")
 def _(spark, sf):
     return sc.terminal_histogram(terminal(spark, sf))
 
