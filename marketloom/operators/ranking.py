@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,88 +36,121 @@ def dense_row_number(df: DataFrame, order: list[str], name: str) -> DataFrame:
 
 BINS = 2048
 SMALL_ENOUGH = 5_000
+SAMPLE_ROWS = 20_000
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probability: float = 0.5) -> dict[str, float | None]:
     """Exact linear-interpolated quantile of several columns over the whole frame.
 
-    ``percentile`` would hold every distinct value in one task. Here each pass counts values in
-    ``BINS`` equal bins of the interval that still contains the wanted rank, for all open columns at
-    once, and narrows the interval to one bin; only when few rows remain are their values fetched.
-    The driver sees at most BINS counts per interval and pass. Missing values are skipped.
+    ``percentile`` would hold every distinct value in one task. Here each pass counts all values of all
+    columns below, in equal bins of, and above an interval around the wanted rank, and narrows the
+    interval to the part that holds it; only when few rows remain are their values fetched. A small
+    sample suggests the first intervals; the counts decide, so a poor sample costs a pass, not exactness.
+
+    Tasks count in numpy and emit at most ``BINS`` partial counts per interval, which Spark adds up; the
+    driver sees as many. Missing values are skipped. ``df`` is scanned a few times: persist it.
     """
-    ends = df.agg(*[f(c).alias(f"{c}{tag}") for c in columns
-                    for f, tag in ((F.count, "_n"), (F.min, "_lo"), (F.max, "_hi"))]).first() if columns else None
-    found: dict[tuple[str, int], float] = {}
-    open_targets = []
+    if not columns:
+        return {}
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    sample = values.sample(min(1.0, SAMPLE_ROWS / max(df.count(), 1)), seed=7).toPandas()
+    near = [max(probability - 0.02, 0.0), min(probability + 0.02, 1.0)]
+    spans = []
     for c in columns:
-        for rank in _ranks(ends[f"{c}_n"], probability):
-            # k is the wanted position among the n values inside [lo, hi]
-            open_targets.append(dict(column=c, rank=rank, k=rank, n=ends[f"{c}_n"],
-                                     lo=float(ends[f"{c}_lo"]), hi=float(ends[f"{c}_hi"])))
-    while open_targets:
-        for t in open_targets:
-            if t["lo"] == t["hi"]:
-                found[t["column"], t["rank"]] = t["lo"]
-        open_targets = [t for t in open_targets if t["lo"] < t["hi"]]
-        last = [t for t in open_targets if t["n"] <= SMALL_ENOUGH]
-        wide = [t for t in open_targets if t["n"] > SMALL_ENOUGH]
-        for t, groups in _grouped(df, last, ["_v"]):
-            row, _ = _at_position(groups, t["k"])
-            found[t["column"], t["rank"]] = row["lo"]
-        for t, groups in _grouped(df, wide, ["_bin"]):
-            row, before = _at_position(groups, t["k"])
-            t.update(k=t["k"] - before, n=row["n"], lo=row["lo"], hi=row["hi"])
-        open_targets = wide
-    result: dict[str, float | None] = {}
+        known = sample[c].dropna()
+        spans.append((c, *map(float, known.quantile(near))) if len(known) else (c, 0.0, 0.0))
+    totals: dict[str, int] = {}
+    found: dict[tuple[str, int], float] = {}
+    targets: list[dict] = []
+    for (c, _, _), groups in _counted(values, spans, keep_values=False).items():
+        totals[c] = sum(g["n"] for g in groups)
+        for rank in _ranks(totals[c], probability):
+            targets.append(dict(column=c, rank=rank, **_at_rank(groups, rank)))
+    while targets:
+        found.update({(t["column"], t["rank"]): t["lo"] for t in targets if t["lo"] == t["hi"]})
+        targets = [t for t in targets if t["lo"] < t["hi"]]
+        few = [t for t in targets if t["n"] <= SMALL_ENOUGH]
+        many = [t for t in targets if t["n"] > SMALL_ENOUGH]
+        for batch, keep_values in ((few, True), (many, False)):
+            counted = _counted(values, [(t["column"], t["lo"], t["hi"]) for t in batch], keep_values)
+            for t in batch:
+                t.update(_at_rank(counted[t["column"], t["lo"], t["hi"]], t["rank"]))
+    result: dict[str, float | None] = {c: None for c in columns}
     for c in columns:
-        n = ends[f"{c}_n"]
-        if not n:
-            result[c] = None
-            continue
-        low, high = min(_ranks(n, probability)), max(_ranks(n, probability))
-        result[c] = found[c, low] + (found[c, high] - found[c, low]) * (probability * (n - 1) - low)
+        ranks = _ranks(totals.get(c, 0), probability)
+        if ranks:
+            low, high = ranks[0], ranks[-1]
+            part = probability * (totals[c] - 1) - low
+            result[c] = found[c, low] + (found[c, high] - found[c, low]) * part
     return result
 
 
-def _ranks(n: int, probability: float) -> set[int]:
+def _ranks(n: int, probability: float) -> list[int]:
+    """The one or two positions an interpolated quantile lies between."""
     if not n:
-        return set()
+        return []
     low = int(probability * (n - 1))
-    return {low, min(low + 1, n - 1)}
-
-
-def _grouped(df: DataFrame, targets: list[dict], by: list[str]):
-    """Yield (target, its groups in value order); one Spark job serves all targets."""
-    if not targets:
-        return
-    spans = _spans(targets)
-    rows = _in_spans(df, spans).groupBy("_span", *by).agg(
-        F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect()
-    for t in targets:
-        i = spans.index((t["column"], t["lo"], t["hi"]))
-        yield t, sorted((r for r in rows if r["_span"] == i), key=lambda r: r["lo"])
-
-
-def _at_position(groups, k: int):
-    before = 0
-    for row in groups:
-        if k < before + row["n"]:
-            return row, before
-        before += row["n"]
-    raise ValueError("the frame changed between passes")
+    return sorted({low, min(low + 1, n - 1)})
 
 
-def _spans(targets: list[dict]) -> list[tuple[str, float, float]]:
-    return sorted({(t["column"], t["lo"], t["hi"]) for t in targets})
+def _at_rank(groups: list[dict], rank: int) -> dict:
+    """Number and extent of the group that holds a rank."""
+    seen = 0
+    for g in groups:
+        seen += g["n"]
+        if rank < seen:
+            return {k: g[k] for k in ("n", "lo", "hi")}
+    raise ValueError("the frame changed between passes")
 
 
-def _in_spans(df: DataFrame, spans: list[tuple[str, float, float]]) -> DataFrame:
-    """(span number, bin, value) of every value inside one of the open intervals."""
-    cells = []
-    for i, (c, lo, hi) in enumerate(spans):
-        v = F.col(c).cast("double")
-        place = F.floor((v - lo) / ((hi - lo) / BINS if (hi - lo) / BINS > 0 else hi - lo))
-        cells.append(F.when((v >= lo) & (v <= hi), F.struct(
-            F.lit(i).alias("_span"), F.least(place, F.lit(BINS)).alias("_bin"), v.alias("_v"))))
-    return df.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).select("c.*")
+def _counted(values: DataFrame, spans: list[tuple[str, float, float]], keep_values: bool) -> dict[tuple, list[dict]]:
+    """Groups in value order for each interval; one Spark job serves all intervals."""
+    spans = sorted(set(spans))
+    if not spans:
+        return {}
+    parts = values.select(*dict.fromkeys(c for c, _, _ in spans)).mapInPandas(
+        _count_parts(spans, keep_values), "span int, bin long, n long, lo double, hi double")
+    # inside a narrow interval every value is a group of its own
+    value = F.when((F.col("bin") >= 0) & (F.col("bin") <= BINS), F.col("lo")) if keep_values else F.lit(None)
+    rows = parts.groupBy("span", "bin", value.alias("value")).agg(
+        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
+    groups: dict[tuple, list[dict]] = {s: [] for s in spans}
+    for r in sorted(rows, key=lambda r: (r["span"], r["lo"])):
+        groups[spans[r["span"]]].append(r.asDict())
+    return groups
+
+
+def _count_parts(spans: list[tuple[str, float, float]], keep_values: bool):
+    """Partial groups of one task: bin -1 lies below the interval, bin ``BINS`` + 1 above it."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shape = (len(spans), BINS + 3)
+        n, low, high = np.zeros(shape, dtype=np.int64), np.full(shape, np.inf), np.full(shape, -np.inf)
+
+        def add(i, at, count, first, last):
+            n[i, at] += count
+            low[i, at] = np.minimum(low[i, at], first)
+            high[i, at] = np.maximum(high[i, at], last)
+        for batch in batches:
+            for i, (column, lo, hi) in enumerate(spans):
+                v = batch[column].to_numpy(dtype=float, na_value=np.nan)
+                under, over = v[v < lo], v[v > hi]
+                inside = np.sort(v[(v >= lo) & (v <= hi)])
+                if len(under):
+                    add(i, 0, len(under), under.min(), under.max())
+                if len(over):
+                    add(i, BINS + 2, len(over), over.min(), over.max())
+                if not len(inside):
+                    continue
+                if keep_values:
+                    distinct, counts = np.unique(inside, return_counts=True)
+                    yield pd.DataFrame({"span": np.int32(i), "bin": np.int64(0), "n": counts, "lo": distinct, "hi": distinct})
+                    continue
+                width = (hi - lo) / BINS or (hi - lo) or 1.0
+                bins = np.minimum((inside - lo) / width, BINS).astype(np.int64)
+                starts = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
+                ends = np.r_[starts[1:], len(inside)]
+                add(i, bins[starts] + 1, ends - starts, inside[starts], inside[ends - 1])
+        span_of, bin_of = np.nonzero(n)
+        yield pd.DataFrame({"span": span_of.astype(np.int32), "bin": bin_of - 1, "n": n[span_of, bin_of],
+                            "lo": low[span_of, bin_of], "hi": high[span_of, bin_of]})
+    return run

@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.columns import ratio
 from marketloom.operators.risk import annualize
-from marketloom.operators.windows import full_window, history, last_rows, series
+from marketloom.operators.windows import history, last_rows, series
 from marketloom.sources.schemas import FEATURE_VERSION, TECHNICAL_COLUMNS
 
 
-def _rolled(aggregate, column: str, n: int):
-    return full_window(aggregate(F.col(column)), F.col(column), n, last_rows(n))
+def _rolled(aggregate, column: str, n: int, seen: str):
+    """Aggregate over the last ``n`` rows, missing unless all of them have a value.
+
+    ``seen`` is the running number of values, so the test is a difference of two counts and the sliding
+    frames carry the aggregates alone.
+    """
+    present = F.col(seen) - F.coalesce(F.lag(seen, n).over(series()), F.lit(0))
+    return F.when(present == n, aggregate(F.col(column)).over(last_rows(n)))
 
 
 def technical_features(bars: DataFrame, price: str = "analysis_price", keep_targets_for: int | None = None) -> DataFrame:
@@ -36,17 +42,21 @@ def technical_features(bars: DataFrame, price: str = "analysis_price", keep_targ
         *([F.lead(p, keep_targets_for).over(w).alias("future_price")] if keep_targets_for else []),
     ).withColumn("downside_return", F.when(F.col("daily_return").isNotNull(),
                                            F.least(F.col("daily_return"), F.lit(0.0))))
-    volume_mean = _rolled(F.avg, "volume", 20)
-    volume_std = _rolled(F.stddev_samp, "volume", 20)
+    # running counts of the values behind each rolling statistic
+    level_1 = level_1.withColumns({
+        f"seen_{name}": F.count(c).over(history()) for name, c in
+        (("price", "analysis_price"), ("return", "daily_return"), ("log", "log_return"), ("volume", "volume"))})
+    volume_mean = _rolled(F.avg, "volume", 20, "seen_volume")
+    volume_std = _rolled(F.stddev_samp, "volume", 20, "seen_volume")
     computed = {
         **{f"return_lag_{k}d": F.lag("daily_return", k).over(w) for k in (1, 5, 10)},
-        **{f"rolling_mean_return_{n}d": _rolled(F.avg, "daily_return", n) for n in (5, 20)},
-        **{f"rolling_volatility_{n}d": _rolled(F.stddev_samp, "daily_return", n) for n in (10, 20)},
-        "realized_volatility_20d": annualize(_rolled(F.stddev_samp, "log_return", 20)),
-        "recent_realized_volatility_5d": annualize(_rolled(F.stddev_samp, "log_return", 5)),
-        **{f"ma_distance_{n}d": ratio(p, _rolled(F.avg, "analysis_price", n)) - 1.0 for n in (10, 20)},
-        "rolling_drawdown_20d": _rolled(F.min, "drawdown_from_peak", 20),
-        "downside_volatility_20d": _rolled(F.stddev_samp, "downside_return", 20),
+        **{f"rolling_mean_return_{n}d": _rolled(F.avg, "daily_return", n, "seen_return") for n in (5, 20)},
+        **{f"rolling_volatility_{n}d": _rolled(F.stddev_samp, "daily_return", n, "seen_return") for n in (10, 20)},
+        "realized_volatility_20d": annualize(_rolled(F.stddev_samp, "log_return", 20, "seen_log")),
+        "recent_realized_volatility_5d": annualize(_rolled(F.stddev_samp, "log_return", 5, "seen_log")),
+        **{f"ma_distance_{n}d": ratio(p, _rolled(F.avg, "analysis_price", n, "seen_price")) - 1.0 for n in (10, 20)},
+        "rolling_drawdown_20d": _rolled(F.min, "drawdown_from_peak", 20, "seen_price"),
+        "downside_volatility_20d": _rolled(F.stddev_samp, "downside_return", 20, "seen_return"),
         "intraday_range_pct": ratio(F.col("high_price") - F.col("low_price"), p),
         "volume_ratio_20d": ratio(v, volume_mean),
         "volume_zscore_20d": ratio(v - volume_mean, volume_std),

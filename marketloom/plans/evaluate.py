@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -111,7 +112,8 @@ def _block_moments(width: int, flush_at: int = 256):
         totals: dict[int, np.ndarray] = {}
 
         def emit():
-            return pd.DataFrame({"block": list(totals), "m": [g.ravel() for g in totals.values()]})
+            # the matrix is symmetric: its upper triangle is enough
+            return pd.DataFrame({"block": list(totals), "m": [g[np.triu_indices(width)] for g in totals.values()]})
         for batch in batches:
             if batch.empty:
                 continue
@@ -129,12 +131,14 @@ def _block_moments(width: int, flush_at: int = 256):
     return run
 
 
-def _ridge_from_moments(width: int, alpha: float):
+def _ridge_from_moments(width: int, alpha: float, center: list[float], scale: list[float]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             solved = []
             for fold, m in zip(batch["fold"], batch["m"]):
-                g = np.asarray(m, dtype=float).reshape(width, width)
+                g = np.zeros((width, width))
+                g[np.triu_indices(width)] = np.asarray(m, dtype=float)
+                g = g + np.triu(g, 1).T
                 n = g[0, 0]
                 mean, y_mean = g[0, 1:-1] / n, g[0, -1] / n
                 covariance = g[1:-1, 1:-1] / n - np.outer(mean, mean)
@@ -143,13 +147,16 @@ def _ridge_from_moments(width: int, alpha: float):
                 z_y = (g[1:-1, -1] - mean * g[0, -1]) / spread
                 z_z = n * covariance / np.outer(spread, spread) + alpha * np.eye(width - 2)
                 slope = np.linalg.solve(z_z, z_y) / spread
-                solved.append((int(fold), int(n), float(y_mean - slope @ mean), slope.tolist()))
-            yield pd.DataFrame(solved, columns=["fold", "train_rows", "intercept", "slope"])
+                # back from the globally standardized columns to the original units
+                weights = slope / np.asarray(scale)
+                intercept = y_mean - slope @ mean - weights @ np.asarray(center)
+                solved.append((int(fold), int(n), float(intercept), weights.tolist()))
+            yield pd.DataFrame(solved, columns=["fold", "train_rows", "intercept", "weights"])
     return run
 
 
 def ridge_folds(blocked: DataFrame, features: list[str], alpha: float = 2.0, target: str = RETURN_TARGET) -> DataFrame:
-    """Ridge coefficients of every fold: (fold, train_rows, intercept, slope, center, scale).
+    """Ridge coefficients of every fold: (fold, train_rows, intercept, weights).
 
     One pass collects cross-products per block, running sums turn them into the training moments of
     each fold, and every fold is solved in a task of its own. Nothing is refitted from rows, and only
@@ -166,22 +173,18 @@ def ridge_folds(blocked: DataFrame, features: list[str], alpha: float = 2.0, tar
     cells = moments.select("block", F.posexplode("m").alias("pos", "v")).groupBy("block", "pos").agg(F.sum("v").alias("v"))
     before = Window.partitionBy("pos").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     training = cells.withColumn("v", F.sum("v").over(before)).where(F.col("block") > 0)
-    # width² cells per fold, whatever the number of rows
+    # about width²/2 cells per fold, whatever the number of rows
     packed = training.groupBy(F.col("block").alias("fold")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("m"))
-    solved = packed.mapInPandas(_ridge_from_moments(width, alpha),
-                                "fold int, train_rows long, intercept double, slope array<double>")
-    return solved.select("*", F.array(*map(F.lit, center)).alias("center"), F.array(*map(F.lit, scale)).alias("scale"))
+    return packed.mapInPandas(_ridge_from_moments(width, alpha, center, scale),
+                              "fold int, train_rows long, intercept double, weights array<double>")
 
 
 def ridge_fold_metrics(blocked: DataFrame, features: list[str], alpha: float = 2.0,
                        target: str = RETURN_TARGET) -> DataFrame:
     """Test metrics of the ridge of every fold."""
     models = ridge_folds(blocked, features, alpha, target)
-    test = blocked.where(F.col("block") > 0).select(
-        F.col("block").alias("fold"), target, F.array(*[F.col(c) for c in features]).alias("x"))
-    z = F.zip_with("x", F.zip_with("center", "scale", lambda m, s: F.struct(m.alias("m"), s.alias("s"))),
-                   lambda v, ms: (v - ms["m"]) / ms["s"])
-    dot = F.aggregate(F.zip_with(z, "slope", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+    test = blocked.where(F.col("block") > 0).withColumn("fold", F.col("block"))
+    dot = reduce(lambda a, b: a + b, [F.col(c) * F.col("weights")[i] for i, c in enumerate(features)])
     scored = test.join(models, "fold").select("fold", target, (F.col("intercept") + dot).alias("prediction"))
     return regression_metrics(scored, ["fold"], target)

@@ -16,6 +16,8 @@ SESSION_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Joins on (asset_id, date) may reuse the asset partitioning of the windows around them.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
