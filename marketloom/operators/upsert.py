@@ -108,10 +108,11 @@ def upsert_news(existing: DataFrame, new: DataFrame) -> DataFrame:
     batch = latest_per_key(by_id.unionByName(tidy.where(F.col("provider_article_id").isNull()))
                            .withColumn("_id", F.coalesce("provider_article_id", F.lit(""))),
                            [*scope, "url"], [*order, "_id"]).drop("_id")
+    # keys of every incoming article, also of those replaced later in the same batch
     kept = (existing
-            .join(batch.where(F.col("provider_article_id").isNotNull()).select(*scope, "provider_article_id"),
+            .join(tidy.where(F.col("provider_article_id").isNotNull()).select(*scope, "provider_article_id"),
                   [*scope, "provider_article_id"], "left_anti")
-            .join(batch.select(*scope, "url"), [*scope, "url"], "left_anti"))
+            .join(tidy.select(*scope, "url"), [*scope, "url"], "left_anti"))
     if "created_at" in existing.columns:
         id_match = existing.where(F.col("provider_article_id").isNotNull()).select(
             *scope, "provider_article_id", F.col("created_at").alias("_created_by_id"))
