@@ -102,8 +102,8 @@ select asset_id, source_id, price_date, ingestion_timestamp, volume from x_feed
 def _(spark, sf):
     table = LakeTable(spark, scratch_path(spark, "lake"), "historical_prices", ["ingestion_timestamp"])
     table.write_batch(u.historical_prices(spark, sf), 0)
-    table.write_batch(u.price_corrections(spark, sf), 1)
-    compacted = table.compact(scratch_path(spark, "lake"))
+    compacted = table.compact(scratch_path(spark, "snapshot"))
+    compacted.write_batch(u.price_corrections(spark, sf), 1)
     return compacted.current().select("asset_id", "source_id", "price_date", "ingestion_timestamp", "volume")
 
 

@@ -173,12 +173,14 @@ def table_inventory(tables: dict[str, DataFrame]) -> DataFrame:
 
 def recent_news(articles: DataFrame, assets: DataFrame, sources: DataFrame, ticker: str | None = None,
                 limit: int = 20, start=None, end=None) -> DataFrame:
-    """Newest ``limit`` articles of one asset, or of every asset."""
-    rows = (_between_days(articles, "published_at", start, end)
-            .join(_only(assets, ticker).select("asset_id", "ticker"), "asset_id")
-            .join(sources.select("source_id", "source_name"), "source_id"))
+    """Newest ``limit`` articles of one asset, or of every asset (cut per asset before the joins)."""
     newest = [F.desc("published_at"), F.asc("url")]
-    picked = (newest_rows(rows, limit, ["asset_id"], newest) if ticker is None else rows.orderBy(*newest).limit(limit))
+    rows = _between_days(articles, "published_at", start, end)
+    if ticker is None:
+        rows = newest_rows(rows, limit, ["asset_id"], newest)
+    joined = (rows.join(_only(assets, ticker).select("asset_id", "ticker"), "asset_id")
+              .join(sources.select("source_id", "source_name"), "source_id"))
+    picked = joined if ticker is None else joined.orderBy(*newest).limit(limit)
     return picked.select("ticker", "publisher_name", "headline", "summary", "url", "published_at", "sentiment_score",
                          "sentiment_label", "query_text", "source_name", "ingestion_timestamp")
 

@@ -105,6 +105,8 @@ def mean_of_folds(per_fold: DataFrame, metrics: list[str]) -> DataFrame:
     return per_fold.agg(F.count("*").alias("folds"), *[F.avg(m).alias(m) for m in metrics])
 
 
+BROADCAST_BYTES = 8 * 1024 * 1024
+
 # --- ridge for all folds from additive moments ---------------------------------------------------
 
 def _block_moments(width: int, flush_at: int = 256):
@@ -158,12 +160,15 @@ def _ridge_from_moments(width: int, alpha: float, center: list[float], scale: li
 def ridge_folds(blocked: DataFrame, features: list[str], alpha: float = 2.0, target: str = RETURN_TARGET) -> DataFrame:
     """Ridge coefficients of every fold: (fold, train_rows, intercept, weights).
 
+    A table of few folds carries a broadcast hint; its size is known from the block numbers.
+
     One pass collects cross-products per block, running sums turn them into the training moments of
     each fold, and every fold is solved in a task of its own. Nothing is refitted from rows, and only
     the column means and deviations reach the driver.
     """
     usable = blocked.where(F.col("block").isNotNull() & F.col(target).isNotNull())
-    stats = usable.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in features]).first()
+    stats = usable.agg(F.max("block").alias("last_block"), *[
+        F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in features]).first()
     center = [stats[c]["m"] or 0.0 for c in features]
     scale = [stats[c]["s"] or 1.0 for c in features]
     width = len(features) + 2
@@ -176,8 +181,10 @@ def ridge_folds(blocked: DataFrame, features: list[str], alpha: float = 2.0, tar
     # about width²/2 cells per fold, whatever the number of rows
     packed = training.groupBy(F.col("block").alias("fold")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("m"))
-    return packed.mapInPandas(_ridge_from_moments(width, alpha, center, scale),
-                              "fold int, train_rows long, intercept double, weights array<double>")
+    solved = packed.mapInPandas(_ridge_from_moments(width, alpha, center, scale),
+                                "fold int, train_rows long, intercept double, weights array<double>")
+    size = (stats["last_block"] or 0) * (width + 4) * 8
+    return F.broadcast(solved) if size <= BROADCAST_BYTES else solved
 
 
 def ridge_fold_metrics(blocked: DataFrame, features: list[str], alpha: float = 2.0,

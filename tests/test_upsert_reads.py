@@ -154,6 +154,24 @@ def test_lake_table_batches_are_idempotent(spark):
     assert table.batches().count() == 2 and [r.feature_version for r in table.current().collect()] == ["v2"]
 
 
+def test_snapshot_is_not_reshuffled(spark):
+    def bars(close, n, stamp):
+        return spark.range(n).select(
+            F.col("id").alias("asset_id"), F.lit(1).cast("long").alias("source_id"), F.lit(dt.date(2026, 1, 2)).alias("price_date"),
+            F.lit(close).alias("close_price"), F.lit(stamp).alias("ingestion_timestamp"), F.lit(stamp).alias("created_at"))
+    root = scratch_path(spark, "t")
+    table = LakeTable(spark, root, "historical_prices", ["ingestion_timestamp"])
+    table.write_batch(bars(1.0, 100, T0), 0)
+    table = table.compact(f"{root}/snapshot-1")
+    assert table.current().count() == 100
+    table.write_batch(bars(2.0, 3, T0 + dt.timedelta(days=1)), 1)
+    rows = table.current().collect()
+    assert len(rows) == 100 and sorted(float(r.close_price) for r in rows)[-3:] == [2.0] * 3
+    assert {r.created_at for r in rows} == {T0}
+    table = table.compact(f"{root}/snapshot-2")
+    assert table.since_batch == 2 and table.current().count() == 100
+
+
 def test_top_rows_are_limited_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("asset_id"), F.col("id").alias("v"))
     top = reads.newest_rows(df, 4, ["asset_id"], [F.desc("v")])
