@@ -77,6 +77,54 @@ def _(spark, sf):
     return evaluate.ridge_fold_metrics(evaluate.fold_blocks(imputed(spark, sf)), mf.MODEL_FEATURES)
 
 
+# Two features keep the closed form short enough for SQL.
+PAIR = ["momentum_20d", "volume_ratio_20d"]
+BLOCKS["x_pair"] = f"""
+select t.asset_id, t.feature_date, block, momentum_20d as a, volume_ratio_20d as b, t.{RETURN_TARGET} as y
+from x_tech t join x_block k on k.asset_id = t.asset_id and k.feature_date = t.feature_date
+where momentum_20d is not null and volume_ratio_20d is not null and t.{RETURN_TARGET} is not null
+"""
+
+
+def pair_rows(spark, sf):
+    return technical_rows(spark, sf).select("asset_id", "feature_date", RETURN_TARGET, *PAIR)
+
+
+@check("m04_ridge_closed_form", """
+with m as (select count(*) as n, avg(a) as ma, avg(b) as mb, avg(y) as my, stddev_pop(a) as sa, stddev_pop(b) as sb from x_pair),
+s as (select sum((a - ma) / sa * y) as s1, sum((b - mb) / sb * y) as s2, sum((a - ma) / sa * (b - mb) / sb) as c from x_pair, m),
+w as (select *, ((n + 2) * s1 - c * s2) / ((n + 2) * (n + 2) - c * c) / sa as wa,
+             ((n + 2) * s2 - c * s1) / ((n + 2) * (n + 2) - c * c) / sb as wb from m, s)
+select 'momentum_20d' as feature, wa as coefficient from w union all select 'volume_ratio_20d', wb from w
+union all select 'intercept', my - wa * ma - wb * mb from w""", rounds="coefficient", digits=8)
+def _(spark, sf):
+    rows = pair_rows(spark, sf).dropna().persist()
+    model = train.fit_ridge(train.regression_rows(train.with_vector(rows, PAIR)))
+    pairs = [(f, float(c)) for f, c in zip(PAIR, model.coefficients)] + [("intercept", float(model.intercept))]
+    return spark.createDataFrame(pairs, "feature string, coefficient double")
+
+
+@check("m05_ridge_folds_closed_form", """
+with g as (select avg(a) as ga, avg(b) as gb from x_pair),
+k as (select block, count(*) as n, sum(a - ga) as a, sum(b - gb) as b, sum(y) as y, sum((a - ga) * (a - ga)) as aa,
+        sum((b - gb) * (b - gb)) as bb, sum((a - ga) * (b - gb)) as ab, sum((a - ga) * y) as ay, sum((b - gb) * y) as yb
+      from x_pair, g where block is not null group by 1),
+t as (select block, sum(n) over w as n, sum(a) over w as a, sum(b) over w as b, sum(y) over w as y, sum(aa) over w as aa,
+        sum(bb) over w as bb, sum(ab) over w as ab, sum(ay) over w as ay, sum(yb) over w as yb from k
+      window w as (order by block rows between unbounded preceding and 1 preceding)),
+z as (select block, n, a / n as ma, b / n as mb, y / n as my, sqrt(aa / n - (a / n) * (a / n)) as sa,
+        sqrt(bb / n - (b / n) * (b / n)) as sb, ab - a * b / n as cab, ay - a * y / n as cay, yb - b * y / n as cby from t where block > 0),
+c as (select *, cab / (sa * sb) as r, cay / sa as s1, cby / sb as s2 from z),
+w as (select *, ((n + 2) * s1 - r * s2) / ((n + 2) * (n + 2) - r * r) / sa as wa,
+             ((n + 2) * s2 - r * s1) / ((n + 2) * (n + 2) - r * r) / sb as wb from c),
+p as (select x.block as fold, x.y, my + wa * (x.a - ga - ma) + wb * (x.b - gb - mb) as p from x_pair x join w on w.block = x.block, g)
+select fold, count(*) as rows, avg(abs(y - p)) as mae, sqrt(avg((y - p) * (y - p))) as rmse,
+       avg(((y >= 0) = (p >= 0))::int) as directional_accuracy from p group by 1""", rounds="mae rmse directional_accuracy")
+def _(spark, sf):
+    blocked = evaluate.fold_blocks(pair_rows(spark, sf)).dropna(subset=PAIR).persist()
+    return evaluate.ridge_fold_metrics(blocked, PAIR)
+
+
 @check("m06_forest_regressor")
 def _(spark, sf):
     vectors = train.with_vector(imputed(spark, sf, CORE), CORE).persist()
