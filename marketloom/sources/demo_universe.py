@@ -51,13 +51,14 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bar_columns():
-    amount = F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double")
-    quantity = F.sum(F.col("l_quantity").cast("decimal(18,2)"))
+    # sums in whole cents: exact in any order, and cheaper than decimals
+    amount = F.sum(F.rint(F.col("l_extendedprice") * 100).cast("long")) / F.lit(100.0)
+    quantity = F.sum(F.rint(F.col("l_quantity") * 100).cast("long")) / F.lit(100.0)
     unit = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))
     return [
         F.max(unit).alias("high_price"),
         F.min(unit).alias("low_price"),
-        F.try_divide(amount, quantity.cast("double")).alias("close_price"),
+        F.try_divide(amount, quantity).alias("close_price"),
         quantity.cast("long").alias("volume"),
     ]
 
