@@ -78,11 +78,11 @@ def _(spark, sf):
 
 
 # Two features keep the closed form short enough for SQL.
-PAIR = ["momentum_20d", "volume_ratio_20d"]
+PAIR = ["momentum_20d", "rolling_volatility_20d"]
 BLOCKS["x_pair"] = f"""
-select t.asset_id, t.feature_date, block, momentum_20d as a, volume_ratio_20d as b, t.{RETURN_TARGET} as y
+select t.asset_id, t.feature_date, block, momentum_20d as a, rolling_volatility_20d as b, t.{RETURN_TARGET} as y
 from x_tech t join x_block k on k.asset_id = t.asset_id and k.feature_date = t.feature_date
-where momentum_20d is not null and volume_ratio_20d is not null and t.{RETURN_TARGET} is not null
+where momentum_20d is not null and rolling_volatility_20d is not null and t.{RETURN_TARGET} is not null
 """
 
 
@@ -90,18 +90,31 @@ def pair_rows(spark, sf):
     return technical_rows(spark, sf).select("asset_id", "feature_date", RETURN_TARGET, *PAIR)
 
 
-@check("m04_ridge_closed_form", """
-with m as (select count(*) as n, avg(a) as ma, avg(b) as mb, avg(y) as my, stddev_pop(a) as sa, stddev_pop(b) as sb from x_pair),
-s as (select sum((a - ma) / sa * y) as s1, sum((b - mb) / sb * y) as s2, sum((a - ma) / sa * (b - mb) / sb) as c from x_pair, m),
-w as (select *, ((n + 2) * s1 - c * s2) / ((n + 2) * (n + 2) - c * c) / sa as wa,
-             ((n + 2) * s2 - c * s1) / ((n + 2) * (n + 2) - c * c) / sb as wb from m, s)
-select 'momentum_20d' as feature, wa as coefficient from w union all select 'volume_ratio_20d', wb from w
-union all select 'intercept', my - wa * ma - wb * mb from w""", rounds="coefficient", digits=8)
-def _(spark, sf):
+BLOCKS["x_ridge"] = """
+select *, ((n + 2) * s1 - c * s2) / ((n + 2) * (n + 2) - c * c) as za, ((n + 2) * s2 - c * s1) / ((n + 2) * (n + 2) - c * c) as zb
+from (select count(*) as n, avg(a) as ma, avg(b) as mb, avg(y) as my, stddev_pop(a) as sa, stddev_pop(b) as sb,
+        (avg(a * y) - avg(a) * avg(y)) * count(*) / stddev_pop(a) as s1,
+        (avg(b * y) - avg(b) * avg(y)) * count(*) / stddev_pop(b) as s2,
+        (avg(a * b) - avg(a) * avg(b)) * count(*) / (stddev_pop(a) * stddev_pop(b)) as c from x_pair)
+"""
+
+
+def pair_weights(spark, sf):
+    """Ridge on the pair: coefficients, intercept, and weights in standardized units."""
     rows = pair_rows(spark, sf).dropna().persist()
     model = train.fit_ridge(train.regression_rows(train.with_vector(rows, PAIR)))
-    pairs = [(f, float(c)) for f, c in zip(PAIR, model.coefficients)] + [("intercept", float(model.intercept))]
-    return spark.createDataFrame(pairs, "feature string, coefficient double")
+    scale = rows.agg(*[F.stddev_pop(c).alias(c) for c in PAIR]).first()
+    coefficients = {f: float(c) for f, c in zip(PAIR, model.coefficients)}
+    return coefficients, float(model.intercept), {f: c * scale[f] for f, c in coefficients.items()}
+
+
+@check("m04_ridge_closed_form", """
+select 'momentum_20d' as feature, za / sa as coefficient from x_ridge
+union all select 'rolling_volatility_20d', zb / sb from x_ridge
+union all select 'intercept', my - za / sa * ma - zb / sb * mb from x_ridge""", rounds="coefficient")
+def _(spark, sf):
+    coefficients, intercept, _ = pair_weights(spark, sf)
+    return spark.createDataFrame([*coefficients.items(), ("intercept", intercept)], "feature string, coefficient double")
 
 
 @check("m05_ridge_folds_closed_form", """
@@ -197,15 +210,19 @@ def contribution_rows(spark, sf):
     return interpret.contributions(last, CORE, {c: 0.1 for c in CORE}, {c: 0.7 for c in CORE}, _COEF)
 
 
-@check("m11_linear_weights", "\nunion all\n".join(
-    f"select '{p}' as pillar, {sum(abs(w) for c, w in _COEF.items() if mf.PILLAR_OF[c] == p) / sum(map(abs, _COEF.values()))!r}"
-    f"::double as weight from (select count(*) from lineitem)" for p in mf.FEATURE_GROUPS), rounds="weight")
+@check("m11_linear_weights", """
+select 'momentum_20d' as feature, 'history' as pillar, za as coefficient, abs(za) as absolute_weight from x_ridge
+union all select 'rolling_volatility_20d', 'risk', zb, abs(zb) from x_ridge""", rounds="coefficient absolute_weight")
+def _(spark, sf):
+    return interpret.linear_weights(spark, pair_weights(spark, sf)[2])
+
+
+@check("m11_pillar_shares", """
+select 'history' as pillar, abs(za) / (abs(za) + abs(zb)) as weight from x_ridge
+union all select 'risk', abs(zb) / (abs(za) + abs(zb)) from x_ridge union all select 'sentiment', 0.0::double""", rounds="weight")
 def _(spark, sf):
-    weights = interpret.linear_weights(spark, _COEF)
-    used = contribution_rows(spark, sf).select("feature").distinct()
-    shares = weights.join(used, "feature").groupBy("pillar").agg(F.sum("absolute_weight").alias("w"))
-    total = weights.agg(F.sum("absolute_weight")).scalar()
-    return shares.select("pillar", (F.col("w") / total).alias("weight"))
+    shares = interpret.pillar_shares(pair_weights(spark, sf)[2], "weight")
+    return spark.createDataFrame(shares, "pillar string, weight double")
 
 
 @check("m12_contributions", "select asset_id, feature, pillar, contribution from x_contribution", rounds="contribution")
