@@ -1,6 +1,7 @@
 """The registered queries of the operators and their SQL."""
 
+from marketloom.llm.secrets import op8_secrets
 from marketloom.llm.simhash import op2_simhash
 
-QUERIES = {f.__name__: f for f in (op2_simhash,)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op8_secrets)}
 ORACLES: dict[str, str] = {}
