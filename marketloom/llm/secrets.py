@@ -314,8 +314,11 @@ def op8_secrets(spark, sf_dir: str) -> DataFrame:
 
     def joined(spans):
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
+
+    def of(kinds):
+        return lambda x: x.kind.isin(kinds)
     found = find_secrets(read_table(spark, sf_dir, "documents"))
     return found.select(
-        "doc_id", *[F.size(F.filter("spans", lambda x, k=k: x.kind == k)).cast("long").alias(f"n_{k}") for k in base],
-        F.sha2(joined(F.filter("spans", lambda x: x.kind.isin(base))).cast("binary"), 256).alias("base_sha256"),
+        "doc_id", *[F.size(F.filter("spans", of([k]))).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(joined(F.filter("spans", of(base))).cast("binary"), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"))
