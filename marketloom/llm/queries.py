@@ -1,7 +1,9 @@
 """The registered queries of the operators and their SQL."""
 
+from marketloom.llm.packing import op5_packing
 from marketloom.llm.secrets import op8_secrets
 from marketloom.llm.simhash import op2_simhash
+from marketloom.llm.warc import OP9_SQL, op9_warc
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op8_secrets)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_simhash, op5_packing, op8_secrets, op9_warc)}
+ORACLES = {"op9_warc": OP9_SQL}
