@@ -4,7 +4,8 @@ from marketloom.llm.decontaminate import OP7_SQL, op7_decontamination
 from marketloom.llm.packing import op5_packing
 from marketloom.llm.secrets import op8_secrets
 from marketloom.llm.simhash import op2_simhash
+from marketloom.llm.toxicity import op1_toxicity
 from marketloom.llm.warc import OP9_SQL, op9_warc
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op5_packing, op7_decontamination, op8_secrets, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op5_packing, op7_decontamination, op8_secrets, op9_warc)}
 ORACLES = {"op7_decontamination": OP7_SQL, "op9_warc": OP9_SQL}
