@@ -2,7 +2,7 @@
 
 from marketloom.llm.decontaminate import OP7_SQL, op7_decontamination
 from marketloom.llm.packing import op5_packing
-from marketloom.llm.secrets import op8_secrets
+from marketloom.llm.secret_scan import op8_secrets
 from marketloom.llm.simhash import op2_simhash
 from marketloom.llm.toxicity import op1_toxicity
 from marketloom.llm.warc import OP9_SQL, op9_warc
