@@ -1,5 +1,6 @@
 """The registered queries of the operators and their SQL."""
 
+from marketloom.llm.ctw import op3_ctw
 from marketloom.llm.decontaminate import OP7_SQL, op7_decontamination
 from marketloom.llm.language import op10_language
 from marketloom.llm.packing import op5_packing
@@ -9,5 +10,5 @@ from marketloom.llm.simhash import op2_simhash
 from marketloom.llm.toxicity import op1_toxicity
 from marketloom.llm.warc import OP9_SQL, op9_warc
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op4_quality, op5_packing, op7_decontamination, op8_secrets, op9_warc, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_ctw, op4_quality, op5_packing, op7_decontamination, op8_secrets, op9_warc, op10_language)}
 ORACLES = {"op7_decontamination": OP7_SQL, "op9_warc": OP9_SQL}
