@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import byte_blocks, read_table, shingle_hashes, text_bytes, token_hashes, written
+from marketloom.llm.common import byte_blocks, fresh, read_table, shingle_hashes, text_bytes, token_hashes, written
 
 WORDS = 5
 CONTAINMENT = 0.8
@@ -178,8 +178,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, words: int = WORDS, lea
                 texts = pa.array([b"" if (t := x.as_py()) is None else t.encode() for x in batch.column(at)], pa.binary())
                 yield batch.filter(pa.array([not row for row in search(texts)], pa.bool_()))
         return docs.mapInArrow(run, docs.schema)
-    found = written(_joined_matches(docs, index).select(F.col("digest").alias("_digest")).distinct(), "matches")
-    return docs.withColumn("_digest", F.sha2(text_bytes(), 256)).join(found, "_digest", "left_anti").drop("_digest")
+    (digest,) = fresh(docs, "_digest")
+    found = written(_joined_matches(docs, index).select(F.col("digest").alias(digest)).distinct(), "matches")
+    return docs.withColumn(digest, F.sha2(text_bytes(), 256)).join(found, digest, "left_anti").drop(digest)
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ SEQUENCE = 4096
 #: What is left of a document after its full sequences is cut once more: a multiple of GRAIN tokens and fewer than GRAIN.
 GRAIN = 64
 END_ID = 2
+#: If more than this share would be padding, documents are cut into finer pieces.
+MOST_PADDING = 0.005
 _CACHED_WORDS = 800_000
 _BUCKET_ROWS = 4000
 
@@ -99,19 +101,21 @@ def _runs(texts: pa.Array, limit: int = 2 << 20) -> Iterator[list[bytes]]:
         yield run
 
 
-def cut_points(tokens: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of a document: full sequences, then whole grains, then the rest."""
+def cut_points(tokens: int, fine: bool = False) -> list[tuple[int, int]]:
+    """(start, length) of the pieces of a document: full sequences, then whole grains, then the rest.
+
+    ``fine`` cuts the whole grains once more, into powers of two of a grain, which fill sequences without a gap.
+    """
     full = tokens // SEQUENCE * SEQUENCE
     even = (tokens - full) // GRAIN * GRAIN
-    out = [(s, SEQUENCE) for s in range(0, full, SEQUENCE)]
-    if even:
-        out.append((full, even))
-    if tokens - full - even:
-        out.append((full + even, tokens - full - even))
-    return out
+    lengths = [SEQUENCE] * (full // SEQUENCE)
+    lengths += [s for k in range(SEQUENCE.bit_length(), -1, -1) if (s := GRAIN << k) & even] if fine else [even] * (even > 0)
+    lengths += [tokens - full - even] * (tokens > full + even)
+    starts = np.cumsum([0, *lengths]).tolist()
+    return list(zip(starts, lengths))
 
 
-def pieces(docs: DataFrame, vocabulary: str, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, keep_ids: bool = False, fine: bool = False) -> DataFrame:
     """Tokenize whole texts and cut them: doc_id, start, length, ids_crc32, doc_tokens, and the ids on request."""
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
@@ -123,7 +127,7 @@ def pieces(docs: DataFrame, vocabulary: str, keep_ids: bool = False) -> DataFram
             for doc_id, ids in zip(batch.column(0).to_pylist(), (x for run in _runs(batch.column(1)) for x in encode(run))):
                 ids += end
                 total = len(ids) // 4
-                for start, length in cut_points(total):
+                for start, length in cut_points(total, fine):
                     body = ids[4 * start: 4 * (start + length)]
                     rows.append((doc_id, start, length, zlib.crc32(body), total))
                     bodies.append(body)
@@ -224,11 +228,16 @@ def pack(docs: DataFrame, vocabulary: str, keep_ids: bool = False) -> DataFrame:
 
     A null or empty text is one piece, the end id. Repeated rows are packed each; an empty table gives no rows; other
     columns are not read. Pieces get a rank within their length from counts per hash bucket, so that no task sees a whole length
-    class; the plan turns length and rank into sequence and offset. Only the histogram (at most 128 lengths) reaches the driver.
+    class; the plan turns length and rank into sequence and offset. Lengths that do not fit together (many equal long ones) are
+    cut finer in a second pass, so that padding stays below MOST_PADDING and one sequence. Only the histogram (at most 128 lengths) reaches the driver.
     """
-    cut = written(pieces(docs, vocabulary, keep_ids), "pieces")
-    histogram = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}
-    plan, _ = plan_sequences(histogram)
+    for fine in (False, True):
+        cut = written(pieces(docs, vocabulary, keep_ids, fine), "pieces")
+        histogram = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}
+        plan, sequences = plan_sequences(histogram)
+        tokens = sum(s * n for s, n in histogram.items())
+        if sequences * SEQUENCE - tokens <= SEQUENCE + MOST_PADDING * tokens:
+            break
     buckets = max(1, -(-sum(histogram.values()) // _BUCKET_ROWS))
     order = ["doc_id", "start", "ids_crc32", "doc_tokens"]
     placed = cut.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))

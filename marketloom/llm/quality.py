@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import byte_blocks, id_remainder, read_table, token_hashes, token_spans, written
+from marketloom.llm.common import byte_blocks, fresh, id_remainder, read_table, token_hashes, token_spans, written
 
 #: Expected number of labelled rows that the document classifier is fitted on, drawn by a hash of the id.
 SAMPLE_ROWS = 20_000
@@ -80,7 +80,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     n, good = known.agg(F.count(F.lit(1)), F.sum("label")).first()
     prior = (float(good or 0) + 1) / (n + 2)
     bar = int(min(1.0, sample_rows / max(n, 1)) * (1 << 30))
-    rows = docs.where("text is not null").join(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < bar), "doc_id").select(
+    rows = docs.where("text is not null").select("doc_id", "text").join(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < bar), "doc_id").select(
         "label", F.col("text").cast("binary").alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,31 +141,35 @@ def site_posteriors(evidence: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def score_quality(docs: DataFrame, model: QualityModel, host: Column | None = None, path: Column | None = None) -> DataFrame:
-    """``docs`` with _host, _path, _evidence, _prior and _quality, the posterior probability that the document is good.
+    """``docs`` and, last, its host, its path, the evidence of its text, its site's prior and the posterior probability that it is good.
 
-    The prior of a document is the rate of its path without itself, shrunk to its host's rate, which is shrunk to the
+    These five columns are called host, path, evidence, site_prior and quality, lengthened by underscores where ``docs`` has such a
+    column. The prior of a document is the rate of its path without itself, shrunk to its host's rate, which is shrunk to the
     overall one; the evidence of its text moves it from there. By default the host is ``source`` and the path ``lang``.
     A null or empty text has its site's prior. Repeated rows are scored each; an empty table gives no rows.
     """
-    named = docs.withColumns({"_host": (F.col("source") if host is None else host).cast("string"), "_path": (F.col("lang") if path is None else path).cast("string")})
-    seen = with_evidence(named.select("_host", "_path", "text"), model)
-    sites = site_posteriors(seen, model).withColumnsRenamed({"_host": "_h", "_path": "_p"})
-    own = _sigmoid(F.col("_evidence") + F.lit(float(np.log(model.prior / (1 - model.prior)))))
-    joined = with_evidence(named, model).join(sites, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")), "left")
-    prior = (F.col("good") - own + F.col("path_strength") * F.col("host_rate")) / (F.col("n") - 1 + F.col("path_strength"))
-    return joined.withColumn("_prior", prior).withColumn("_quality", _sigmoid(_logit(F.col("_prior")) + F.col("_evidence"))).select(
-        *docs.columns, "_host", "_path", "_evidence", "_prior", "_quality")
+    out = fresh(docs, "host", "path", "evidence", "site_prior", "quality")
+    host_of, path_of = (F.col("source") if host is None else host).cast("string"), (F.col("lang") if path is None else path).cast("string")
+    seen = with_evidence(docs.select(host_of.alias("_host"), path_of.alias("_path"), "text"), model)
+    h, p, n, good, rate, strength = fresh(docs, "_site_host", "_site_path", "_site_n", "_site_good", "_site_rate", "_site_strength")
+    sites = site_posteriors(seen, model).select(F.col("_host").alias(h), F.col("_path").alias(p), F.col("n").alias(n), F.col("good").alias(good),
+                                                F.col("host_rate").alias(rate), F.col("path_strength").alias(strength))
+    scored = with_evidence(docs, model, out[2]).withColumns({out[0]: host_of, out[1]: path_of})
+    joined = scored.join(sites, F.col(out[0]).eqNullSafe(F.col(h)) & F.col(out[1]).eqNullSafe(F.col(p)), "left")
+    own = _sigmoid(F.col(out[2]) + F.lit(float(np.log(model.prior / (1 - model.prior)))))
+    prior = (F.col(good) - own + F.col(strength) * F.col(rate)) / (F.col(n) - 1 + F.col(strength))
+    return joined.withColumn(out[3], prior).withColumn(out[4], _sigmoid(_logit(F.col(out[3])) + F.col(out[2]))).select(*docs.columns, *out)
 
 
 def keep_good(docs: DataFrame, model: QualityModel, least: float = KEEP) -> DataFrame:
     """The rows of ``docs`` whose posterior is at least ``least``; columns stay as they are."""
-    return score_quality(docs, model).where(F.col("_quality") >= least).select(*docs.columns)
+    found = score_quality(docs, model)
+    return found.where(F.col(found.columns[-1]) >= least).select(*docs.columns)
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     model = fit_quality(docs, labels.where(id_remainder("doc_id", 3) != 1))
     found = score_quality(docs.select("doc_id", "text", "source", "lang"), model)
-    return found.select("doc_id", (id_remainder("doc_id", 3) == 1).alias("held_out"), F.col("_host").alias("host"), F.col("_path").alias("path"),
-                        F.col("_evidence").alias("evidence"), F.col("_prior").alias("site_prior"), F.col("_quality").alias("score"),
-                        (F.col("_quality") >= KEEP).alias("kept"))
+    return found.select("doc_id", (id_remainder("doc_id", 3) == 1).alias("held_out"), "host", "path", "evidence", "site_prior",
+                        F.col("quality").alias("score"), (F.col("quality") >= KEEP).alias("kept"))
