@@ -20,7 +20,7 @@ _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(WHITE_SPACE)] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def text_bytes(column: str = "text") -> Column:
