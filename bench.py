@@ -16,8 +16,7 @@ from marketloom.session import build_session  # noqa: E402
 HEADLINE = [
     "a11_risk_summary", "w16_technical_features", "w18_sentiment_features", "f02_lexical_scores", "q07_training_frame",
     "m01_model_frame", "a17_column_medians", "m02_time_holdout", "m03_expanding_windows", "m05_ridge_fold_metrics",
-    "m06_forest_regressor", "m12_contributions", "w24_feature_drivers", "n01_native_shocks", "n03_percentile_bands",
-    "b01_briefing_mart", "b03_signal_summary", "s05_upsert_prices", "s07_upsert_news", "q05_market_feature_source",
+    "m06_forest_regressor", "m12_contributions", "w24_feature_drivers", "b01_briefing_mart", "b03_signal_summary", "s05_upsert_prices", "s07_upsert_news", "q05_market_feature_source",
     "q09_latest_prediction", "a03_price_profile",
 ]
 

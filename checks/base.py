@@ -62,7 +62,7 @@ def with_blocks(sql: str) -> str:
                 if name not in wanted:
                     wanted.append(name)
     visit(sql)
-    return "with " + ",\n".join(f"{n} as (\n{BLOCKS[n].strip()}\n)" for n in wanted) if wanted else ""
+    return "with " + ",\n".join(f"{n} as materialized (\n{BLOCKS[n].strip()}\n)" for n in wanted) if wanted else ""
 
 
 BLOCKS["x_asset"] = """

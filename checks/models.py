@@ -264,7 +264,7 @@ def _(spark, sf):
 @check("m16_forecast_run")
 def _(spark, sf):
     run = forecast_run.run_forecast(spark, scratch_path(spark, "forecast"), market(spark, sf), articles(spark, sf),
-                                    u.assets(spark, sf), GENERATED)
+                                    u.assets(spark, sf), GENERATED, forest_folds=0)
     return run["predictions"]
 
 

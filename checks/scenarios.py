@@ -1,4 +1,4 @@
-"""Checks of scenario tables. Shocks come from MD5 here, so that the oracle can draw the same ones."""
+"""Checks of drift and volatility per asset."""
 
 from __future__ import annotations
 
@@ -7,81 +7,21 @@ from pyspark.sql import functions as F
 from checks.base import BLOCKS, check
 from checks.features import latest
 from marketloom.operators import scenario as sc
-from marketloom.plans import marts
 from marketloom.sources import demo_universe as u
 
-H, P, SEED = 21, 40, 42
-
 BLOCKS["x_input"] = """
 select asset_id, last_price as starting_price, daily_drift, daily_volatility, return_count as observations,
        daily_drift * 252 as annualized_drift, daily_volatility * sqrt(252.0) as annualized_volatility
 from x_kpi where return_count >= 2
 """
-# calm, indexed inputs: the generated prices jump so much that raw paths would overflow any rounding
-BLOCKS["x_calm"] = """
-select asset_id, 100.0::double as starting_price, daily_drift / 1000 as daily_drift, daily_volatility / 1000 as daily_volatility from x_input
-"""
-BLOCKS["x_shock"] = f"""
-select asset_id, path_id, step, sqrt(-2 * ln((u + 0.5) / 4503599627370496.0)) * cos(2 * pi() * ((v + 0.5) / 4503599627370496.0)) as z
-from (select asset_id, path_id, step, ('0x' || substr(h, 1, 13))::bigint::double as u, ('0x' || substr(h, 14, 13))::bigint::double as v
-  from (select asset_id, path_id, step, md5('{SEED}|' || asset_id::varchar || '|' || path_id::varchar || '|' || step::varchar) as h
-    from (select asset_id from x_input), (select unnest(range(1, {P + 1}))::int as path_id), (select unnest(range(1, {H + 1}))::int as step)))
-"""
-BLOCKS["x_path"] = f"""
-select asset_id, path_id, step, starting_price, starting_price * exp((daily_drift - 0.5 * daily_volatility * daily_volatility) * step
-  + daily_volatility * (sum(z) over (partition by asset_id, path_id order by step rows unbounded preceding))) as price
-from (select * from x_shock union all select asset_id, unnest(range(1, {P + 1}))::int, 0, 0.0 from x_input) join x_calm using (asset_id)
-"""
-BLOCKS["x_terminal"] = f"select asset_id, path_id, price as terminal_price, starting_price from x_path where step = {H}"
-
 _INPUTS = "daily_drift daily_volatility annualized_drift annualized_volatility"
 
 
-def calm(spark, sf):
-    return sc.scenario_inputs(u.bars(spark, sf)).withColumns(
-        {"starting_price": F.lit(100.0), **{c: F.col(c) / 1000.0 for c in ("daily_drift", "daily_volatility")}})
-
-
-def paths(spark, sf):
-    return sc.scenario_paths(calm(spark, sf), H, P, SEED, "md5")
-
-
-def terminal(spark, sf):
-    return sc.terminal_prices(calm(spark, sf), H, P, SEED, "md5")
-
-
 @check("a18_scenario_inputs", f"select asset_id, starting_price, {', '.join(_INPUTS.split())}, observations from x_input", rounds=_INPUTS)
 def _(spark, sf):
     return sc.scenario_inputs(u.bars(spark, sf))
 
 
-@check("n01_scenario_paths", "select asset_id, path_id, step, price from x_path", rounds="price")
-def _(spark, sf):
-    return paths(spark, sf).drop("starting_price")
-
-
-_Q = {0.05: "p05", 0.25: "p25", 0.50: "median", 0.75: "p75", 0.95: "p95"}
-_TERM = " ".join(f"{n}_terminal_price" for n in ("mean", "min", "max", *_Q.values()))
-
-
-@check("n02_terminal_summary", f"""
-select asset_id, any_value(starting_price) as starting_price, avg(terminal_price) as mean_terminal_price,
-  min(terminal_price) as min_terminal_price, max(terminal_price) as max_terminal_price,
-  {', '.join(f'quantile_cont(terminal_price, {q}) as {n}_terminal_price' for q, n in _Q.items())},
-  avg((terminal_price > starting_price)::int) as probability_above_start,
-  avg((terminal_price < starting_price)::int) as probability_below_start
-from x_terminal group by 1""", rounds=_TERM)
-def _(spark, sf):
-    return sc.terminal_summary(terminal(spark, sf))
-
-
-@check("n03_percentile_bands", f"""
-select asset_id, step, {', '.join(f'quantile_cont(price, {q}) as p{int(q * 100):02d}' for q in _Q)} from x_path group by 1, 2""",
-       rounds="p05 p25 p50 p75 p95")
-def _(spark, sf):
-    return sc.percentile_bands(paths(spark, sf))
-
-
 _N4 = "daily_drift daily_volatility annualized_drift annualized_volatility downside_probability"
 BLOCKS["x_informed"] = """
 select i.asset_id, starting_price, predicted_return_20d / 20 as daily_drift,
@@ -100,54 +40,3 @@ select asset_id, starting_price, daily_drift, daily_volatility, observations, da
   daily_volatility * sqrt(252.0) as annualized_volatility, forecast_horizon_days, downside_probability from x_informed""", rounds=_N4)
 def _(spark, sf):
     return sc.forecast_inputs(sc.scenario_inputs(u.bars(spark, sf)), forecasts(spark, sf))
-
-
-_BOTH = [f"{s}_{n}" for s in ("historical", "forecast_informed") for n in _Q.values()]
-
-
-@check("n05_compared_scenarios", f"""
-select scenario, asset_id, count(*) as paths, avg(terminal_price) as mean_terminal_price,
-       quantile_cont(terminal_price, 0.5) as median_terminal_price
-from (select scenario, asset_id, starting_price * exp((m - 0.5 * s * s) * {H} + s * z) as terminal_price from (
-  select 'historical' as scenario, asset_id, starting_price, daily_drift / 1000 as m, daily_volatility / 1000 as s from x_input
-  union all select 'forecast_informed', asset_id, starting_price, daily_drift / 1000, daily_volatility / 1000 from x_informed)
-  join (select asset_id, path_id, sum(z) as z from x_shock group by 1, 2) using (asset_id))
-group by 1, 2""", rounds="mean_terminal_price median_terminal_price", digits=5)
-def _(spark, sf):
-    old = sc.scenario_inputs(u.bars(spark, sf))
-    both = sc.compare_scenarios(old, sc.forecast_inputs(old, forecasts(spark, sf))).withColumns(
-        {c: F.col(c) / 1000.0 for c in ("daily_drift", "daily_volatility")})
-    t = sc.terminal_summary(sc.terminal_prices(both, H, P, SEED, "md5"))
-    return t.select("scenario", "asset_id", F.lit(P).cast("long").alias("paths"), "mean_terminal_price", "median_terminal_price")
-
-
-@check("n06_display_paths", """
-select asset_id, step, price, path_id from x_path where path_id <= 15
-union all select asset_id, step, quantile_cont(price, 0.5), 0 from x_path group by 1, 2""", rounds="price")
-def _(spark, sf):
-    return sc.display_paths(paths(spark, sf), 15)
-
-
-@check("a20_terminal_histogram", """
-select asset_id, least(floor((terminal_price - lo) * 36 / (hi - lo)) + 1, 36)::int as bin, lo as low, hi as high, count(*) as paths
-from x_terminal join (select asset_id, min(terminal_price) as lo, max(terminal_price) as hi from x_terminal group by 1) using (asset_id)
-group by all""", rounds="low high")
-def _(spark, sf):
-    return sc.terminal_histogram(terminal(spark, sf))
-
-
-@check("n01_native_shocks")
-def _(spark, sf):
-    """Default shocks (native hash) over the whole universe, summarized."""
-    return sc.terminal_summary(sc.terminal_prices(calm(spark, sf), 63, 100))
-
-
-@check("b01_briefing_with_scenarios")
-def _(spark, sf):
-    kpis = marts.asset_kpis(u.bars(spark, sf))
-    old = sc.annualized(marts.scenario_inputs_from(kpis))
-    last = latest(spark, sf)
-    informed = sc.forecast_inputs(old, last.withColumn("predicted_volatility_20d", F.col("realized_volatility_20d")))
-    both = sc.terminal_summary(sc.terminal_prices(sc.compare_scenarios(old, informed), 63, 50))
-    mart = marts.briefing_mart(kpis, u.assets(spark, sf), u.news_articles(spark, sf), last, both)
-    return marts.commentary(mart)

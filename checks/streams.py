@@ -22,17 +22,29 @@ def as_stream(df, files: int = 4, order: str | None = None):
 @check("r01_stream_bars", """
 select asset_id, source_id, price_date, volume, ingestion_timestamp from x_feed""")
 def _(spark, sf):
+    """Some assets are loaded in bulk, the others come by two streams: no writer may touch what another wrote."""
+    bars = u.historical_prices(spark, sf)
     table = LakeTable(spark, scratch_path(spark, "lake"), "historical_prices", ["ingestion_timestamp"])
-    ingest.ingest_bars(as_stream(u.historical_prices(spark, sf)), table, scratch_path(spark, "checkpoint")).awaitTermination()
+    table.write_batch(bars.where("asset_id % 3 = 0"), 0)
+    for rest in (1, 2):
+        ingest.ingest_bars(as_stream(bars.where(F.col("asset_id") % 3 == rest)), table, scratch_path(spark, "checkpoint")).awaitTermination()
     return table.current().select("asset_id", "source_id", "price_date", "volume", "ingestion_timestamp")
 
 
-@check("r02_stream_news", "select asset_id, source_id, url, headline, published_at from x_article")
+@check("r02_stream_news", """
+select asset_id, source_id, case when day(published_at) % 2 = 0 then url || '/moved' else url end as url,
+  case when day(published_at) % 3 = 0 then 'Correction: ' else '' end || headline as headline, published_at, provider_article_id from x_article""")
 def _(spark, sf):
+    """Originals, then repeats: some corrected, some under a new url with the same provider id; all of them old."""
     once = u.news_articles(spark, sf)
+    day = F.dayofmonth("published_at")
+    again = once.withColumns({
+        "headline": F.when(day % 3 == 0, F.concat(F.lit("Correction: "), "headline")).otherwise(F.col("headline")),
+        "url": F.when(day % 2 == 0, F.concat("url", F.lit("/moved"))).otherwise(F.col("url")),
+        "ingestion_timestamp": F.timestamp_add("DAY", F.lit(90), F.col("ingestion_timestamp"))})
     table = LakeTable(spark, scratch_path(spark, "lake"), "news_articles", ["ingestion_timestamp"])
-    ingest.ingest_news(as_stream(once.unionByName(once)), table, scratch_path(spark, "checkpoint"), "40 days").awaitTermination()
-    return table.current().select("asset_id", "source_id", "url", "headline", "published_at")
+    ingest.ingest_news(as_stream(once.unionByName(again)), table, scratch_path(spark, "checkpoint")).awaitTermination()
+    return table.current().select("asset_id", "source_id", "url", "headline", "published_at", "provider_article_id")
 
 
 @check("r03_stream_daily_sentiment", """
@@ -51,10 +63,11 @@ def _(spark, sf):
 
 
 @check("r04_stream_state", """
-select ticker, provider_name, request_timestamp, fetch_status, last_successful_fetch_at, record_count_fetched from x_state""")
+select ticker, provider_name, last_successful_fetch_at, request_timestamp, fetch_status, record_count_fetched,
+       coverage_end_date, nullif(error_text, '') as error_message, created_at from x_state""")
 def _(spark, sf):
     table = LakeTable(spark, scratch_path(spark, "lake"), "market_data_ingestion_state", [])
     state = ingest.running_state(as_stream(u.ingestion_runs(spark, sf)))
     ingest.upsert_state(state, table, scratch_path(spark, "checkpoint")).awaitTermination()
-    return table.current().select("ticker", "provider_name", "request_timestamp", "fetch_status",
-                                  "last_successful_fetch_at", F.col("record_count_fetched"))
+    return table.current().select("ticker", "provider_name", "last_successful_fetch_at", "request_timestamp", "fetch_status",
+                                  "record_count_fetched", "coverage_end_date", "error_message", "created_at")

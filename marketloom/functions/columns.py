@@ -9,14 +9,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: finance lexicon
-POSITIVE_TERMS = (
-    "beat beats bullish gain gains growth improve improves improved optimistic outperform "
-    "outperforms profit profits record resilient rise rises strong surge surges upgrade upgrades"
-).split()
-NEGATIVE_TERMS = (
-    "bearish cut cuts decline declines declined downgrade downgrades drop drops fall falls fraud "
-    "loss losses miss misses probe risk risks selloff slump weak"
-).split()
+POSITIVE_TERMS = [
+    "beat", "beats", "bullish", "gain", "gains", "growth", "improve", "improves", "improved", "optimistic",
+    "outperform", "outperforms", "profit", "profits", "record", "resilient", "rise", "rises", "strong", "surge",
+    "surges", "upgrade", "upgrades",
+]
+NEGATIVE_TERMS = [
+    "bearish", "cut", "cuts", "decline", "declines", "declined", "downgrade", "downgrades", "drop", "drops", "fall",
+    "falls", "fraud", "loss", "losses", "miss", "misses", "probe", "risk", "risks", "selloff", "slump", "weak",
+]
 STRIPPED_CHARACTERS = ".,:;!?()[]{}\"'"
 
 # fixed values: thresholds

@@ -223,6 +223,7 @@ def training_frame(technical: DataFrame, sentiment: DataFrame, assets: DataFrame
                     "feature_version", *SENTIMENT_COLUMNS))
 
 
+# fixed values: columns of a prediction in listings
 _PREDICTION_HEAD = ["as_of_date", "prediction_horizon_days", "regression_model_name", "classification_model_name",
                     "predicted_return_20d", "downside_probability_20d", "probability_positive_20d",
                     "predicted_negative_return_flag", "composite_ml_score", "confidence_score", "directional_signal",

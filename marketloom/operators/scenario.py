@@ -1,22 +1,15 @@
-"""Scenario tables: geometric paths for all assets, their terminal summary, bands and histogram.
-
-Shocks are a function of (seed, asset, path, step) alone, so results do not depend on partitioning
-or retries. Paths are generated where they are used; only terminal or per-step aggregates shuffle.
-"""
+"""Drift and volatility per asset, from history or informed by a stored forecast."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.operators.returns import daily_return
 from marketloom.sources.schemas import TRADING_DAYS
 
-_UNIT = float(1 << 52)
-PERCENTILES = (0.05, 0.25, 0.50, 0.75, 0.95)
-
 
 def scenario_inputs(bars: DataFrame, price: str = "analysis_price", periods_per_year: int = TRADING_DAYS) -> DataFrame:
     """Daily and annualized drift and volatility per asset; assets with fewer than two returns are left out."""
@@ -54,117 +47,3 @@ def forecast_inputs(historical: DataFrame, forecasts: DataFrame, periods_per_yea
         "forecast_horizon_days": F.when(F.col("has_forecast"), F.col("h")),
         "downside_probability": F.col("downside_probability_20d")})
     return annualized(joined, periods_per_year).select(*historical.columns, "forecast_horizon_days", "downside_probability")
-
-
-def _uniforms(seed: int, hash_name: str, *key: Column) -> tuple[Column, Column]:
-    """Two numbers in (0, 1) per key."""
-    if hash_name == "md5":
-        digest = F.md5(F.concat_ws("|", F.lit(seed), *key))
-        parts = [F.conv(F.substring(digest, at, 13), 16, 10).cast("double") for at in (1, 14)]
-    else:
-        parts = [F.shiftrightunsigned(F.xxhash64(F.lit(seed + i), *key), 12).cast("double") for i in (0, 1)]
-    return tuple((p + 0.5) / _UNIT for p in parts)
-
-
-def shock(seed: int, hash_name: str, *key: Column) -> Column:
-    """Standard normal number for a key (Box-Muller)."""
-    u, v = _uniforms(seed, hash_name, *key)
-    return F.sqrt(-2.0 * F.ln(u)) * F.cos(2.0 * math.pi * v)
-
-
-def _by_path(inputs: DataFrame, simulation_count: int) -> DataFrame:
-    """One row per (scenario, asset, path), spread over as many tasks as the session shuffles into.
-
-    An explicit count keeps the few input rows from being merged into one task before they multiply.
-    """
-    spark = inputs.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    keys = [c for c in ("scenario",) if c in inputs.columns] + ["asset_id", "path_id"]
-    rows = inputs.select(*keys[:-1], "starting_price", "daily_drift", "daily_volatility",
-                         F.explode(F.sequence(F.lit(1), F.lit(simulation_count))).alias("path_id"))
-    return rows.repartition(n, *keys)
-
-
-def _keys(frame: DataFrame) -> list[str]:
-    return [c for c in ("scenario", "asset_id") if c in frame.columns]
-
-
-def scenario_paths(inputs: DataFrame, horizon_days: int = 252, simulation_count: int = 1000, seed: int = 42,
-                   hash_name: str = "xxhash64") -> DataFrame:
-    """Price of every asset, path and step 0..H. Full paths are large: prefer the summaries below."""
-    paths = _by_path(inputs, simulation_count)
-    keys = _keys(paths)
-    steps = paths.select("*", F.explode(F.sequence(F.lit(0), F.lit(horizon_days))).alias("step"))
-    z = F.when(F.col("step") > 0, shock(seed, hash_name, F.col("asset_id"), F.col("path_id"), F.col("step"))).otherwise(0.0)
-    w = Window.partitionBy(*keys, "path_id").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    walk = steps.withColumn("z", z).withColumn("zsum", F.sum("z").over(w))
-    sigma = F.col("daily_volatility")
-    price = F.col("starting_price") * F.exp(
-        (F.col("daily_drift") - 0.5 * sigma * sigma) * F.col("step") + sigma * F.col("zsum"))
-    return walk.select(*keys, "path_id", "step", price.alias("price"), "starting_price")
-
-
-def terminal_prices(inputs: DataFrame, horizon_days: int = 252, simulation_count: int = 1000, seed: int = 42,
-                    hash_name: str = "xxhash64") -> DataFrame:
-    """Terminal price per path; the shocks of a path are summed inside its task, without sorting."""
-    paths = _by_path(inputs, simulation_count)
-    keys = _keys(paths)
-    steps = paths.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon_days))).alias("step"))
-    z = shock(seed, hash_name, F.col("asset_id"), F.col("path_id"), F.col("step"))
-    sums = steps.groupBy(*keys, "path_id").agg(
-        F.sum(z).alias("zsum"), *[F.first(c).alias(c) for c in ("starting_price", "daily_drift", "daily_volatility")])
-    sigma = F.col("daily_volatility")
-    price = F.col("starting_price") * F.exp(
-        (F.col("daily_drift") - 0.5 * sigma * sigma) * horizon_days + sigma * F.col("zsum"))
-    return sums.select(*keys, "path_id", price.alias("terminal_price"), "starting_price")
-
-
-def terminal_summary(terminal: DataFrame) -> DataFrame:
-    """One row per asset (and scenario). A group holds one value per path, a number the caller sets."""
-    t, s = F.col("terminal_price"), F.col("starting_price")
-    q = terminal.groupBy(*_keys(terminal)).agg(
-        F.first(s).alias("starting_price"), F.avg(t).alias("mean_terminal_price"),
-        F.min(t).alias("min_terminal_price"), F.max(t).alias("max_terminal_price"),
-        F.percentile(t, list(PERCENTILES)).alias("q"),
-        F.avg((t > s).cast("double")).alias("probability_above_start"),
-        F.avg((t < s).cast("double")).alias("probability_below_start"))
-    names = ["p05_terminal_price", "p25_terminal_price", "median_terminal_price", "p75_terminal_price", "p95_terminal_price"]
-    return q.select("*", *[F.col("q")[i].alias(n) for i, n in enumerate(names)]).drop("q")
-
-
-def percentile_bands(paths: DataFrame, exact: bool = True) -> DataFrame:
-    """Percentiles over paths at every step; ``exact=False`` bounds memory for very many paths."""
-    p = F.col("price")
-    q = F.percentile(p, list(PERCENTILES)) if exact else F.percentile_approx(p, list(PERCENTILES), 10_000)
-    bands = paths.groupBy(*_keys(paths), "step").agg(q.alias("q"))
-    return bands.select(*_keys(paths), "step", *[F.col("q")[i].alias(f"p{int(v * 100):02d}")
-                                                 for i, v in enumerate(PERCENTILES)])
-
-
-def compare_scenarios(historical: DataFrame, forecast: DataFrame) -> DataFrame:
-    """Both input sets under a ``scenario`` column. Shocks ignore it, so both see the same ones."""
-    cols = ["asset_id", "starting_price", "daily_drift", "daily_volatility"]
-    return (historical.select(F.lit("historical").alias("scenario"), *cols)
-            .unionByName(forecast.select(F.lit("forecast_informed").alias("scenario"), *cols)))
-
-
-def terminal_histogram(terminal: DataFrame, bins: int = 36) -> DataFrame:
-    """Counts in equal bins between the lowest and highest terminal price of each asset; empty bins are absent."""
-    keys = _keys(terminal)
-    t = F.col("terminal_price")
-    w = Window.partitionBy(*keys)
-    ends = terminal.select(*keys, t, F.min(t).over(w).alias("lo"), F.max(t).over(w).alias("hi"))
-    flat = F.col("lo") == F.col("hi")
-    ends = ends.withColumns({"lo": F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")),
-                             "hi": F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi"))})
-    place = F.least(F.floor((t - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))) + 1, F.lit(bins))
-    return ends.groupBy(*keys, place.cast("int").alias("bin")).agg(
-        F.first("lo").alias("low"), F.first("hi").alias("high"), F.count("*").alias("paths"))
-
-
-def display_paths(paths: DataFrame, max_paths: int = 75) -> DataFrame:
-    """The first ``max_paths`` paths, plus the median over all paths as path 0."""
-    keys = _keys(paths)
-    median = paths.groupBy(*keys, "step").agg(F.percentile("price", 0.5).alias("price")).withColumn("path_id", F.lit(0))
-    shown = paths.where(F.col("path_id") <= max_paths).select(*keys, "step", "price", "path_id")
-    return shown.unionByName(median)

@@ -33,14 +33,8 @@ def asset_kpis(bars: DataFrame, price: str = "analysis_price", confidence_level:
         F.avg(r).alias("daily_drift"), F.stddev_samp(r).alias("daily_volatility"), F.count(r).alias("observations"))
 
 
-def scenario_inputs_from(kpis: DataFrame) -> DataFrame:
-    return kpis.where(F.col("observations") >= 2).select(
-        "asset_id", F.col("latest_price").alias("starting_price"), "daily_drift", "daily_volatility")
-
-
 def briefing_mart(kpis: DataFrame, assets: DataFrame, articles: DataFrame | None = None,
-                  predictions: DataFrame | None = None, terminal: DataFrame | None = None,
-                  news_limit: int = 25) -> DataFrame:
+                  predictions: DataFrame | None = None, news_limit: int = 25) -> DataFrame:
     """One row per asset with price history. Every input is reduced to one row per asset before it is joined."""
     mart = kpis.join(assets.select("asset_id", "ticker", "asset_name", "asset_class"), "asset_id")
     if articles is not None:
@@ -53,10 +47,6 @@ def briefing_mart(kpis: DataFrame, assets: DataFrame, articles: DataFrame | None
             "asset_id", "as_of_date", "prediction_horizon_days", "predicted_return_20d", "probability_positive_20d",
             "composite_ml_score", "confidence_score", "directional_signal", "history_score", "risk_score",
             "sentiment_score"), "asset_id", "left")
-    if terminal is not None:
-        percentiles = terminal.groupBy("asset_id").pivot("scenario", ["historical", "forecast_informed"]).agg(
-            *[F.first(f"{n}_terminal_price").alias(n) for n in ("p05", "p25", "median", "p75", "p95")])
-        mart = mart.join(percentiles, "asset_id", "left")
     return mart
 
 
@@ -68,7 +58,7 @@ def _has(frame: DataFrame, column: str) -> bool:
     return column in frame.columns
 
 
-def commentary(mart: DataFrame, horizon_days: int = 63) -> DataFrame:
+def commentary(mart: DataFrame) -> DataFrame:
     """Templated text columns. Wording is our own; the figures are those of the mart."""
     c = F.col
     total, yearly = percent_text(c("total_return")), percent_text(c("annualized_return"))
@@ -97,13 +87,6 @@ def commentary(mart: DataFrame, horizon_days: int = 63) -> DataFrame:
             ", chance of a gain ", percent_text(c("probability_positive_20d")), ". Pillars: history ",
             number_text(c("history_score")), ", risk ", number_text(c("risk_score")), ", sentiment ",
             number_text(c("sentiment_score")), "."))
-    if _has(mart, "historical_median"):
-        out["scenario_text"] = _sentence(
-            f"Over {horizon_days} trading days the median simulated price is ", number_text(c("historical_median")),
-            ", with 90% of paths between ", number_text(c("historical_p05")), " and ", number_text(c("historical_p95")), ".")
-        out["comparison_text"] = _sentence(
-            "Median price from history ", number_text(c("historical_median")), ", with the forecast ",
-            number_text(c("forecast_informed_median")), ".")
     return mart.withColumns(out)
 
 

@@ -33,6 +33,7 @@ PILLARS = {
         ("source_count_7d", 1, 4.0, 0.0)],
 }
 
+# fixed values: names of the derived features
 DERIVED_COLUMNS = [
     "trailing_return_20d", "trailing_return_60d", "moving_average_spread_10_20", "sharpe_like_ratio_20d",
     "trend_strength_20d", "volume_confirmation_20d", "value_at_risk_20d", "expected_shortfall_20d",

@@ -2,29 +2,44 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from marketloom.operators.upsert import ingestion_state, latest_per_key, split_known
 from marketloom.sources.lake import LakeTable
 
 
-def ingest_bars(bars: DataFrame, table: LakeTable, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch is one batch folder of the table: a replayed batch overwrites itself."""
+def _into(table: LakeTable, checkpoint: str):
+    """Write each micro-batch as one batch folder. Batch numbers start anew with every checkpoint, so the checkpoint names the
+    writer: a replayed batch overwrites itself and nothing else."""
+    own = table.written_by("stream-" + hashlib.sha1(checkpoint.rstrip("/").encode()).hexdigest()[:16])
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        table.write_batch(batch, batch_id)
-    return (bars.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        own.write_batch(batch, batch_id)
+    return write
+
+
+def _known_only(rows: DataFrame, assets: DataFrame | None) -> DataFrame:
+    return rows if assets is None else split_known(rows, assets)[0]
+
+
+def ingest_bars(bars: DataFrame, table: LakeTable, checkpoint: str, assets: DataFrame | None = None) -> StreamingQuery:
+    """Stores every micro-batch; with ``assets``, bars of unknown assets are left out."""
+    return (_known_only(bars, assets).writeStream.foreachBatch(_into(table, checkpoint)).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def ingest_news(articles: DataFrame, table: LakeTable, checkpoint: str, delay: str = "2 days") -> StreamingQuery:
-    """Drops repeats of an article inside the watermark before writing; later ones resolve on read."""
-    unique = (articles.withWatermark("published_at", delay)
-              .dropDuplicatesWithinWatermark(["asset_id", "source_id", "url"]))
+def ingest_news(articles: DataFrame, table: LakeTable, checkpoint: str, assets: DataFrame | None = None) -> StreamingQuery:
+    """Stores every micro-batch, the latest version of an article inside it; versions in different batches resolve on
+    read. No state is kept and no article is too late, so a correction always replaces what it corrects."""
+    write = _into(table, checkpoint)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        table.write_batch(batch, batch_id)
-    return (unique.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    def newest(batch: DataFrame, batch_id: int) -> None:
+        write(latest_per_key(batch, table.keys, [*table.order, "published_at", "headline"]), batch_id)
+    return (_known_only(articles, assets).writeStream.foreachBatch(newest).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
@@ -50,23 +65,11 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 
 def running_state(runs: DataFrame) -> DataFrame:
-    """Running ingestion state per (ticker, provider), for update or complete mode."""
-    ok = F.col("fetch_status") == "success"
-    rank = F.struct("started_at", "run_id")
-    return runs.groupBy("ticker", "provider_name").agg(
-        F.max_by(F.struct("started_at", "fetch_status", "error_message"), rank).alias("attempt"),
-        F.max_by(F.struct("started_at", "record_count_fetched"), F.when(ok, rank)).alias("success"),
-        F.count("*").alias("runs"),
-    ).select("ticker", "provider_name", F.col("attempt.started_at").alias("request_timestamp"),
-             F.col("attempt.fetch_status").alias("fetch_status"),
-             F.when(F.col("attempt.fetch_status") != "success", F.col("attempt.error_message")).alias("error_message"),
-             F.col("success.started_at").alias("last_successful_fetch_at"),
-             F.col("success.record_count_fetched").alias("record_count_fetched"), "runs")
+    """Running ingestion state per (ticker, provider), for update or complete mode: all fields of the batch state."""
+    return ingestion_state(runs)
 
 
 def upsert_state(stream: DataFrame, table: LakeTable, checkpoint: str) -> StreamingQuery:
     """Writes changed state rows of every micro-batch; readers take the latest per key."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        table.write_batch(batch, batch_id)
-    return (stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (stream.writeStream.outputMode("update").foreachBatch(_into(table, checkpoint)).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -171,7 +171,7 @@ def test_forecast_run_end_to_end(spark, universe):
     assert result.expanding["forest_folds"] and sum(w["weight"] for w in result.pillar_weights) == pytest.approx(1)
     # weights in standardized units against the closed form
     frame_, features, _ = train.prepare(spark.read.parquet(f"{root}/technical_features").join(
-        spark.read.parquet(f"{root}/sentiment_features").drop("batch_id"), ["asset_id", "feature_date"], "left").join(assets, "asset_id"))
+        spark.read.parquet(f"{root}/sentiment_features").drop("batch_id", "writer"), ["asset_id", "feature_date"], "left").join(assets, "asset_id"))
     pdf = frame_.where(F.col(RETURN_TARGET).isNotNull()).toPandas()
     _, beta = ridge(pdf[features].to_numpy(float), pdf[RETURN_TARGET].to_numpy(float), 2.0)
     np.testing.assert_allclose([result.ridge_weights[f] for f in features], beta, rtol=1e-5, atol=1e-8)

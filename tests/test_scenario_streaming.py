@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from checks.streams import as_stream
 from marketloom.operators import scenario as sc
 from marketloom.session import scratch_path
+from marketloom.sources.lake import LakeTable
 from marketloom.streaming import ingest
 
 PRICES = [100, 101, 100.5, 101.7, 102.1, 101.8, 102.4, 103]
-BANDS = ["p05", "p25", "p50", "p75", "p95"]
 
 
 def inputs(spark, drift=0.001, vol=0.02, n=1):
@@ -28,50 +28,6 @@ def test_inputs(prices):
     assert sc.scenario_inputs(prices([100, 101])).count() == 0
 
 
-@pytest.mark.parametrize("hash_name", ["xxhash64", "md5"])
-def test_shapes_and_start(spark, hash_name):
-    paths = sc.scenario_paths(inputs(spark), 10, 20, hash_name=hash_name)
-    assert paths.count() == 11 * 20
-    assert {r.price for r in paths.where("step = 0").collect()} == {100.0}
-
-
-def test_without_volatility_paths_are_exact(spark):
-    last = sc.scenario_paths(inputs(spark, vol=0.0), 12, 3).where("step = 12").collect()
-    assert all(r.price == pytest.approx(100 * math.exp(0.012)) for r in last)
-    s = sc.terminal_summary(sc.terminal_prices(inputs(spark, vol=0.0), 12, 3)).first()
-    assert s.probability_above_start == 1.0 and s.probability_below_start == 0.0
-
-
-def test_moments(spark):
-    rows = sc.terminal_prices(inputs(spark), 20, 4000).select(F.ln(F.col("terminal_price") / 100).alias("x")).toPandas().x
-    assert rows.mean() == pytest.approx(20 * (0.001 - 0.0002), abs=0.006)
-    assert rows.std() == pytest.approx(0.02 * math.sqrt(20), rel=0.05)
-
-
-def test_terminal_equals_last_step_of_paths(spark):
-    a = {r.path_id: r.price for r in sc.scenario_paths(inputs(spark), 15, 30).where("step = 15").collect()}
-    b = {r.path_id: r.terminal_price for r in sc.terminal_prices(inputs(spark), 15, 30).collect()}
-    assert a == pytest.approx(b)
-
-
-def test_results_do_not_depend_on_partitioning(spark):
-    def total():
-        return sorted((r.asset_id, r.path_id, r.terminal_price) for r in sc.terminal_prices(inputs(spark, n=3).repartition(3), 9, 11).collect())
-    first = total()
-    spark.conf.set("spark.sql.shuffle.partitions", "3")
-    try:
-        assert total() == first
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
-
-
-def test_bands_are_ordered(spark):
-    rows = sc.percentile_bands(sc.scenario_paths(inputs(spark), 8, 50)).collect()
-    assert len(rows) == 9 and all([r[b] for b in BANDS] == sorted(r[b] for b in BANDS) for r in rows)
-    approx = sc.percentile_bands(sc.scenario_paths(inputs(spark), 8, 50), exact=False)
-    assert approx.count() == 9
-
-
 def test_forecast_inputs(spark):
     f = spark.createDataFrame([(0, 20, 0.04, 0.3, 0.32, 0.5), (1, 10, None, None, None, 0.05)],
                               "asset_id long, prediction_horizon_days int, predicted_return_20d double, downside_probability_20d double, "
@@ -82,25 +38,6 @@ def test_forecast_inputs(spark):
     assert got[2].daily_volatility == 0.02 and got[2].forecast_horizon_days is None
 
 
-def test_scenarios_share_shocks(spark):
-    both = sc.compare_scenarios(inputs(spark), inputs(spark, drift=0.002))
-    rows = sc.terminal_prices(both, 10, 25).groupBy("path_id").pivot("scenario").agg(F.first("terminal_price")).collect()
-    assert all(r.forecast_informed / r.historical == pytest.approx(math.exp(0.01)) for r in rows)
-
-
-def test_histogram_holds_every_path(spark):
-    t = sc.terminal_prices(inputs(spark, n=2), 10, 200)
-    h = sc.terminal_histogram(t)
-    assert h.agg(F.sum("paths")).first()[0] == 400 and h.agg(F.max("bin")).first()[0] == 36
-    flat = sc.terminal_histogram(sc.terminal_prices(inputs(spark, vol=0.0), 10, 5)).collect()
-    assert len(flat) == 1 and flat[0].paths == 5
-
-
-def test_display_paths(spark):
-    d = sc.display_paths(sc.scenario_paths(inputs(spark), 5, 100), 75)
-    assert d.where("path_id > 0").count() == 75 * 6 and d.where("path_id = 0").count() == 6
-
-
 def test_stream_drops_late_days(spark):
     day = [dt.datetime(2026, 1, d, 12) for d in (1, 2, 9, 10, 1)]
     schema = "asset_id long, published_at timestamp, sentiment_score double, sentiment_label string"
@@ -119,9 +56,54 @@ def test_stream_state_keeps_last_success(spark):
     rows = spark.range(40).select(
         F.lit("A").alias("ticker"), F.lit("p").alias("provider_name"), F.col("id").alias("run_id"),
         F.timestamp_seconds("id").alias("started_at"), F.when(F.col("id") < 30, "success").otherwise("timeout").alias("fetch_status"),
-        F.lit("slow").alias("error_message"), F.col("id").alias("record_count_fetched"))
+        F.lit("slow").alias("error_message"), F.col("id").alias("record_count_fetched"), F.lit("stock").alias("asset_type"),
+        F.lit(dt.date(2026, 1, 1)).alias("coverage_start_date"), F.lit(dt.date(2026, 1, 2)).alias("coverage_end_date"))
     q = (ingest.running_state(as_stream(rows)).writeStream.outputMode("complete").format("memory").queryName("state")
          .option("checkpointLocation", scratch_path(spark, "ck")).trigger(availableNow=True).start())
     q.awaitTermination()
     row, = spark.sql("select * from state").collect()
-    assert (row.record_count_fetched, row.fetch_status, row.error_message, row.runs) == (29, "timeout", "slow", 40)
+    assert (row.record_count_fetched, row.fetch_status, row.error_message) == (29, "timeout", "slow")
+
+
+T0 = dt.datetime(2026, 1, 5)
+
+
+def articles(spark, rows):
+    """(provider id, url, headline, day)"""
+    return spark.createDataFrame([(1, 1, i, u, h, T0, T0 + dt.timedelta(days=d)) for i, u, h, d in rows],
+                                 "asset_id long, source_id long, provider_article_id string, url string, headline string, published_at timestamp, "
+                                 "ingestion_timestamp timestamp")
+
+
+def test_bulk_load_and_streams_keep_each_others_rows(spark):
+    def bars(ids):
+        return spark.createDataFrame([(i, 1, dt.date(2026, 1, 2), float(i), T0) for i in ids],
+                                     "asset_id long, source_id long, price_date date, close_price double, ingestion_timestamp timestamp")
+    table = LakeTable(spark, scratch_path(spark, "lake"), "historical_prices", ["ingestion_timestamp"])
+    table.write_batch(bars(range(50)), 0)
+    known = spark.range(130).select(F.col("id").alias("asset_id"))
+    for ids in (range(50, 100), range(100, 150)):
+        ingest.ingest_bars(as_stream(bars(ids)), table, scratch_path(spark, "ck"), known).awaitTermination()
+    assert sorted(r.asset_id for r in table.current().collect()) == list(range(130))
+    again = LakeTable(spark, table.root, table.name, table.order)
+    again.compact(scratch_path(spark, "snapshot"))
+    later = LakeTable(spark, table.root, table.name, table.order)
+    assert later.snapshot and later.batches().count() == 0 and later.current().count() == 130
+    assert later.next_batch() == 1
+
+
+def test_corrected_and_late_articles_replace_the_stored_ones(spark):
+    table = LakeTable(spark, scratch_path(spark, "lake"), "news_articles", ["ingestion_timestamp"])
+    first = [(f"p{i}", f"u{i}", "old", 0) for i in range(20)] + [(None, "plain", "old", 0)]
+    for rows in (first, [("p1", "u1", "corrected", 40), ("p2", "moved", "new url", 40), (None, "plain", "corrected", 40)]):
+        ingest.ingest_news(as_stream(articles(spark, rows), files=1), table, scratch_path(spark, "ck")).awaitTermination()
+
+    def state(t):
+        return {r.url: (r.provider_article_id, r.headline) for r in t.current().collect()}
+    got = state(table)
+    assert len(got) == 21 and got["u1"] == ("p1", "corrected") and got["moved"] == ("p2", "new url") and "u2" not in got and got["plain"][1] == "corrected"
+    folded = table.compact(scratch_path(spark, "snapshot"))
+    assert state(folded) == got
+    folded.write_batch(articles(spark, [("p3", "u3b", "third url", 50)]), folded.next_batch())
+    after = state(folded)
+    assert len(after) == 21 and "u3" not in after and after["u3b"] == ("p3", "third url")

@@ -169,7 +169,7 @@ def test_snapshot_is_not_reshuffled(spark):
     assert len(rows) == 100 and sorted(float(r.close_price) for r in rows)[-3:] == [2.0] * 3
     assert {r.created_at for r in rows} == {T0}
     table = table.compact(f"{root}/snapshot-2")
-    assert table.since_batch == 2 and table.current().count() == 100
+    assert table.folded == {"bulk": 1} and table.current().count() == 100
 
 
 def test_top_rows_are_limited_before_the_shuffle(spark):
