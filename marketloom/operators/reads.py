@@ -71,6 +71,8 @@ def price_history(prices: DataFrame, assets: DataFrame, sources: DataFrame, tick
             .join(sources.select("source_id", "source_name"), "source_id")
             .select("ticker", "price_date", "open_price", "high_price", "low_price", "close_price",
                     "adjusted_close", "volume", "source_name", "ingestion_timestamp"))
+    if ticker is None and limit is None:
+        return rows  # the whole universe is not sorted
     ordered = rows.orderBy("price_date", "ticker", "source_name")
     return ordered if limit is None else ordered.limit(limit)
 
@@ -92,6 +94,8 @@ def market_feature_source(prices: DataFrame, assets: DataFrame, sources: DataFra
                           resolve: bool = True) -> DataFrame:
     """Feature input of all assets with the analysis price, one row per (asset, date)."""
     rows = _between(prices, "price_date", start, end)
+    if ticker is not None:  # before the aggregation, which then sees one asset only
+        rows = rows.join(_only(assets, ticker).select("asset_id"), "asset_id", "left_semi")
     if resolve:
         rows = resolve_prices(rows, source_priority)
     return (rows.join(_only(assets, ticker).select("asset_id", "ticker"), "asset_id")
@@ -232,7 +236,8 @@ _PREDICTION_HEAD = ["as_of_date", "prediction_horizon_days", "regression_model_n
 
 def predictions(stored: DataFrame, assets: DataFrame, ticker: str | None = None) -> DataFrame:
     rows = stored.join(_only(assets, ticker).select("asset_id", "ticker"), "asset_id")
-    return rows.select("ticker", "model_run_id", *_PREDICTION_HEAD).orderBy("ticker", "as_of_date")
+    listed = rows.select("ticker", "model_run_id", *_PREDICTION_HEAD)
+    return listed if ticker is None else listed.orderBy("ticker", "as_of_date")
 
 
 # fixed values: same-day features shown with a prediction

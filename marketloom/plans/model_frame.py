@@ -162,6 +162,5 @@ def impute(frame: DataFrame, medians: dict[str, float]) -> DataFrame:
 def latest_rows(frame: DataFrame, as_of=None) -> DataFrame:
     """Latest row per asset, on or before ``as_of``."""
     rows = frame if as_of is None else frame.where(F.col("feature_date") <= F.lit(as_of).cast("date"))
-    payload = [c for c in rows.columns if c != "asset_id"]
-    return (rows.groupBy("asset_id").agg(F.max_by(F.struct(*payload), "feature_date").alias("r"))
-            .select("asset_id", "r.*"))
+    after = F.lead("feature_date").over(series("feature_date"))  # one row per asset and date: the last has none after it
+    return rows.withColumn("_after", after).where(F.col("_after").isNull()).drop("_after")
