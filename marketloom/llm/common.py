@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.session import materialize
+from marketloom.session import scratch_path
 
 # The white space that ends a word.
 WHITE_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -48,8 +48,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back, so that nothing above is computed twice."""
-    return materialize(df, name)
+    """Write to the shared folder, tightly packed, and read back, so that nothing above is computed twice."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def byte_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

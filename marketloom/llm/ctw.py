@@ -16,18 +16,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import id_remainder, read_table, text_bytes, written
 
 #: Bytes of context.
 DEPTH = 5
+#: Bytes at the start of a word whose context also holds the topic.
+TOPIC_BYTES = 3
 #: Words and bytes of text that one task gathers before it closes a chunk.
 CHUNK_WORDS = 1_000_000
 CHUNK_BYTES = 64 << 20
-#: Scored byte windows up to this number are sent to the tasks that score words; more are joined.
-SENT_WINDOWS = 8_000_000
+#: Distinct words that are scored together, and distinct windows whose trees are built together.
+PART_WORDS = 200_000
+PART_WINDOWS = 80_000
+#: Scored windows up to this number (16 bytes each) are sent to the tasks that score words; more go the way of ``_ask_for_windows``.
+SENT_WINDOWS = 300_000
+#: Documents in one batch of what a task writes.
+_BATCH_DOCS = 2000
 
 # What closes a word, and the word that ends a text. Neither can be part of a word.
 WORD_END = b"\x20"
@@ -69,8 +76,8 @@ def _word_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pydict(empty(n) | {
             "chunk": pa.array(np.full(n, chunk)), "doc_id": pa.array(ids, pa.int64()), "train": pa.array(train), "topic": pa.array(topics, pa.int32()),
             "tokens": pa.array(tokens, pa.int64()), "bytes": pa.array(size, pa.int64()),
-            "places": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(places).astype(np.int32))),
-            "counts": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(counts).astype(np.int32)))}, schema=_UNITS)
+            "places": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(places))),
+            "counts": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(counts)))}, schema=_UNITS)
     chunk, entries, seen, held = opened()
     for batch in batches:
         rows, places, counts = [], [], []
@@ -80,7 +87,7 @@ def _word_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             about = topic(count)
             count[TEXT_END] = 1
             mark = bytes([about])
-            own, times = np.array([entries[mark + w] for w in count], np.int64), np.array(list(count.values()), np.int64)
+            own, times = np.array([entries[mark + w] for w in count], np.int32), np.array(list(count.values()), np.int32)
             if len(entries) > len(seen):
                 seen = np.r_[seen, np.zeros(max(len(seen), len(entries)), np.int64)]
             if train:
@@ -90,10 +97,12 @@ def _word_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             places.append(own)
             counts.append(times)
             held += size
-            if len(entries) >= CHUNK_WORDS or held >= CHUNK_BYTES:
+            full = len(entries) >= CHUNK_WORDS or held >= CHUNK_BYTES
+            if full or len(rows) >= _BATCH_DOCS:
                 yield documents(chunk, rows, places, counts)
-                yield closed(chunk, entries, seen)
                 rows, places, counts = [], [], []
+            if full:
+                yield closed(chunk, entries, seen)
                 chunk, entries, seen, held = opened()
         if rows:
             yield documents(chunk, rows, places, counts)
@@ -105,7 +114,7 @@ def word_windows(entries: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]
     """(window, row) for every byte of every entry (a topic byte and a word) and the byte that closes it.
 
     A window packs the topic, ``depth`` bytes of context and the coded byte into one integer. Before the start of a word the
-    context is blank; once it no longer reaches the start, the topic is left out (zero).
+    context is blank; after the first bytes of a word, which tell as much, the topic is left out (zero).
     """
     raw = [w.as_py() for w in entries]
     lengths = np.array([len(w) for w in raw], np.int64)  # coded bytes: the word and what closes it
@@ -117,104 +126,151 @@ def word_windows(entries: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]
     code = np.zeros(len(rows), np.int64)
     for k in range(depth + 1):
         code = (code << 8) | data[at + k]
-    return code | np.where(step < depth, about[rows], 0) << 8 * (depth + 1), rows
+    return code | np.where(step < TOPIC_BYTES, about[rows], 0) << 8 * (depth + 1), rows
 
 
-def _lgamma(x: Column) -> Column:
+def _lgamma(x: np.ndarray) -> np.ndarray:
     """log Gamma for x >= 0.5: Stirling's series seven steps up."""
-    z, product = x + 7, x
+    z, product = x + 7, x.copy()
     for k in range(1, 7):
         product = product * (x + k)
-    series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
-    return series - F.log(product)
-
-
-def _kt(zeros: Column, ones: Column) -> Column:
-    """Log probability that Krichevsky and Trofimov's estimator gives to so many zeros and ones."""
-    return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - math.log(math.pi) - _lgamma(zeros + ones + 1)
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - np.log(product)
 
 
-def _bits(window: Column) -> Column:
-    """The eight binary decisions of the coded byte: (node of the byte's bit tree, bit)."""
-    byte = window.bitwiseAND(F.lit(255))
-    return F.array(*[F.struct(F.shiftright(byte, 8 - k).bitwiseOR(F.lit(1 << k)).cast("int").alias("node"),
-                              F.shiftright(byte, 7 - k).bitwiseAND(F.lit(1)).cast("int").alias("bit")) for k in range(8)])
+class _Level:
+    """Nodes of one depth, ordered by key: the context's bytes and the node of the coded byte's bit tree.
 
+    ``own`` is the log probability that Krichevsky and Trofimov's estimator gives to the node's zeros and ones, ``weighted`` half
+    of it and half of what the nodes below give together.
+    """
 
-def _decisions(windows: DataFrame) -> DataFrame:
-    rows = windows.withColumn("x", F.explode(_bits(F.col("window"))))
-    return rows.withColumns({"context": F.shiftrightunsigned("window", 8), "node": F.col("x.node"), "bit": F.col("x.bit")}).drop("x")
-
-
-def context_tree(windows: DataFrame, depth: int) -> list[DataFrame]:
-    """Predictions of the weighted tree of ``depth`` symbols, one written table per depth: (context, node, stop, mix, reach).
-
-    ``windows`` has (window, n) of the training text. From the leaves up, a node's weighted probability is half its
-    own KT probability and half the product of its children's; from the root down, the share of each depth in the
-    mixture follows. ``stop`` is the probability of a one if nothing deeper has been seen: the deepest seen
-    node takes the weight that is left. A level groups the rows of the level below, at most 256 per key, so that no
-    key is hot and the tree may grow with the corpus.
+    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None):
+        self.keys, where = np.unique(keys, return_inverse=True)
+        n = len(self.keys)
+        self.zeros, self.ones = (np.bincount(where, x, n).astype(float) for x in (zeros, ones))
+        self.own = _lgamma(self.zeros + 0.5) + _lgamma(self.ones + 0.5) - math.log(math.pi) - _lgamma(self.zeros + self.ones + 1)
+        self.leaf = below is None
+        self.weighted = self.own if self.leaf else np.logaddexp(self.own, np.bincount(where, below, n)) - math.log(2)
+
+    def above(self, depth: int) -> np.ndarray:
+        """Keys of the nodes at ``depth``, one for each node here."""
+        return _keys(self.keys >> 8, self.keys & 255, depth)
+
+    def mixed(self, mix: np.ndarray, reach: np.ndarray) -> None:
+        """From the mixture above: ``stop``, the probability of a one if nothing deeper has been seen (the deepest node takes
+        the weight that is left), and the mixture and the weight that go on."""
+        p = (self.ones + 0.5) / (self.zeros + self.ones + 1)
+        share = np.ones(len(p)) if self.leaf else np.minimum(1.0, 0.5 * np.exp(self.own - self.weighted))
+        self.stop, self.mix, self.reach = mix + reach * p, mix + reach * share * p, reach * (1 - share)
+
+    def at(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the keys, and which of them are here."""
+        if len(self.keys) == 0:
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return place, self.keys[place] == keys
+
+
+def _keys(context: np.ndarray, node: np.ndarray, depth: int) -> np.ndarray:
+    return (context & ((1 << 8 * depth) - 1)) << 8 | node
+
+
+def _decisions(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context, node and bit of the eight decisions of each window's byte, one after another."""
+    k, byte = np.arange(8)[None, :], (windows & 255)[:, None]
+    return np.repeat((windows >> 8) & ((1 << 56) - 1), 8), (byte >> (8 - k) | 1 << k).ravel(), (byte >> (7 - k) & 1).ravel()
+
+
+def _lower_levels(windows: np.ndarray, n: np.ndarray, depth: int) -> list[_Level]:
+    """Levels ``depth`` to 2 of the trees below one or more pairs of latest bytes; deepest first."""
+    context, node, bit = _decisions(windows[n > 0])
+    weight = np.repeat(n[n > 0], 8)
+    levels = [_Level(_keys(context, node, depth), weight * (1 - bit), weight * bit, None)]
+    for d in range(depth - 1, 1, -1):
+        last = levels[-1]
+        levels.append(_Level(last.above(d), last.zeros, last.ones, last.weighted))
+    return levels
+
+
+def window_scores(windows: DataFrame, depth: int) -> DataFrame:
+    """(window, lp) for (window, n): log10 probability of each window's byte after its ``depth`` symbols of context.
+
+    ``n`` counts the window in the training text, 0 if it is only asked for. All contexts that end in the same two bytes are one
+    family of trees; families are dealt into parts of about PART_WINDOWS windows. A first pass weighs each part up to
+    depth 2 and sends sums for depth 1, at most 256 x 255 rows whatever the corpus, to the driver, which
+    weighs depths 1 and 0; a second pass goes down from there and sums the eight decisions of each window.
     """
-    zeros, ones = F.col("zeros").cast("double"), F.col("ones").cast("double")
-    leaf = _decisions(windows.where("n > 0")).groupBy("context", "node").agg(
-        F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("zeros"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("ones"))
-    levels = [written(leaf.withColumn("own", _kt(zeros, ones)).withColumn("weighted", F.col("own")), "level")]
-    for d in range(depth - 1, -1, -1):
-        up = levels[0].groupBy(F.col("context").bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("context"), "node").agg(
-            F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below")).withColumn("own", _kt(zeros, ones))
-        top = F.greatest("own", "below")
-        weighted = top + F.log(0.5 * F.exp(F.col("own") - top) + 0.5 * F.exp(F.col("below") - top))
-        levels.insert(0, written(up.withColumn("weighted", weighted).drop("below"), "level"))
-    out: list[DataFrame] = []
-    for d, level in enumerate(levels):
-        share = F.lit(1.0) if d == depth else F.least(F.lit(1.0), 0.5 * F.exp(F.col("own") - F.col("weighted")))
-        rows = level.select("context", "node", ((ones + 0.5) / (zeros + ones + 1)).alias("p"), share.alias("share"))
-        if d == 0:
-            rows = rows.withColumns({"mix_above": F.lit(0.0), "reach_above": F.lit(1.0)})
-        else:
-            above = out[-1].select(F.col("context").alias("parent"), "node", F.col("mix").alias("mix_above"), F.col("reach").alias("reach_above"))
-            rows = rows.withColumn("parent", F.col("context").bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1))).join(above, ["parent", "node"])
-        out.append(written(rows.select("context", "node", (F.col("mix_above") + F.col("reach_above") * F.col("p")).alias("stop"),
-                                       (F.col("mix_above") + F.col("reach_above") * F.col("share") * F.col("p")).alias("mix"),
-                                       (F.col("reach_above") * (1 - F.col("share"))).alias("reach")), "mixture"))
-    return out
-
-
-def window_scores(windows: DataFrame, tree: list[DataFrame]) -> DataFrame:
-    """(window, lp): log10 probability of each window's byte after its context, summed over its eight decisions."""
-    depth = len(tree) - 1
-    rows = _decisions(windows.select("window"))
-    deepest = tree[depth].select("context", "node", F.col("stop").alias("one"))
-    first = written(rows.join(deepest, ["context", "node"], "left"), "decisions")
-    rest = first.where("one is null").drop("one")
-    for d in range(depth - 1, -1, -1):
-        shorter = tree[d].select(F.col("context").alias(f"c{d}"), F.col("node").alias(f"n{d}"), F.col("stop").alias(f"one{d}"))
-        rest = rest.join(shorter, (F.col("context").bitwiseAND(F.lit((1 << 8 * d) - 1)) == F.col(f"c{d}")) & (F.col("node") == F.col(f"n{d}")), "left")
-    unseen = rest.withColumn("one", F.coalesce(*[f"one{d}" for d in range(depth - 1, -1, -1)], F.lit(0.5)))
-    both = first.where("one is not null").select("window", "bit", "one").unionByName(unseen.select("window", "bit", "one"))
-    return both.groupBy("window").agg(F.sum(F.log10(F.when(F.col("bit") == 1, F.col("one")).otherwise(1 - F.col("one")))).alias("lp"))
+    parts = max(1, -(-windows.count() // PART_WINDOWS))
+    family = F.shiftright("window", 8).bitwiseAND(F.lit(0xFFFF))
+    dealt = windows.select(F.pmod(F.xxhash64(family), F.lit(parts)).alias("part"), "window", "n")
+
+    def upward(table: pa.Table) -> pa.Table:
+        last = _lower_levels(table["window"].to_numpy(), table["n"].to_numpy(), depth)[-1]
+        keys, where = np.unique(last.above(1), return_inverse=True)
+        sums = [np.bincount(where, x, len(keys)).astype(float) for x in (last.zeros, last.ones, last.weighted)]
+        return pa.table([pa.array(keys), *map(pa.array, sums)], names=["key", "zeros", "ones", "below"])
+    sums = dealt.groupBy("part").applyInArrow(upward, "key long, zeros double, ones double, below double").groupBy("key").agg(
+        *[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toPandas()
+    first = _Level(*(sums[c].to_numpy() for c in ("key", "zeros", "ones", "below")))
+    root = _Level(first.above(0), first.zeros, first.ones, first.weighted)
+    root.mixed(np.zeros(len(root.keys)), np.ones(len(root.keys)))
+    place = root.at(first.above(0))[0]
+    first.mixed(root.mix[place], root.reach[place])
+
+    def downward(table: pa.Table) -> pa.Table:
+        asked = table["window"].to_numpy()
+        levels = [*_lower_levels(asked, table["n"].to_numpy(), depth), first, root]  # from depth to 0
+        for d in range(2, depth + 1):
+            level, over = levels[depth - d], levels[depth - d + 1]
+            place, _ = over.at(level.above(d - 1))
+            level.mixed(over.mix[place], over.reach[place])
+        context, node, bit = _decisions(asked)
+        one, open_ = np.full(len(bit), 0.5), np.arange(len(bit))
+        for d, level in zip(range(depth, -1, -1), levels):
+            place, here = level.at(_keys(context[open_], node[open_], d))
+            one[open_[here]] = level.stop[place[here]]
+            open_ = open_[~here]
+        lp = np.log10(np.where(bit == 1, one, 1 - one)).reshape(-1, 8).sum(axis=1)
+        return pa.table([pa.array(asked), pa.array(lp)], names=["window", "lp"])
+    return dealt.groupBy("part").applyInArrow(downward, "window long, lp double")
 
 
 def _score_words(words: DataFrame, scores: DataFrame, depth: int) -> DataFrame:
     """``words`` (word, c), the word with its topic byte, with lp: the log10 probability of its bytes and the one that closes it."""
     if scores.count() > SENT_WINDOWS:
-        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                code, rows = word_windows(batch.column(0), depth)
-                yield pa.RecordBatch.from_arrays([c.take(pa.array(rows)) for c in batch.columns] + [pa.array(code)], ["word", "c", "window"])
-        joined = words.mapInArrow(spread, "word binary, c long, window long").join(scores, "window")
-        return joined.groupBy("word").agg(F.any_value("c").alias("c"), F.sum("lp").alias("lp"))
+        return _ask_for_windows(words, scores, depth)
     table = scores.toPandas().sort_values("window")
     keys, values = table["window"].to_numpy(), table["lp"].to_numpy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             code, rows = word_windows(batch.column(0), depth)
-            lp = np.bincount(rows, values[np.searchsorted(keys, code)], minlength=batch.num_rows) if len(rows) else np.zeros(0)
+            lp = np.bincount(rows, values[np.searchsorted(keys, code)], minlength=batch.num_rows).astype(float)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp)], ["word", "c", "lp"])
     return words.mapInArrow(run, "word binary, c long, lp double")
 
 
+def _ask_for_windows(words: DataFrame, scores: DataFrame, depth: int) -> DataFrame:
+    """The same by joins: words are dealt into parts of about PART_WORDS; a part asks for each of its distinct windows once
+    and sums what comes back."""
+    parts = max(1, -(-words.count() // PART_WORDS))
+    dealt = words.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(parts)))
+
+    def distinct(table: pa.Table) -> pa.Table:
+        own = np.unique(word_windows(table["word"], depth)[0])
+        return pa.table([pa.array(np.full(len(own), table["part"][0].as_py())), pa.array(own)], names=["part", "window"])
+    asked = dealt.select("part", "word").groupBy("part").applyInArrow(distinct, "part long, window long")
+    answers = asked.join(scores, "window").select(F.col("part").alias("for_part"), "window", "lp")
+
+    def summed(table: pa.Table, answers: pa.Table) -> pa.Table:
+        code, rows = word_windows(table["word"], depth)
+        order = np.argsort(answers["window"].to_numpy())
+        keys, values = answers["window"].to_numpy()[order], answers["lp"].to_numpy()[order]
+        return pa.table([table["word"], table["c"], pa.array(np.bincount(rows, values[np.searchsorted(keys, code)], minlength=len(table)))],
+                        names=["word", "c", "lp"])
+    return dealt.groupBy("part").cogroup(answers.groupBy("for_part")).applyInArrow(summed, "word binary, c long, lp double")
+
+
 def score_texts(docs: DataFrame, train: Column, depth: int = DEPTH) -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) per row of ``docs``.
 
@@ -230,25 +286,39 @@ def score_texts(docs: DataFrame, train: Column, depth: int = DEPTH) -> DataFrame
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), text_bytes().alias("text"))
     units = written(rows.mapInArrow(_word_units, _UNITS_SQL), "units")
     entries, documents = units.where("word is not null"), units.where("word is null")
-    counted = written(entries.groupBy("word").agg(F.sum("n").alias("n")), "entries")
-    plain = F.expr("substring(word, 2)")
-    totals = written(counted.groupBy(plain.alias("plain")).agg(F.sum("n").alias("c")), "words")
-    total, known = totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    # one shuffle by the word itself gives the counts per topic and word and, above them, per word
+    plain, mark = F.expr("substring(word, 2)"), F.expr("substring(word, 1, 1)")
+    by_word = entries.select(plain.alias("plain"), mark.alias("mark"), "n").repartition("plain").groupBy("plain", "mark").agg(F.sum("n").alias("n"))
+    same = Window.partitionBy("plain")
+    counted = written(by_word.select(F.concat("mark", "plain").alias("word"), "n", F.sum("n").over(same).alias("c"),
+                                     (F.col("mark") == F.min("mark").over(same)).alias("first")), "entries")
+    total, known = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("first") & (F.col("c") > 0), 1))).first()
     topics = {r[0]: r[1] for r in documents.where("train").groupBy("topic").count().collect()}
     topic_lp = np.log10((np.array([topics.get(k, 0) for k in range(256)]) + 0.5) / (sum(topics.values()) + 128))
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            code, at = word_windows(batch.column(0), depth)
+        held: list[pa.RecordBatch] = []
+
+        def summed():
+            table = pa.Table.from_batches(held)
+            code, at = word_windows(table["word"], depth)
             own, inverse = np.unique(code, return_inverse=True)
             n = np.zeros(len(own), np.int64)
-            np.add.at(n, inverse, batch.column(1).to_numpy()[at])
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], ["window", "n"])
-    windows = written(counted.mapInArrow(gathered, "window long, n long").groupBy("window").agg(F.sum("n").alias("n")), "windows")
-    scores = written(window_scores(windows, context_tree(windows, depth + 1)), "scores")
-    with_counts = counted.select("word", plain.alias("plain")).join(totals, "plain").select("word", "c")
-    scored = written(_score_words(with_counts, scores, depth), "scored")
-    looked_up = entries.select("chunk", "place", "word").join(scored, "word").select(F.col("chunk").alias("home"), "place", "c", "lp")
+            np.add.at(n, inverse, table["n"].to_numpy()[at])
+            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], ["window", "n"])
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= PART_WORDS:
+                yield summed()
+                held.clear()
+        if held:
+            yield summed()
+    windows = written(counted.select("word", "n").mapInArrow(gathered, "window long, n long").groupBy("window").agg(F.sum("n").alias("n")), "windows")
+    scores = written(window_scores(windows, depth + 1), "scores")
+    scored = written(_score_words(counted.select("word", "c"), scores, depth), "scored")
+    # words go back by 96 bits of hash, which tell any number of words apart
+    key = [F.xxhash64("word").alias("h"), F.hash("word").alias("g")]
+    looked_up = entries.select("chunk", "place", *key).join(scored.select(*key, "c", "lp"), ["h", "g"]).select(F.col("chunk").alias("home"), "place", "c", "lp")
     floor = math.log10(total + known + 1)
     schema = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
 

@@ -277,6 +277,8 @@ def test_ctw_on_awkward_rows(awkward, no_docs):
 def test_ctw_words_in_many_parts_and_chunks(docs, monkeypatch):
     whole = {r.doc_id: r.score for r in ctw.score_texts(docs, F.col("doc_id") % 5 != 0).collect()}
     monkeypatch.setattr(ctw, "PART_WORDS", 700)
+    monkeypatch.setattr(ctw, "PART_WINDOWS", 500)
+    monkeypatch.setattr(ctw, "SENT_WINDOWS", 0)
     monkeypatch.setattr(ctw, "CHUNK_WORDS", 900)
     parts = {r.doc_id: r.score for r in ctw.score_texts(docs, F.col("doc_id") % 5 != 0).collect()}
     assert whole.keys() == parts.keys() and all(parts[k] == pytest.approx(v, rel=1e-9) for k, v in whole.items())
