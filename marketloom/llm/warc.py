@@ -215,9 +215,9 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name in (n for b in batches for n in b.column(0).to_pylist()):
+        for name, listed in ((n, k) for b in batches for n, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
             fs, path = pafs.FileSystem.from_uri(name)
-            rows, held = [], 0
+            rows, held, seen = [], 0, 0
             with fs.open_input_stream(path, compression=None) as stream:
                 for head, block in read_records(stream):
                     if head["warc-type"] not in ("response", "revisit"):
@@ -229,14 +229,17 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
                     size = int(re.search(rb"Content-Length: (\d+)", http)[1])
                     row = (page(head["warc-record-id"]), head["warc-target-uri"], head["warc-type"], page(head.get("warc-refers-to")), size, digest)
                     rows.append(row + (payload,) * payloads)
+                    seen += 1
                     held += len(payload) if payloads else 100
                     if held > 8 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                         rows, held = [], 0
+            if seen != listed:  # a cut-off last frame decompresses to nothing
+                raise ValueError(f"{name}: {seen} records instead of {listed}")
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
     kinds = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * payloads
-    return archives.select("file").repartition(max(1, archives.count())).mapInArrow(run, kinds)
+    return archives.select("file", "records").repartition(max(1, archives.count())).mapInArrow(run, kinds)
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
