@@ -1,9 +1,13 @@
 """Language-model scores by context-tree weighting over bytes, beside an add-one word model.
 
-A text is coded as its lower-cased words, each closed by a blank, and a last word that ends the text. The context of a byte is up to
-DEPTH bytes before it in the word and the blank before the word; at the beginning of words, one byte more tells the topic of the
-document: a hash of its most frequent word, which is coded first. The tree weighs all depths, so a topic
-that tells nothing costs next to nothing.
+A text is coded as its lower-cased words, each closed by a blank, and a byte that ends the text.
+
+``score_running_texts`` (op3_ctw): the context of a byte is up to RUNNING_DEPTH bytes before it in the running text, across blanks;
+before the text stand TEXT_END bytes. With its byte a context fills a 64-bit window.
+
+``score_texts`` spells words by themselves: the context is up to DEPTH bytes before it in the word and the blank before the word; at the
+beginning of words, one byte more tells the topic of the document: a hash of its most frequent word, which is coded first. The tree weighs
+all depths, so a topic that tells nothing costs next to nothing.
 """
 
 from __future__ import annotations
@@ -23,6 +27,10 @@ from marketloom.llm.common import id_remainder, read_table, text_bytes, written
 
 #: Bytes of context.
 DEPTH = 5
+#: Bytes of context in running text.
+RUNNING_DEPTH = 7
+#: Bytes of running text whose distinct windows are looked up together.
+RUNNING_BYTES = 16 << 20
 #: Bytes at the start of a word whose context also holds the topic.
 TOPIC_BYTES = 3
 #: Words and bytes of text that one task gathers before it closes a chunk.
@@ -341,7 +349,107 @@ def score_texts(docs: DataFrame, train: Column, depth: int = DEPTH) -> DataFrame
     return chunks.groupBy("chunk").cogroup(looked_up.groupBy("home")).applyInArrow(summed, schema)
 
 
+_RUNNING = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("train", pa.bool_()), ("text", pa.binary()), ("word", pa.binary()),
+                     ("window", pa.int64()), ("n", pa.int64())])
+_RUNNING_SQL = "chunk long, doc_id long, train boolean, text binary, word binary, window long, n long"
+
+
+def running_windows(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(window, row) for every byte of every coded text: ``depth`` bytes before it and the byte itself, in one integer."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    data = np.frombuffer(b"".join(TEXT_END * depth + t for t in texts), np.uint8)
+    rows = np.repeat(np.arange(len(texts)), lengths)
+    at = np.arange(len(rows)) + rows * depth
+    code = np.zeros(len(rows), np.int64)
+    for k in range(depth + 1):
+        code = (code << 8) | data[at + k]
+    return code, rows
+
+
+def _running_units(depth: int):
+    """Cut a task's texts into chunks: one row per coded text, and, when a chunk closes, one per distinct word and
+    distinct window of it with its count in training texts."""
+    def rows(size, /, **columns):
+        return pa.RecordBatch.from_pydict({f.name: pa.nulls(size, f.type) for f in _RUNNING} | columns, schema=_RUNNING)
+
+    def closed(chunk, texts, train):
+        words = defaultdict(int)
+        for text, taught in zip(texts, train):
+            for w, n in Counter([*text.split(), TEXT_END]).items():
+                words[w] += n * taught
+        yield rows(len(words), chunk=pa.array(np.full(len(words), chunk)), word=pa.array(list(words), pa.binary()), n=pa.array(list(words.values()), pa.int64()))
+        code, at = running_windows(texts, depth)
+        own, inverse = np.unique(code, return_inverse=True)
+        n = np.bincount(inverse, np.array(train, np.int64)[at], len(own)).astype(np.int64)
+        for k in range(0, len(own), 1 << 16):
+            part = own[k: k + (1 << 16)]
+            yield rows(len(part), chunk=pa.array(np.full(len(part), chunk)), window=pa.array(part), n=pa.array(n[k: k + (1 << 16)]))
+
+    def documents(chunk, ids, train, texts):
+        return rows(len(ids), chunk=pa.array(np.full(len(ids), chunk)), doc_id=pa.array(ids, pa.int64()), train=pa.array(train, pa.bool_()), text=pa.array(texts, pa.binary()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, texts, taught, held = random.SystemRandom().getrandbits(62), [], [], 0
+        for batch in batches:
+            ids, first = [], len(texts)  # documents of this batch and chunk
+            for doc_id, train, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                texts.append(b"".join(w + WORD_END for w in text.as_py().lower().split()) + TEXT_END)
+                taught.append(train)
+                ids.append(doc_id)
+                held += len(texts[-1])
+                if held >= RUNNING_BYTES:
+                    yield documents(chunk, ids, taught[first:], texts[first:])
+                    yield from closed(chunk, texts, taught)
+                    chunk, texts, taught, held = random.SystemRandom().getrandbits(62), [], [], 0
+                    ids, first = [], 0
+            if ids:
+                yield documents(chunk, ids, taught[first:], texts[first:])
+        if texts:
+            yield from closed(chunk, texts, taught)
+    return run
+
+
+def score_running_texts(docs: DataFrame, train: Column, depth: int = RUNNING_DEPTH) -> DataFrame:
+    """The columns of ``score_texts``, with ``score`` under a context tree over the bytes of the running text.
+
+    Texts are cut into chunks. A chunk counts its distinct windows (context and coded byte) and words; Spark sums the counts, weighs the
+    trees, and sends each chunk the scores of its own windows and words, which it looks up for every position of its texts.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), text_bytes().alias("text"))
+    units = written(rows.mapInArrow(_running_units(depth), _RUNNING_SQL), "units")
+    texts, words, asked = (units.where(f"{c} is not null") for c in ("text", "word", "window"))
+    counted = written(words.groupBy("word").agg(F.sum("n").alias("c")), "words")
+    total, known = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    windows = written(asked.groupBy("window").agg(F.sum("n").alias("n")), "windows")
+    scores = written(window_scores(windows, depth), "scores")
+    none = F.lit(None)
+    answers = words.select("chunk", "word").join(counted, "word").select("chunk", "word", none.cast("long").alias("window"), F.col("c").cast("double").alias("value")).unionByName(
+        asked.select("chunk", "window").join(scores, "window").select("chunk", none.cast("binary").alias("word"), "window", F.col("lp").alias("value")))
+    floor = math.log10(total + known + 1)
+    schema = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
+
+    def summed(docs: pa.Table, found: pa.Table) -> pa.Table:
+        n = len(docs)
+        is_word = found["word"].is_valid()
+        of_words, of_windows = found.filter(is_word), found.filter(found["window"].is_valid())
+        seen = dict(zip(of_words["word"].to_pylist(), of_words["value"].to_pylist()))
+        keys, values = of_windows["window"].to_numpy(), of_windows["value"].to_numpy()
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        tokens, had, base, score, size = (np.zeros(n, t) for t in (np.int64, np.int64, float, float, np.int64))
+        for i, text in enumerate(docs["text"]):
+            text = text.as_py()
+            c = np.array([seen[w] for w in [*text.split(), TEXT_END]])
+            tokens[i], had[i], base[i] = len(c), (c > 0).sum(), np.log10(c + 1).sum() - len(c) * floor
+            score[i], size[i] = values[np.searchsorted(keys, running_windows([text], depth)[0])].sum(), len(text)
+        return pa.table([docs["doc_id"], docs["train"], pa.array(tokens), pa.array(had), pa.array(np.full(n, total, np.int64)), pa.array(base), pa.array(score),
+                         pa.array(size), pa.array(-score * math.log2(10) / size)],
+                        names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"])
+    return texts.select("chunk", "doc_id", "train", "text").groupBy("chunk").cogroup(
+        answers.withColumnRenamed("chunk", "home").groupBy("home")).applyInArrow(summed, schema)
+
+
 def op3_ctw(spark, sf_dir: str) -> DataFrame:
-    found = score_texts(read_table(spark, sf_dir, "documents"), id_remainder("doc_id", 7) != 2)
+    found = score_running_texts(read_table(spark, sf_dir, "documents"), id_remainder("doc_id", 7) != 2)
     return found.select("doc_id", (id_remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score",
                         "n_bytes", "bits_per_byte")
