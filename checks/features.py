@@ -309,6 +309,16 @@ def _(spark, sf):
     return assets_needing_forecast(u.assets(spark, sf), early).select("asset_id", "ticker")
 
 
+@check("q14_assets_needing_forecast_all", """
+select asset_id, ticker from x_asset where asset_id not in (
+  select asset_id from (select *, row_number() over (partition by asset_id order by as_of_date desc) as rn from x_prediction)
+  where rn = 1 and composite_ml_score is not null and confidence_score is not null and history_score is not null
+    and risk_score is not null and sentiment_score is not null and directional_signal is not null)""")
+def _(spark, sf):
+    from marketloom.plans.forecast_run import assets_needing_forecast
+    return assets_needing_forecast(u.assets(spark, sf), predictions(spark, sf)).select("asset_id", "ticker")
+
+
 @check("w24_feature_drivers", "select * from (" + """
 with slots as (""" + "\nunion all ".join(
     f"select asset_id, {i} as place, '{c}' as feature, '{l}' as label, arg_max({c}::double, feature_date) as plain, "

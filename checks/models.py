@@ -15,7 +15,7 @@ from marketloom.session import scratch_path
 from marketloom.sources import demo_universe as u
 from marketloom.sources.schemas import NEGATIVE_TARGET, RETURN_TARGET
 
-# Features of the model checks that only need the mechanics of fitting.
+# Features of the contribution checks, whose SQL spells them out.
 CORE = ["momentum_5d", "momentum_20d", "rolling_volatility_20d", "realized_volatility_20d", "ma_distance_20d",
         "drawdown_from_peak", "volume_ratio_20d", "sentiment_mean_7d", "history_score", "risk_score"]
 GENERATED = dt.datetime(2002, 1, 1)
@@ -66,9 +66,9 @@ def _(spark, sf):
 
 @check("m04_ridge_coefficients")
 def _(spark, sf):
-    vectors = train.with_vector(imputed(spark, sf, CORE), CORE)
+    vectors = train.with_vector(imputed(spark, sf), mf.MODEL_FEATURES)
     model = train.fit_ridge(train.regression_rows(vectors))
-    rows = [(f, float(c)) for f, c in zip(CORE, model.coefficients)] + [("intercept", float(model.intercept))]
+    rows = [(f, float(c)) for f, c in zip(mf.MODEL_FEATURES, model.coefficients)] + [("intercept", float(model.intercept))]
     return spark.createDataFrame(rows, "feature string, coefficient double")
 
 
@@ -140,7 +140,7 @@ def _(spark, sf):
 
 @check("m06_forest_regressor")
 def _(spark, sf):
-    vectors = train.with_vector(imputed(spark, sf, CORE), CORE).persist()
+    vectors = train.with_vector(imputed(spark, sf), mf.MODEL_FEATURES).persist()
     flag = evaluate.train_flag(vectors)
     model = train.fit_forest_regressor(train.regression_rows(vectors.where(flag)))
     return evaluate.regression_metrics(model.transform(train.regression_rows(vectors.where(~flag))))
@@ -148,7 +148,7 @@ def _(spark, sf):
 
 @check("m07_forest_classifier")
 def _(spark, sf):
-    vectors = train.with_vector(imputed(spark, sf, CORE), CORE).persist()
+    vectors = train.with_vector(imputed(spark, sf), mf.MODEL_FEATURES).persist()
     flag = evaluate.train_flag(vectors)
     model = train.fit_forest_classifier(train.classification_rows(vectors.where(flag)))
     scored = train.probability_up(model.transform(train.classification_rows(vectors.where(~flag))))
@@ -249,10 +249,10 @@ def _(spark, sf):
 
 @check("m13_permutation_importance")
 def _(spark, sf):
-    vectors = train.with_vector(imputed(spark, sf, CORE), CORE).persist()
+    vectors = train.with_vector(imputed(spark, sf), mf.MODEL_FEATURES).persist()
     flag = evaluate.train_flag(vectors)
     model = train.fit_forest_regressor(train.regression_rows(vectors.where(flag)))
-    return interpret.permutation_importance(model, train.regression_rows(vectors.where(~flag)), CORE)
+    return interpret.permutation_importance(model, train.regression_rows(vectors.where(~flag)), mf.MODEL_FEATURES)
 
 
 @check("m14_predictions")
