@@ -194,6 +194,17 @@ def _(spark, sf):
     return evaluate.mean_of_folds(evaluate.regression_metrics(blocked, ["block"], prediction="momentum_20d"), _METRICS.split())
 
 
+_FOREST_FOLD = ("regression_mae regression_rmse regression_directional_accuracy classification_accuracy classification_precision "
+                "classification_recall classification_roc_auc").split()
+
+
+@check("m10_forest_fold_metrics")
+def _(spark, sf):
+    rows = train.forest_folds_of(evaluate.fold_blocks(imputed(spark, sf)), mf.MODEL_FEATURES)
+    return spark.createDataFrame([(r["fold"], *[r.get(c) for c in _FOREST_FOLD]) for r in rows],
+                                 "fold int, " + ", ".join(f"{c} double" for c in _FOREST_FOLD))
+
+
 # Fixed coefficients: the arithmetic of contributions is checked apart from fitting.
 _COEF = {c: (-1) ** i * (0.5 + 0.1 * i) for i, c in enumerate(CORE)}
 BLOCKS["x_contribution"] = "\nunion all\n".join(
@@ -264,7 +275,7 @@ def _(spark, sf):
 @check("m16_forecast_run")
 def _(spark, sf):
     run = forecast_run.run_forecast(spark, scratch_path(spark, "forecast"), market(spark, sf), articles(spark, sf),
-                                    u.assets(spark, sf), GENERATED, forest_folds=0)
+                                    u.assets(spark, sf), GENERATED)
     return run["predictions"]
 
 
