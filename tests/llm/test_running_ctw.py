@@ -64,3 +64,9 @@ def test_running_text_equals_brute_force_and_order_counts(spark, monkeypatch):
         assert got[i].score == pytest.approx(want, rel=1e-7)
     assert got[5].score > got[6].score + 1 and got[5].base_score == pytest.approx(got[6].base_score)
     assert got[7].n_known == 1 and got[7].n_tokens == 3
+
+
+def test_running_text_on_awkward_rows(awkward, no_docs):
+    got = ctw.score_running_texts(awkward, F.col("doc_id") % 2 == 0).collect()
+    assert len(got) == awkward.count() and all(math.isfinite(r.score) and r.score < 0 for r in got)
+    assert {r.n_tokens for r in got if r.doc_id in (2, 3, 4, 11)} == {1} and ctw.score_running_texts(no_docs, F.lit(True)).count() == 0
