@@ -8,17 +8,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import read_table, written
-from marketloom.llm.tokens import ByteVocabulary, ragged, sliced_units
+from marketloom.llm.tokens import ByteVocabulary, Units, ragged, sliced_units
 
-#: A chunk of documents closes after so many characters or distinct units.
-CHUNK_CHARS = 16 << 20
-CHUNK_UNITS = 300_000
-#: Documents, units and pairs in one batch that a task writes.
-_BATCH = 1 << 14
+#: Documents in one batch that a task writes.
+_BATCH = 1 << 12
 
 # How a byte-level vocabulary spells the bytes that are no printable character of Latin-1, and the piece vocabulary's blank.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -41,11 +39,15 @@ class PieceVocabulary:
         self.bytes = [bytes([int(p[3:-1], 16)]) if self.processor.is_byte(i) else p.replace(PIECE_BLANK, " ").encode()
                       for i, p in enumerate(self.processor.id_to_piece(list(range(n))))]
 
-    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all units, each of which begins with a blank, and the number of ids of each."""
-        ids = self.processor.encode([u[1:] for u in units], num_threads=1)
-        sizes = np.array([len(x) for x in ids], np.int64)
-        return np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum())), sizes
+    def encode(self, units: Units) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all distinct units, each of which begins with a blank, and the number of ids of each."""
+        out, sizes = [np.empty(0, np.int32)], []
+        strings = [*units.words.to_pylist(), *(u[1:] for u in units.others)]
+        for k in range(0, len(strings), 1 << 14):
+            ids = self.processor.encode(strings[k: k + (1 << 14)], num_threads=1)
+            sizes += map(len, ids)
+            out.append(np.array([i for x in ids for i in x], np.int32))
+        return np.concatenate(out), np.array(sizes, np.int64)
 
 
 class SpelledVocabulary(ByteVocabulary):
@@ -114,23 +116,26 @@ class Aligner:
         self.spelled = np.array([t + s for s in (",", "|", ";", "") for t in plain], object)
         self.width = width
         self.size_b = np.array([len(x) for x in self.b.bytes], np.int64)
+        self.table_a, self.table_b = pa.array(self.a.bytes, pa.binary()), pa.array(self.b.bytes, pa.binary())
 
-    def align(self, units: list[str]):
-        """(groups, whole, n_a, n_b, n_groups, pairs, sizes): per unit its groups as text, whether both tokenizations give its bytes, and counts; a long
-        (A id << 32 | B id) per linked pair of tokens of all units, and the pairs of each unit."""
+    def _spells(self, table: pa.Array, ids: np.ndarray, sizes: np.ndarray, data: pa.Array) -> np.ndarray:
+        """Whether the tokens of each unit spell its bytes."""
+        offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+        joined = pc.binary_join(pa.ListArray.from_arrays(offsets, table.take(pa.array(ids))), b"")
+        return pc.equal(joined, data).to_numpy(zero_copy_only=False)
+
+    def align(self, units: Units):
+        """(groups, whole, n_a, n_b, n_groups, pairs): per distinct unit its groups as text, whether both tokenizations give its bytes, and counts; a
+        long (A id << 32 | B id) per linked pair of tokens of all units, as many as groups."""
         (ids_a, n_a), (ids_b, n_b) = self.a.encode(units), self.b.encode(units)
-        first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
-        whole = np.zeros(len(units), bool)
-        for i, u in enumerate(units):
-            data, a, b = u.encode(), first_a[i], first_b[i]
-            whole[i] = (b"".join([self.a.bytes[k] for k in ids_a[a: a + n_a[i]].tolist()]) == data
-                        and b"".join([self.b.bytes[k] for k in ids_b[b: b + n_b[i]].tolist()]) == data)
+        n = len(n_a)
+        data = pa.array(units.strings(), pa.string()).cast(pa.binary())
+        whole = self._spells(self.table_a, ids_a, n_a, data) & self._spells(self.table_b, ids_b, n_b, data)
         keep_a, keep_b = np.repeat(whole, n_a), np.repeat(whole, n_b)
         ids_a, ids_b, n_a, n_b = ids_a[keep_a].astype(np.int64), ids_b[keep_b].astype(np.int64), n_a * whole, n_b * whole
         # units of the same bytes lie at the same offsets in both lists
         a, b = common_ends(np.cumsum(self.a.size[ids_a]), n_a, np.cumsum(self.size_b[ids_b]), n_b)
-        unit = np.repeat(np.arange(len(units)), n_a)[a]
-        n_groups = np.bincount(unit, minlength=len(units))
+        n_groups = np.bincount(np.repeat(np.arange(n), n_a)[a], minlength=n)
         # differences of the ranks of shared offsets: how many tokens of each kind a group has, and where they go in the text
         in_a, in_b = np.diff(a, prepend=-1), np.diff(b, prepend=-1)
         group_a, group_b = np.repeat(np.arange(len(a)), in_a), np.repeat(np.arange(len(b)), in_b)
@@ -143,7 +148,7 @@ class Aligner:
         strings = self.spelled[text].tolist()
         upto = np.cumsum(n_a + n_b).tolist()
         groups = ["".join(strings[s:e]) for s, e in zip([0, *upto], upto)]
-        return groups, whole, n_a, n_b, n_groups, ids_a[a] << 32 | ids_b[b], n_groups
+        return groups, whole, n_a, n_b, n_groups, ids_a[a] << 32 | ids_b[b]
 
 
 _UNITS = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("sha", pa.string()),
@@ -152,92 +157,48 @@ _UNITS_SQL = ("chunk long, doc_id long, n_a long, n_b long, n_groups long, sha s
               "pair long, n long")
 
 
-class _Chunk:
-    """Units of a chunk, in order of their first use."""
-
-    def __init__(self):
-        self.id, self.number, self.chars = random.SystemRandom().getrandbits(62), {}, 0
-        self.groups: list[str] = []
-        self.counts = np.empty((0, 4), np.int64)  # whole, n_a, n_b, n_groups
-        self.pairs: list[np.ndarray] = []
-        self.used = np.zeros(1024, np.int64)
-
-    def numbers(self, units: list[str], aligner: Aligner) -> np.ndarray:
-        new = [u for u in dict.fromkeys(units) if u not in self.number]
-        if new:
-            groups, whole, n_a, n_b, n_groups, pairs, _ = aligner.align(new)
-            self.groups += groups
-            self.counts = np.concatenate([self.counts, np.stack([whole, n_a, n_b, n_groups], axis=1)])
-            self.pairs.append(pairs)
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-            if len(self.number) > len(self.used):
-                self.used = np.r_[self.used, np.zeros(len(self.number), np.int64)]
-        return np.array([self.number[u] for u in units], np.int64)
-
-
 def _aligned(byte_path: str, piece_path: str):
     def lists(parts):
         return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(np.concatenate(parts).astype(np.int32)))
 
     def rows(size, chunk, /, **columns):
-        filled = {"chunk": pa.array(np.full(size, chunk.id))} | columns
+        filled = {"chunk": pa.array(np.full(size, chunk))} | columns
         return pa.RecordBatch.from_pydict({f.name: filled[f.name] if f.name in filled else pa.nulls(size, f.type) for f in _UNITS}, schema=_UNITS)
 
-    def document(chunk, doc_id, parts):
-        own = np.concatenate(parts) if parts else np.empty(0, np.int64)
-        counts = chunk.counts[own]
-        if not len(own) or not counts[:, 0].all():
-            return doc_id, 0, 0, 0, "", own[:0]
+    def digest(groups, own):
         sha = hashlib.sha256()
         for k in range(0, len(own), 1 << 16):
-            sha.update((";" * (k > 0) + ";".join([chunk.groups[u] for u in own[k: k + (1 << 16)].tolist()])).encode())
-        np.add.at(chunk.used, own, 1)
-        return doc_id, *counts[:, 1:].sum(axis=0).tolist(), sha.hexdigest(), own
-
-    def documents(chunk, found):
-        ids, n_a, n_b, n_groups, sha, own = zip(*found)
-        return rows(len(found), chunk, doc_id=pa.array(ids, pa.int64()), n_a=pa.array(n_a, pa.int64()), n_b=pa.array(n_b, pa.int64()),
-                    n_groups=pa.array(n_groups, pa.int64()), sha=pa.array(sha), units=lists(own))
-
-    def closed(chunk):
-        pairs, place = np.unique(np.concatenate(chunk.pairs) if chunk.pairs else np.empty(0, np.int64), return_inverse=True)
-        sizes = chunk.counts[:, 3]
-        n = np.rint(np.bincount(place, np.repeat(chunk.used[: len(sizes)], sizes), len(pairs))).astype(np.int64)
-        for k in range(0, len(pairs), 1 << 16):
-            mine = slice(k, k + (1 << 16))
-            yield rows(len(pairs[mine]), chunk, place=pa.array(np.arange(k, k + len(pairs[mine]), dtype=np.int32)), pair=pa.array(pairs[mine]), n=pa.array(n[mine]))
-        upto = np.cumsum(sizes)
-        for k in range(0, len(sizes), 1 << 16):  # the links of some units in a row
-            mine = sizes[k: k + (1 << 16)]
-            start = upto[k] - sizes[k]
-            yield rows(1, chunk, first=pa.array([k], pa.int32()), units=lists([mine]), links=lists([place[start: start + mine.sum()]]))
+            sha.update((";" * (k > 0) + ";".join([groups[u] for u in own[k: k + (1 << 16)].tolist()])).encode())
+        return sha.hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, chunk = Aligner(byte_path, piece_path), _Chunk()
+        aligner = Aligner(byte_path, piece_path)
         for source in batches:
-            ids = source.column(0).to_pylist()
-            found, current, parts = [], -1, []
-            for units, code, counts, row_of in sliced_units(source.column(1), " "):
-                number = chunk.numbers(units, aligner)[code]
-                chunk.chars += sum(map(len, units))
-                for row, own in zip(row_of.tolist(), np.split(number, np.cumsum(counts)[:-1])):
-                    if row != current:
-                        if current >= 0:
-                            found.append(document(chunk, ids[current], parts))
-                        if len(found) >= _BATCH or (found and (chunk.chars >= CHUNK_CHARS or len(chunk.number) >= CHUNK_UNITS)):
-                            yield documents(chunk, found)
-                            found = []
-                        current, parts = row, []
-                    parts.append(own)
-            if current >= 0:
-                found.append(document(chunk, ids[current], parts))
-            if found:
-                yield documents(chunk, found)
-            if chunk.chars >= CHUNK_CHARS or len(chunk.number) >= CHUNK_UNITS:
-                yield from closed(chunk)
-                chunk = _Chunk()
-        if chunk.number:
-            yield from closed(chunk)
+            for units in sliced_units(source.column(1), " "):
+                chunk = random.SystemRandom().getrandbits(62)
+                groups, whole, n_a, n_b, n_groups, pairs = aligner.align(units)
+                used = np.zeros(len(whole), np.int64)
+                # the parts of a long text are one document
+                first = np.flatnonzero(np.diff(units.rows, prepend=-1))
+                bounds = np.r_[0, np.cumsum(units.counts)][np.r_[first, len(units.rows)]]
+                ids = source.column(0).take(pa.array(units.rows[first])).to_pylist()
+                for k in range(0, len(first), _BATCH):
+                    owns = [units.code[s:e] for s, e in zip(bounds[k: k + _BATCH], bounds[k + 1: k + _BATCH + 1])]
+                    owns = [own if whole[own].all() else own[:0] for own in owns]
+                    for own in owns:
+                        np.add.at(used, own, 1)
+                    yield rows(len(owns), chunk, doc_id=pa.array(ids[k: k + _BATCH], pa.int64()), units=lists(owns),
+                               sha=pa.array([digest(groups, own) if len(own) else "" for own in owns]),
+                               **{c: pa.array([int(x[own].sum()) for own in owns], pa.int64()) for c, x in (("n_a", n_a), ("n_b", n_b), ("n_groups", n_groups))})
+                pairs, place = np.unique(pairs, return_inverse=True)
+                n = np.rint(np.bincount(place, np.repeat(used, n_groups), len(pairs))).astype(np.int64)
+                for k in range(0, len(pairs), 1 << 16):
+                    mine = pairs[k: k + (1 << 16)]
+                    yield rows(len(mine), chunk, place=pa.array(np.arange(k, k + len(mine), dtype=np.int32)), pair=pa.array(mine), n=pa.array(n[k: k + (1 << 16)]))
+                upto = np.cumsum(n_groups)
+                for k in range(0, len(n_groups), 1 << 16):  # the links of some units in a row
+                    mine, start = n_groups[k: k + (1 << 16)], upto[k] - n_groups[k]
+                    yield rows(1, chunk, first=pa.array([k], pa.int32()), units=lists([mine]), links=lists([place[start: start + mine.sum()]]))
     return run
 
 
@@ -273,7 +234,7 @@ def align_tokens(docs: DataFrame, byte_vocabulary: str, piece_vocabulary: str) -
     count and are returned each; an empty table gives no rows; null ids stay null; other columns are not read; a very long text is cut into units
     in parts.
 
-    No token of either vocabulary goes across a blank between words, so both end there and a distinct unit is aligned once per chunk of texts. A chunk writes
+    No token of either vocabulary goes across a blank between words, so both end there and a distinct unit is aligned once per chunk (a slice of some megabytes of texts). A chunk writes
     its documents as unit numbers and its distinct pairs with their counts; Spark adds the counts, finds the highest per B id, and
     sends each chunk the counts of its own pairs. A frequent pair has one row per chunk.
     """

@@ -147,15 +147,13 @@ def document_digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) per document, from the files: the ids of all documents before it, its ids with the end id, and
     the crc32 of them as little-endian unsigned 32-bit integers.
 
-    Rows are digested where they lie, stripe by stripe; only documents of several rows meet in a group, of digests alone. Files are placed by the sums of
-    those before them, one row per file.
+    Rows are digested where they lie, stripe by stripe; a document's rows meet in a group of digests alone. Files are placed by the sums of those
+    before them, one row per file.
     """
     stored = read_token_ids(spark, path)
     rows = stored.mapInArrow(_digests, "part int, doc_id long, first long, n_tokens long, at long, n long, crc long")
-    single = rows.where("n = n_tokens").select("part", "doc_id", "first", "n_tokens", F.col("crc").alias("ids_crc32"))
-    several = rows.where("n <> n_tokens").groupBy("part", "doc_id", "first", "n_tokens").agg(
-        F.sort_array(F.collect_list(F.struct("at", "n", "crc"))).alias("pieces"))
-    digests = single.unionByName(several.mapInArrow(_joined, "part int, doc_id long, first long, n_tokens long, ids_crc32 long"))
+    digests = rows.groupBy("part", "doc_id", "first", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("at", "n", "crc"))).alias("pieces")).mapInArrow(
+        _joined, "part int, doc_id long, first long, n_tokens long, ids_crc32 long")
     # the ids column is not read for this
     sizes = stored.where("at = 0").groupBy("part").agg(F.sum("n_tokens").alias("held"))
     before = F.sum("held").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))

@@ -1,36 +1,46 @@
-"""Whole texts to token ids: a text is cut into units that no token crosses, and each distinct unit is encoded once."""
+"""Whole texts to token ids: a text is cut into units that no token crosses, and each distinct unit of a slice of texts is encoded once."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are cut into units together; a longer text is cut in parts.
-SLICE_CHARS = 2 << 20
-#: Distinct units and ids that an encoder keeps before it starts anew.
-KEPT_UNITS = 400_000
-KEPT_IDS = 8_000_000
+SLICE_BYTES = 16 << 20
 _JOINED = 4000
+_GATHERED = 1 << 20
 
 # A blank after something else than a blank and before something that is no white space: neither vocabulary has a token across it.
 _CUT = re.compile(r"(?<=[^ ]) (?=\S)")
+# Letters that any version of Unicode calls letters, and the marks that may end a word.
+_LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+_MARKS = ".,;:!?"
 
 
-def _parts(text: str) -> Iterator[str]:
-    """The text, or, if it is long, parts that begin at a cut; all but the first lack the blank they begin with."""
-    first = 0
-    while len(text) - first > SLICE_CHARS:
-        cut = _CUT.search(text, first + SLICE_CHARS)
-        if not cut:
-            break
-        yield text[first: cut.start()]
-        first = cut.end()
-    yield text[first:]
+@dataclass
+class Units:
+    """Units of some texts. ``words``: distinct units that are a blank and a word; ``others``: distinct units as they stand. ``code`` numbers the units of
+    all texts one after another, words first; ``counts`` has the units of each text, ``rows`` the row each text or part of a text comes from."""
+    words: pa.Array
+    others: list[str]
+    code: np.ndarray
+    counts: np.ndarray
+    rows: np.ndarray
+
+    def strings(self) -> list[str]:
+        return [" " + w for w in self.words.to_pylist()] + self.others
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions of runs given by start and size, one after another."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
 def _odd_units(text: str, lead: str) -> list[str]:
@@ -39,50 +49,57 @@ def _odd_units(text: str, lead: str) -> list[str]:
     return [whole[a:b] for a, b in zip([0, *cuts], [*cuts, len(whole)])] if whole else []
 
 
-def cut_units(texts: list[str], leads: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Units of each ``lead + text`` (lead is a blank or nothing): the distinct units, a number per unit of all texts, the units of each text."""
-    lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
-    offsets = lists.offsets.to_numpy()
+def cut_units(texts: pa.Array, leads: list[str], rows: np.ndarray) -> Units:
+    """Units of each ``lead + text``; a lead is a blank or nothing. Texts with runs of blanks and the like are cut one by one."""
+    lists = pc.split_pattern(texts, " ")
+    offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
     flat = lists.flatten().dictionary_encode()
-    words = flat.dictionary.to_pylist()
-    code = flat.indices.to_numpy().astype(np.int64)
-    units = [" " + w for w in words]
-    odd = np.array([not w or w[0].isspace() for w in words], bool)
-    is_odd = np.logical_or.reduceat(odd[code], offsets[:-1]) if len(texts) else np.empty(0, bool)
-    for i in np.flatnonzero(~is_odd & np.array([not x for x in leads], bool)):  # a text begins without a blank
-        units.append(words[code[offsets[i]]])
-        code[offsets[i]] = len(units) - 1
+    words, code = flat.dictionary, flat.indices.to_numpy().astype(np.int64)
+    odd = pc.or_(pc.equal(pc.binary_length(words), 0), pc.utf8_is_space(pc.utf8_slice_codeunits(words, 0, 1))).to_numpy(zero_copy_only=False)
+    is_odd = np.logical_or.reduceat(odd[code], offsets[:-1])
+    others: dict[str, int] = {}
+
+    def other(unit):
+        return len(words) + others.setdefault(unit, len(others))
+    bare = np.flatnonzero(~is_odd & np.array([not x for x in leads]))  # texts that begin without a blank
+    first = code[offsets[bare]]
+    code[offsets[bare]] = [other(w) for w in words.take(pa.array(first)).to_pylist()]
     counts = np.diff(offsets).astype(np.int64)
     if is_odd.any():
         runs, last = [], 0
         for i in np.flatnonzero(is_odd):
-            own = _odd_units(texts[i], leads[i])
-            runs += [code[offsets[last]: offsets[i]], np.arange(len(units), len(units) + len(own))]
-            units += own
+            own = [other(u) for u in _odd_units(texts[int(i)].as_py(), leads[i])]
+            runs += [code[offsets[last]: offsets[i]], np.array(own, np.int64)]
             counts[i], last = len(own), i + 1
         code = np.concatenate([*runs, code[offsets[last]:]])
-    return units, code, counts
+    return Units(words, list(others), code, counts, rows)
 
 
-def sliced_units(texts: pa.Array, lead: str) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
-    """``cut_units`` for slices of a column without nulls, with the row of each text or part of a text."""
-    strings, leads, rows, held = [], [], [], 0
-    for row, text in enumerate(texts):
-        for k, part in enumerate(_parts(text.as_py())):
-            strings.append(part)
-            leads.append(" " if k else lead)
-            rows.append(row)
-            held += len(part)
-            if held >= SLICE_CHARS:
-                yield *cut_units(strings, leads), np.array(rows)
-                strings, leads, rows, held = [], [], [], 0
-    if strings:
-        yield *cut_units(strings, leads), np.array(rows)
+def _parts(text: str) -> Iterator[str]:
+    """Parts of a long text that begin at a cut; all but the first lack the blank they begin with."""
+    first = 0
+    while len(text) - first > SLICE_BYTES // 4:
+        cut = _CUT.search(text, first + SLICE_BYTES // 4)
+        if not cut:
+            break
+        yield text[first: cut.start()]
+        first = cut.end()
+    yield text[first:]
 
 
-def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Positions of runs given by start and size, one after another."""
-    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+def sliced_units(texts: pa.Array, lead: str) -> Iterator[Units]:
+    """``cut_units`` for slices of a column without nulls. A text is never in two slices; one beyond SLICE_BYTES is a slice of its own, cut in parts."""
+    size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto, first = np.r_[0, np.cumsum(size)], 0
+    while first < len(texts):
+        end = int(np.searchsorted(upto, upto[first] + SLICE_BYTES, side="right")) - 1
+        if end > first:
+            yield cut_units(texts.slice(first, end - first), [lead] * (end - first), np.arange(first, end))
+        else:
+            end = first + 1
+            parts = list(_parts(texts[first].as_py()))
+            yield cut_units(pa.array(parts, pa.string()), [lead, *[" "] * (len(parts) - 1)], np.full(len(parts), first))
+        first = end
 
 
 class ByteVocabulary:
@@ -90,29 +107,59 @@ class ByteVocabulary:
 
     def __init__(self, path: str, plain_marks: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain_marks
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        # every word comes once, so the library's own store of words would only cost time
+        self.tokenizer.model = models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0)
         entries = self.tokenizer.get_vocab()
         #: Bytes of each token: the entries spell one byte as one character.
         self.size = np.zeros(max(entries.values()) + 1, np.int64)
         self.size[list(entries.values())] = [len(e) for e in entries]
-
-    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all units and the number of ids of each."""
-        size = np.array([len(u.encode()) for u in units], np.int64)
-        out, numbers = [], np.zeros(len(units), np.int64)
-        for k in range(0, len(units), _JOINED):
-            mine = units[k: k + _JOINED]
-            # what begins with a blank and no other white space is cut off from anything before it
-            heads = [i for i, u in enumerate(mine) if i == 0 or not (u[0] == " " and len(u) > 1 and not u[1].isspace())]
-            runs = ["".join(mine[a:b]) for a, b in zip(heads, [*heads[1:], len(mine)])]
-            ids = np.concatenate([np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)])
-            ends = np.cumsum(self.size[ids])
-            upto = np.searchsorted(ends, np.cumsum(size[k: k + _JOINED]), side="right")
-            numbers[k: k + _JOINED] = np.diff(upto, prepend=0)
+        self.marks = {ord(m): self._encoded([m])[0] for m in _MARKS}
+
+    def _encoded(self, strings: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        out, sizes = [np.empty(0, np.int32)], np.zeros(len(words), np.int64)
+        spelled = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        for k in range(0, len(words), _JOINED):
+            ids = self._encoded([" " + " ".join(words.slice(k, _JOINED).to_pylist())])[0]
+            upto = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum(spelled[k: k + _JOINED]), side="right")
+            sizes[k: k + _JOINED] = np.diff(upto, prepend=0)
             out.append(ids)
-        return np.concatenate(out) if out else np.empty(0, np.int32), numbers
+        return np.concatenate(out), sizes
+
+    def encode(self, units: Units) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all distinct units and the number of ids of each. A word of letters and a mark behind it share no token: such words are
+        encoded without the mark."""
+        words = units.words
+        stems = pc.utf8_rtrim(words, characters=_MARKS)
+        one = pc.equal(pc.subtract(pc.binary_length(words), pc.binary_length(stems)), 1)
+        marked = pc.and_(one, pc.match_substring_regex(stems, _LETTERS))
+        base = pc.if_else(marked, stems, words).dictionary_encode()
+        ids, sizes = self._words(base.dictionary)
+        at = base.indices.to_numpy()
+        starts, sizes = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        marked = np.flatnonzero(marked.to_numpy(zero_copy_only=False))
+        raw, ends = np.frombuffer(words.buffers()[2] or b"", np.uint8), np.frombuffer(words.buffers()[1], np.int32)[words.offset + 1:]
+        mark = raw[ends[marked] - 1]
+        more = np.zeros(len(words), np.int64)
+        for m, own in self.marks.items():
+            more[marked[mark == m]] = len(own)
+        whole = np.empty(int((sizes + more).sum()), np.int32)
+        first = np.cumsum(sizes + more) - sizes - more
+        whole[ragged(first, sizes)] = ids[ragged(starts, sizes)]
+        for m, own in self.marks.items():
+            of = marked[mark == m]
+            for k, i in enumerate(own):
+                whole[first[of] + sizes[of] + k] = i
+        others = self._encoded(units.others)
+        return np.concatenate([whole, *others]), np.r_[sizes + more, np.array([len(x) for x in others], np.int64)]
 
 
 class Encoder:
@@ -120,32 +167,18 @@ class Encoder:
 
     def __init__(self, path: str):
         self.vocabulary = ByteVocabulary(path)
-        self._empty()
-
-    def _empty(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids, self.starts, self.sizes, self.used = np.empty(1 << 16, np.int32), np.empty(0, np.int64), np.empty(0, np.int64), 0
-
-    def _numbers(self, units: list[str]) -> np.ndarray:
-        if len(self.number) + len(units) > KEPT_UNITS or self.used > KEPT_IDS:
-            self._empty()
-        new = [u for u in dict.fromkeys(units) if u not in self.number]
-        if new:
-            ids, sizes = self.vocabulary.encode(new)
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids[: self.used], np.empty(max(len(ids), self.used), np.int32)])
-            self.ids[self.used: self.used + len(ids)] = ids
-            self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-            self.used += len(ids)
-        return np.array([self.number[u] for u in units], np.int64)
 
     def __call__(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         """(row, ids) of each text or, for long texts, of its parts one after another; ``texts`` has no nulls."""
-        for units, code, counts, rows in sliced_units(texts, ""):
-            number = self._numbers(units)[code] if units else np.empty(0, np.int64)
-            sizes = self.sizes[number]
-            ids = self.ids[ragged(self.starts[number], sizes)]
-            upto = np.r_[0, np.cumsum(sizes)][np.cumsum(counts)]
-            yield from zip(rows.tolist(), np.split(ids, upto[:-1]))
+        for units in sliced_units(texts, ""):
+            ids, sizes = self.vocabulary.encode(units)
+            starts = np.cumsum(sizes) - sizes
+            upto = np.r_[0, np.cumsum(units.counts)]
+            first = 0
+            while first < len(units.rows):  # some texts at a time
+                end = max(first + 1, int(np.searchsorted(upto, upto[first] + _GATHERED, side="right")) - 1)
+                code = units.code[upto[first]: upto[end]]
+                own = ids[ragged(starts[code], sizes[code])]
+                cuts = np.r_[0, np.cumsum(sizes[code])][upto[first + 1: end] - upto[first]]
+                yield from zip(units.rows[first: end].tolist(), np.split(own, cuts))
+                first = end

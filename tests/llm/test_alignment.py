@@ -63,9 +63,8 @@ def rows_of(found):
 @pytest.mark.parametrize("small", [False, True])
 def test_equals_both_libraries(spark, libraries, monkeypatch, small):
     if small:
-        monkeypatch.setattr(alignment, "CHUNK_CHARS", 100)
         monkeypatch.setattr(alignment, "_BATCH", 3)
-        monkeypatch.setattr(tokens, "SLICE_CHARS", 50)
+        monkeypatch.setattr(tokens, "SLICE_BYTES", 50)
     rows = [*enumerate(TEXTS), (None, "the cat"), (18, "the cat sat on the mat")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     assert rows_of(alignment.align_tokens(docs, BYTES, PIECES)) == brute(rows, libraries)

@@ -31,10 +31,10 @@ def want_rows(rows, library):
     return out
 
 
-@pytest.mark.parametrize("slice_chars", [2 << 20, 40])
-def test_units_give_the_ids_of_the_whole_text(library, monkeypatch, slice_chars):
-    monkeypatch.setattr(tokens, "SLICE_CHARS", slice_chars)
-    monkeypatch.setattr(tokens, "KEPT_UNITS", 30)
+@pytest.mark.parametrize("slice_bytes", [16 << 20, 40])
+def test_units_give_the_ids_of_the_whole_text(library, monkeypatch, slice_bytes):
+    monkeypatch.setattr(tokens, "SLICE_BYTES", slice_bytes)
+    monkeypatch.setattr(tokens, "_GATHERED", 9)
     texts = ODD + [" ".join(f"w{k % 7}x, end{k}." for k in range(200)), *ODD]
     got = [[] for _ in texts]
     for row, ids in tokens.Encoder(token_store.default_vocabulary())(pa.array(texts)):
