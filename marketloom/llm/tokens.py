@@ -102,12 +102,16 @@ def sliced_units(texts: pa.Array, lead: str) -> Iterator[Units]:
         first = end
 
 
+def _encoded(tokenizer, strings: list[str]) -> list[np.ndarray]:
+    return [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
+
 class ByteVocabulary:
     """A byte-level vocabulary of the tokenizers library. ``plain_marks``: strings of special tokens inside a text are ordinary text."""
 
     def __init__(self, path: str, plain_marks: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, models
+        from tokenizers import Tokenizer, models, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain_marks
         with open(path, encoding="utf-8") as file:
@@ -115,20 +119,21 @@ class ByteVocabulary:
         merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
         # every word comes once, so the library's own store of words would only cost time
         self.tokenizer.model = models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0)
+        # a blank and letters are one unit of the vocabulary's pattern, which need not be looked for there
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         entries = self.tokenizer.get_vocab()
         #: Bytes of each token: the entries spell one byte as one character.
         self.size = np.zeros(max(entries.values()) + 1, np.int64)
         self.size[list(entries.values())] = [len(e) for e in entries]
-        self.marks = {ord(m): self._encoded([m])[0] for m in _MARKS}
-
-    def _encoded(self, strings: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        self.marks = {ord(m): _encoded(self.tokenizer, [m])[0] for m in _MARKS}
 
-    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _words(self, tokenizer, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         out, sizes = [np.empty(0, np.int32)], np.zeros(len(words), np.int64)
         spelled = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1
         for k in range(0, len(words), _JOINED):
-            ids = self._encoded([" " + " ".join(words.slice(k, _JOINED).to_pylist())])[0]
+            ids = _encoded(tokenizer, [" " + " ".join(words.slice(k, _JOINED).to_pylist())])[0]
             upto = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum(spelled[k: k + _JOINED]), side="right")
             sizes[k: k + _JOINED] = np.diff(upto, prepend=0)
             out.append(ids)
@@ -142,8 +147,14 @@ class ByteVocabulary:
         one = pc.equal(pc.subtract(pc.binary_length(words), pc.binary_length(stems)), 1)
         marked = pc.and_(one, pc.match_substring_regex(stems, _LETTERS))
         base = pc.if_else(marked, stems, words).dictionary_encode()
-        ids, sizes = self._words(base.dictionary)
-        at = base.indices.to_numpy()
+        plain = pc.match_substring_regex(base.dictionary, _LETTERS)
+        (ids, sizes), (more_ids, more_sizes) = (self._words(self.letters, base.dictionary.filter(plain)),
+                                                self._words(self.tokenizer, base.dictionary.filter(pc.invert(plain))))
+        ids, sizes = np.concatenate([ids, more_ids]), np.r_[sizes, more_sizes]
+        place = np.empty(len(sizes), np.int64)  # of each distinct word among the encoded ones
+        plain = plain.to_numpy(zero_copy_only=False)
+        place[np.r_[np.flatnonzero(plain), np.flatnonzero(~plain)]] = np.arange(len(sizes))
+        at = place[base.indices.to_numpy()]
         starts, sizes = (np.cumsum(sizes) - sizes)[at], sizes[at]
         marked = np.flatnonzero(marked.to_numpy(zero_copy_only=False))
         raw, ends = np.frombuffer(words.buffers()[2] or b"", np.uint8), np.frombuffer(words.buffers()[1], np.int32)[words.offset + 1:]
@@ -158,7 +169,7 @@ class ByteVocabulary:
             of = marked[mark == m]
             for k, i in enumerate(own):
                 whole[first[of] + sizes[of] + k] = i
-        others = self._encoded(units.others)
+        others = _encoded(self.tokenizer, units.others)
         return np.concatenate([whole, *others]), np.r_[sizes + more, np.array([len(x) for x in others], np.int64)]
 
 

@@ -43,7 +43,7 @@ def brute(rows, libraries):
         ends_a, ends_b = np.cumsum([len(x) for x in spelled_a]).tolist(), np.cumsum([len(x) for x in spelled_b]).tolist()
         groups, links, i, j = [], [], 0, 0
         for end in sorted(set(ends_a) & set(ends_b)):
-            x, y = ends_a.index(end) + 1, ends_b.index(end) + 1
+            x, y = ends_a.index(end, i) + 1, ends_b.index(end, j) + 1
             groups.append(",".join(map(str, ids_a[i:x])) + "|" + ",".join(map(str, ids_b[j:y])))
             links.append((ids_a[x - 1], ids_b[y - 1]))
             i, j = x, y
