@@ -1,140 +1,291 @@
-"""Language-model scores by context-tree weighting over bytes, beside an add-one word model.
+"""Language-model scores by context-tree weighting over the bytes of running text, beside an add-one word model.
 
-A text is coded as its lower-cased words, each closed by a blank, and a byte that ends the text.
+A text is coded as its lower-cased words, each closed by a blank, and a byte that ends the text. The context of a byte is up to DEPTH bytes
+before it, across blanks; before the text stand TEXT_END bytes. A window is a context and the byte coded after it, in one 64-bit integer with the
+latest byte of the context on top, so that sorted windows lie next to those they share a context with.
 
-``score_running_texts`` (op3_ctw): the context of a byte is up to RUNNING_DEPTH bytes before it in the running text, across blanks;
-before the text stand TEXT_END bytes. With its byte a context fills a 64-bit window.
-
-``score_texts`` spells words by themselves: the context is up to DEPTH bytes before it in the word and the blank before the word; at the
-beginning of words, one byte more tells the topic of the document: a hash of its most frequent word, which is coded first. The tree weighs
-all depths, so a topic that tells nothing costs next to nothing.
+Texts stay in chunks, as compressed pieces. A chunk finds its distinct windows and words by sorting its pieces one by one; they are dealt into slots,
+a slot holding all windows whose contexts end in the same two bytes. Between chunks and slots go sorted, difference-coded lists, never a row per window: counts
+one way, and, since a chunk finds its sorted lists again, bare values the other way.
 """
 
 from __future__ import annotations
 
 import math
 import random
+import re
 import zlib
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import id_remainder, read_table, text_bytes, written
 
-#: Bytes of context.
-DEPTH = 5
-#: Bytes of context in running text.
-RUNNING_DEPTH = 7
-#: Bytes of running text whose distinct windows are looked up together.
-RUNNING_BYTES = 16 << 20
-#: Bytes at the start of a word whose context also holds the topic.
-TOPIC_BYTES = 3
-#: Words and bytes of text that one task gathers before it closes a chunk.
-CHUNK_WORDS = 1_000_000
+#: Bytes of context, 7 at most: with the coded byte they fill a 64-bit window.
+DEPTH = 7
+#: Bytes of text in one piece, and in the pieces of one chunk. A long text fills pieces of its own; a word is never cut.
+PIECE_BYTES = 4 << 20
 CHUNK_BYTES = 64 << 20
-#: Distinct words that are scored together, and distinct windows whose trees are built together.
-PART_WORDS = 200_000
-PART_WINDOWS = 80_000
-#: Scored windows up to this number (16 bytes each) are sent to the tasks that score words; more go the way of ``_ask_for_windows``.
-SENT_WINDOWS = 300_000
-#: Documents in one batch of what a task writes.
-_BATCH_DOCS = 2000
-
-# What closes a word, and the word that ends a text. Neither can be part of a word.
+#: Slots of windows, and as many of words: a power of two.
+SLOTS = 512
+
+# What closes a word, and what ends a text. Neither can be part of a word.
 WORD_END = b"\x20"
 TEXT_END = b"\x0a"
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers of 4 or 8 bytes as planes of their first, second, ... bytes, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T))
+
+
+def unpacked(data: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
+
+
+def packed_sorted(keys: np.ndarray) -> bytes:
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
+
+
+def packed_words(words: list[bytes]) -> bytes:
+    """Sorted words; the empty word stands for the end of a text."""
+    return zstandard.ZstdCompressor(level=1).compress(b"\n".join(words))
+
+
+def unpacked_words(data: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(data).split(b"\n")
+
+
+class Piece:
+    """Some coded texts, or a part of a long one, each after the ``depth`` bytes before it."""
+
+    def __init__(self, data: bytes, docs: list[int], sizes: list[int], depth: int):
+        self.data, self.docs, self.sizes, self.depth = data, np.array(docs, np.int64), np.array(sizes, np.int64), depth
+
+    def windows(self) -> np.ndarray:
+        """One window for every byte of the texts, in order."""
+        raw = np.frombuffer(bytes(8) + self.data, np.uint8)
+        before = np.lib.stride_tricks.as_strided(raw, (len(self.data), 8), (1, 1))
+        # read with the latest byte on top, bytes beyond the depth fall off
+        context = np.ascontiguousarray(before).view("<u8").ravel() >> np.uint64(8 * (8 - self.depth))
+        inside = np.ones(len(self.data), bool)
+        starts = np.cumsum(self.sizes + self.depth) - self.sizes - self.depth
+        inside[(starts[:, None] + np.arange(self.depth)).ravel()] = False
+        return (context[inside] << np.uint64(8)) | raw[8:][inside]
+
+    def words(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Distinct words, and for every word of the texts its number and the place of its text in the piece; the ends of texts are not among them."""
+        upto = np.cumsum(self.sizes + self.depth)
+        texts = [self.data[e - n: e].rstrip(b" \n") for e, n in zip(upto.tolist(), self.sizes.tolist())]
+        lists = pc.split_pattern(pa.array(texts, pa.binary()), " ")
+        flat = lists.flatten().dictionary_encode()
+        own = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+        code, words = flat.indices.to_numpy(), flat.dictionary.to_pylist()
+        if b"" in words:  # of a text without words
+            none = words.index(b"")
+            own, code = own[code != none], code[code != none]
+        return words, code, own
+
+
+def coded_pieces(text: bytes) -> Iterator[bytes]:
+    """The coded text, in pieces that end behind a word."""
+    first = 0
+    while len(text) - first > PIECE_BYTES:
+        word = _SPACE.search(text, first + PIECE_BYTES)
+        if not word:
+            break
+        yield b"".join(w + WORD_END for w in text[first: word.end()].lower().split())
+        first = word.end()
+    words = text[first:].lower().split()
+    yield WORD_END.join([*words, TEXT_END])
+
+
+def merged(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of some lists with the sums of their numbers."""
+    keys, n = (np.concatenate(c) for c in zip(*lists))
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(n, first)
+
+
+class Merger:
+    """Adds lists as they come; what it holds follows the distinct keys, not the lists."""
+
+    def __init__(self):
+        self.lists, self.held, self.last = [], 0, 0
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        if len(keys):
+            self.lists.append((keys, n))
+            self.held += len(keys)
+            if self.held > 2 * self.last + (1 << 20):
+                self.result()
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.lists:
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        if len(self.lists) > 1:
+            self.lists = [merged(self.lists)]
+        self.held = self.last = len(self.lists[0][0])
+        return self.lists[0]
+
+
+def counted_windows(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    windows = np.sort(windows)
+    first = np.flatnonzero(np.r_[True, windows[1:] != windows[:-1]]) if len(windows) else np.empty(0, np.int64)
+    return windows[first], np.diff(np.r_[first, len(windows)])
+
+
+def window_slots(windows: np.ndarray, depth: int) -> np.ndarray:
+    """Slot of each window, by the two latest bytes of its context."""
+    family = windows >> np.uint64(8 * (depth - 1))
+    return ((family * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int16)
 
-_UNITS = pa.schema([("chunk", pa.int64()), ("place", pa.int32()), ("word", pa.binary()), ("n", pa.int64()), ("doc_id", pa.int64()), ("train", pa.bool_()),
-                    ("topic", pa.int32()), ("tokens", pa.int64()), ("bytes", pa.int64()), ("places", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
-_UNITS_SQL = ("chunk long, place int, word binary, n long, doc_id long, train boolean, topic int, tokens long, bytes long, places array<int>, counts array<int>")
-
-
-def topic(counts: Counter) -> int:
-    """One byte for the most frequent word (the smallest among equals); 0 for no words."""
-    if not counts:
-        return 0
-    most = max(counts.values())
-    return zlib.crc32(min(w for w, n in counts.items() if n == most)) & 0xFF
-
-
-def _word_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut a task's texts into chunks. A document becomes counts over the chunk's own entries, a topic byte before a word;
-    a chunk closes with one row per entry: its number and its count in training documents."""
-    def empty(n):
-        return {f.name: pa.nulls(n, f.type) for f in _UNITS}
-
-    def opened():
-        entries = defaultdict()
-        entries.default_factory = entries.__len__
-        return random.SystemRandom().getrandbits(62), entries, np.zeros(1024, np.int64), 0
-
-    def closed(chunk, entries, seen):
-        n = len(entries)
-        return pa.RecordBatch.from_pydict(empty(n) | {"chunk": pa.array(np.full(n, chunk)), "place": pa.array(np.arange(n, dtype=np.int32)),
-                                                      "word": pa.array(list(entries), pa.binary()), "n": pa.array(seen[:n])}, schema=_UNITS)
-
-    def documents(chunk, rows, places, counts):
-        n = len(rows)
-        offsets = pa.array(np.cumsum([0, *map(len, places)]).astype(np.int32))
-        ids, train, topics, tokens, size = zip(*rows)
-        return pa.RecordBatch.from_pydict(empty(n) | {
-            "chunk": pa.array(np.full(n, chunk)), "doc_id": pa.array(ids, pa.int64()), "train": pa.array(train), "topic": pa.array(topics, pa.int32()),
-            "tokens": pa.array(tokens, pa.int64()), "bytes": pa.array(size, pa.int64()),
-            "places": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(places))),
-            "counts": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(counts)))}, schema=_UNITS)
-    chunk, entries, seen, held = opened()
+
+def word_slots(words: list[bytes]) -> np.ndarray:
+    return np.array([SLOTS + zlib.crc32(w) % SLOTS for w in words], np.int16)
+
+
+def by_slot(slots: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, positions of its members in order) of every slot that has some."""
+    order = np.argsort(slots, kind="stable")
+    ends = np.flatnonzero(np.r_[slots[order][1:] != slots[order][:-1], True]) + 1 if len(order) else []
+    first = 0
+    for end in ends:
+        yield int(slots[order[first]]), order[first:end]
+        first = end
+
+
+class Chunk:
+    """Distinct windows and words of pieces, and how often each occurs in training texts."""
+
+    def __init__(self):
+        self.windows, self.words = Merger(), {}
+
+    def add(self, piece: Piece, train: np.ndarray) -> None:
+        """``train``: of each text of the piece."""
+        windows = piece.windows()
+        taught = np.repeat(train, piece.sizes)
+        self.windows.add(*counted_windows(windows[taught]))
+        others = counted_windows(windows[~taught])[0]
+        self.windows.add(others, np.zeros(len(others), np.int64))
+        words, code, own = piece.words()
+        for w, n in zip(words, np.bincount(code, train[own], len(words)).astype(np.int64).tolist()):
+            if w:
+                self.words[w] = self.words.get(w, 0) + n
+
+    def lists(self, depth: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        windows, n = self.windows.result()
+        return windows, n, sorted(self.words)
+
+
+_UNITS = pa.schema([("chunk", pa.int64()), ("slot", pa.int32()), ("place", pa.int32()), ("keys", pa.binary()), ("values", pa.binary()),
+                    ("doc_ids", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64()))])
+_UNITS_SQL = ("chunk long, slot int, place int, keys binary, values binary, doc_ids array<long>, docs array<long>, train array<boolean>, sizes array<long>")
+
+
+def _chunks(depth: int):
+    """Cut a task's texts into chunks: a row for each piece, and, when a chunk closes, one for each slot of its windows and words with their counts."""
+    def row(**columns):
+        return pa.RecordBatch.from_pydict({f.name: pa.array([columns.get(f.name)], f.type) for f in _UNITS}, schema=_UNITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, chunk, held, places, ends, doc = random.SystemRandom().getrandbits(62), Chunk(), 0, 0, 0, 0
+        parts, docs, ids, train, sizes = [], [], [], [], []
+
+        def piece():
+            nonlocal places, parts, docs, ids, train, sizes
+            own = Piece(b"".join(parts), docs, sizes, depth)
+            chunk.add(own, np.array(train))
+            out = row(chunk=name, place=places, keys=zstandard.ZstdCompressor(level=3).compress(own.data), doc_ids=ids, docs=docs, train=train, sizes=sizes)
+            places += 1
+            parts, docs, ids, train, sizes = [], [], [], [], []
+            return out
+
+        def closed():
+            if ends:
+                chunk.words[b""] = ends
+            elif places:
+                chunk.words[b""] = 0
+            windows, n, words = chunk.lists(depth)
+            for slot, at in by_slot(window_slots(windows, depth)):
+                yield row(chunk=name, slot=slot, keys=packed_sorted(windows[at]), values=packed(n[at]))
+            for slot, at in by_slot(word_slots(words)):
+                mine = [words[i] for i in at]
+                yield row(chunk=name, slot=slot, keys=packed_words(mine), values=packed(np.array([chunk.words[w] for w in mine], np.int64)))
+        for batch in batches:
+            for doc_id, taught, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                before = TEXT_END * depth
+                for coded in coded_pieces(text.as_py()):
+                    if parts and sum(sizes) + len(coded) > PIECE_BYTES:
+                        yield piece()
+                    parts += [before, coded]
+                    docs.append(doc)
+                    ids.append(doc_id)
+                    train.append(taught)
+                    sizes.append(len(coded))
+                    held += len(coded)
+                    before = (before + coded)[-depth:]
+                ends += taught
+                doc += 1
+                if held >= CHUNK_BYTES:
+                    yield piece()
+                    yield from closed()
+                    name, chunk, held, places, ends, doc = random.SystemRandom().getrandbits(62), Chunk(), 0, 0, 0, 0
+        if parts:
+            yield piece()
+        if places:
+            yield from closed()
+    return run
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (slot, keys, values) in order of slot: one row per slot with the counts of all chunks."""
+    slot, windows, words = None, Merger(), {}
+
+    def done():
+        if slot < SLOTS:
+            keys, n = windows.result()
+            return slot, packed_sorted(keys), packed(n), int(n.sum()), len(keys)
+        names = sorted(words)
+        n = np.array([words[w] for w in names], np.int64)
+        return slot, packed_words(names), packed(n), int(n.sum()), int((n > 0).sum())
+
+    def out(row):
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()))],
+                                          ["slot", "keys", "values", "total", "known"])
     for batch in batches:
-        rows, places, counts = [], [], []
-        for doc_id, train, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            tokens = text.as_py().lower().split()
-            count = Counter(tokens)
-            about = topic(count)
-            count[TEXT_END] = 1
-            mark = bytes([about])
-            own, times = np.array([entries[mark + w] for w in count], np.int32), np.array(list(count.values()), np.int32)
-            if len(entries) > len(seen):
-                seen = np.r_[seen, np.zeros(max(len(seen), len(entries)), np.int64)]
-            if train:
-                seen[own] += times
-            size = sum(map(len, tokens)) + len(tokens) + 2
-            rows.append((doc_id, train, about, len(tokens) + 1, size))
-            places.append(own)
-            counts.append(times)
-            held += size
-            full = len(entries) >= CHUNK_WORDS or held >= CHUNK_BYTES
-            if full or len(rows) >= _BATCH_DOCS:
-                yield documents(chunk, rows, places, counts)
-                rows, places, counts = [], [], []
-            if full:
-                yield closed(chunk, entries, seen)
-                chunk, entries, seen, held = opened()
-        if rows:
-            yield documents(chunk, rows, places, counts)
-    if entries:
-        yield closed(chunk, entries, seen)
-
-
-def word_windows(entries: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(window, row) for every byte of every entry (a topic byte and a word) and the byte that closes it.
-
-    A window packs the topic, ``depth`` bytes of context and the coded byte into one integer. Before the start of a word the
-    context is blank; after the first bytes of a word, which tell as much, the topic is left out (zero).
-    """
-    raw = [w.as_py() for w in entries]
-    lengths = np.array([len(w) for w in raw], np.int64)  # coded bytes: the word and what closes it
-    about = np.array([w[0] for w in raw], np.int64)
-    data = np.frombuffer(b"".join(WORD_END * depth + w[1:] + WORD_END for w in raw), np.uint8)
-    rows = np.repeat(np.arange(len(raw)), lengths)
-    step = np.arange(len(rows)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    at = step + np.repeat(np.cumsum(lengths + depth) - (lengths + depth), lengths)
-    code = np.zeros(len(rows), np.int64)
-    for k in range(depth + 1):
-        code = (code << 8) | data[at + k]
-    return code | np.where(step < TOPIC_BYTES, about[rows], 0) << 8 * (depth + 1), rows
+        for at, keys, values in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if at != slot:
+                if slot is not None:
+                    yield out(done())
+                slot, windows, words = at, Merger(), {}
+            if at < SLOTS:
+                windows.add(unpacked_sorted(keys), unpacked(values, np.int64))
+            else:
+                for w, n in zip(unpacked_words(keys), unpacked(values, np.int64).tolist()):
+                    words[w] = words.get(w, 0) + n
+    if slot is not None:
+        yield out(done())
+
+
+def _in_order(windows: np.ndarray, depth: int) -> np.ndarray:
+    """Windows with the latest byte of the context at the bottom of it, as signed integers."""
+    context = ((windows >> np.uint64(8)) << np.uint64(8 * (8 - depth))).byteswap()
+    return ((context << np.uint64(8)) | (windows & np.uint64(255))).view(np.int64)
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -200,34 +351,31 @@ def _lower_levels(windows: np.ndarray, n: np.ndarray, depth: int) -> list[_Level
     return levels
 
 
-def window_scores(windows: DataFrame, depth: int) -> DataFrame:
-    """(window, lp) for (window, n): log10 probability of each window's byte after its ``depth`` symbols of context.
+def window_scores(counts: DataFrame, depth: int) -> DataFrame:
+    """(slot, keys, values) for the counts of slots of windows: log10 probabilities, as 32-bit floats, of each window's byte after its context.
 
-    ``n`` counts the window in the training text, 0 if it is only asked for. All contexts that end in the same two bytes are one
-    family of trees; families are dealt into parts of about PART_WINDOWS windows. A first pass weighs each part up to
-    depth 2 and sends sums for depth 1, at most 256 x 255 rows whatever the corpus, to the driver, which
-    weighs depths 1 and 0; a second pass goes down from there and sums the eight decisions of each window.
+    All contexts that end in the same two bytes are one family of trees, which lies in one slot. A first pass weighs each slot up to
+    depth 2 and sends sums for depth 1, at most 256 x 255 rows whatever the corpus, to the driver, which weighs depths 1 and 0; a second pass goes
+    down from there and sums the eight decisions of each window.
     """
-    parts = max(1, -(-windows.count() // PART_WINDOWS))
-    family = F.shiftright("window", 8).bitwiseAND(F.lit(0xFFFF))
-    dealt = windows.select(F.pmod(F.xxhash64(family), F.lit(parts)).alias("part"), "window", "n")
-
-    def upward(table: pa.Table) -> pa.Table:
-        last = _lower_levels(table["window"].to_numpy(), table["n"].to_numpy(), depth)[-1]
-        keys, where = np.unique(last.above(1), return_inverse=True)
-        sums = [np.bincount(where, x, len(keys)).astype(float) for x in (last.zeros, last.ones, last.weighted)]
-        return pa.table([pa.array(keys), *map(pa.array, sums)], names=["key", "zeros", "ones", "below"])
-    sums = dealt.groupBy("part").applyInArrow(upward, "key long, zeros double, ones double, below double").groupBy("key").agg(
-        *[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toPandas()
+    def upward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, values in zip(batch.column(1), batch.column(2)):
+                last = _lower_levels(_in_order(unpacked_sorted(keys.as_py()), depth), unpacked(values.as_py(), np.int64), depth)[-1]
+                above, where = np.unique(last.above(1), return_inverse=True)
+                sums = [np.bincount(where, x, len(above)).astype(float) for x in (last.zeros, last.ones, last.weighted)]
+                yield pa.RecordBatch.from_arrays([pa.array(above), *map(pa.array, sums)], ["key", "zeros", "ones", "below"])
+    rows = counts.select("slot", "keys", "values")
+    sums = rows.mapInArrow(upward, "key long, zeros double, ones double, below double").groupBy("key").agg(
+        *[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toPandas().sort_values("key")
     first = _Level(*(sums[c].to_numpy() for c in ("key", "zeros", "ones", "below")))
     root = _Level(first.above(0), first.zeros, first.ones, first.weighted)
     root.mixed(np.zeros(len(root.keys)), np.ones(len(root.keys)))
     place = root.at(first.above(0))[0]
     first.mixed(root.mix[place], root.reach[place])
 
-    def downward(table: pa.Table) -> pa.Table:
-        asked = table["window"].to_numpy()
-        levels = [*_lower_levels(asked, table["n"].to_numpy(), depth), first, root]  # from depth to 0
+    def scored(asked, n):
+        levels = [*_lower_levels(asked, n, depth), first, root]  # from depth to 0
         for d in range(2, depth + 1):
             level, over = levels[depth - d], levels[depth - d + 1]
             place, _ = over.at(level.above(d - 1))
@@ -238,45 +386,99 @@ def window_scores(windows: DataFrame, depth: int) -> DataFrame:
             place, here = level.at(_keys(context[open_], node[open_], d))
             one[open_[here]] = level.stop[place[here]]
             open_ = open_[~here]
-        lp = np.log10(np.where(bit == 1, one, 1 - one)).reshape(-1, 8).sum(axis=1)
-        return pa.table([pa.array(asked), pa.array(lp)], names=["window", "lp"])
-    return dealt.groupBy("part").applyInArrow(downward, "window long, lp double")
+        return np.log10(np.where(bit == 1, one, 1 - one)).reshape(-1, 8).sum(axis=1).astype(np.float32)
 
+    def downward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [packed(scored(_in_order(unpacked_sorted(k.as_py()), depth), unpacked(n.as_py(), np.int64))) for k, n in zip(batch.column(1), batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.binary())], ["slot", "keys", "values"])
+    return rows.mapInArrow(downward, "slot int, keys binary, values binary")
 
-def _score_words(words: DataFrame, scores: DataFrame, depth: int) -> DataFrame:
-    """``words`` (word, c), the word with its topic byte, with lp: the log10 probability of its bytes and the one that closes it."""
-    if scores.count() > SENT_WINDOWS:
-        return _ask_for_windows(words, scores, depth)
-    table = scores.toPandas().sort_values("window")
-    keys, values = table["window"].to_numpy(), table["lp"].to_numpy()
 
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (slot, chunk, keys, values) in order of slot, a slot's own row (no chunk) first: (chunk, slot, values), the slot's values of the chunk's keys."""
+    keys = values = None
+    for batch in batches:
+        out = []
+        for slot, chunk, own, given in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if chunk is None:
+                words = slot >= SLOTS
+                values = unpacked(given, np.int64 if words else np.float32)
+                keys = {w: i for i, w in enumerate(unpacked_words(own))} if words else unpacked_sorted(own)
+                continue
+            at = [keys[w] for w in unpacked_words(own)] if slot >= SLOTS else np.searchsorted(keys, unpacked_sorted(own))
+            out.append((chunk, slot, packed(values[at])))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))], ["chunk", "slot", "values"])
+
+
+RESULT = ("doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, "
+          "bits_per_byte double")
+
+
+class _Scores:
+    """A chunk on its way back: first its pieces, then the values of its slots."""
+
+    def __init__(self, depth: int, total: int, known: int):
+        self.depth, self.total, self.floor = depth, total, math.log10(total + known + 1)
+        self.pieces, self.chunk, self.values, self.docs = [], Chunk(), {}, {}
+
+    def add_piece(self, data, doc_ids, docs, train, sizes) -> None:
+        self.pieces.append((data, docs, sizes))
+        self.docs.update(zip(docs, zip(doc_ids, train)))
+        self.chunk.add(self._piece(*self.pieces[-1]), np.array(train))
+
+    def _piece(self, data, docs, sizes) -> Piece:
+        return Piece(zstandard.ZstdDecompressor().decompress(data), docs, sizes, self.depth)
+
+    def rows(self) -> pa.RecordBatch:
+        self.chunk.words[b""] = 0
+        windows, _, words = self.chunk.lists(self.depth)
+        lp, count = np.zeros(len(windows), np.float32), np.zeros(len(words), np.int64)
+        for slots, values in ((window_slots(windows, self.depth), lp), (word_slots(words), count)):
+            for slot, at in by_slot(slots):
+                values[at] = unpacked(self.values.pop(slot), values.dtype)
+        number = {w: i for i, w in enumerate(words)}
+        n = len(self.docs)
+        tokens, had, base, score, size = (np.zeros(n) for _ in range(5))
+        gain, end = np.log10(count + 1.0), number[b""]
+        for data, docs, sizes in self.pieces:
+            piece = self._piece(data, docs, sizes)
+            own = piece.windows()
+            order = np.argsort(own)  # sorted questions are answered several times as fast
+            found = np.empty(len(own), np.float32)
+            found[order] = lp[np.searchsorted(windows, own[order])]
+            np.add.at(score, piece.docs, np.bincount(np.repeat(np.arange(len(docs)), piece.sizes), found, len(docs)))
+            np.add.at(size, piece.docs, piece.sizes)
+            names, code, text = piece.words()
+            at = np.array([number[w] if w else end for w in names], np.int64)
+            for total, value in ((tokens, np.ones(len(at))), (had, (count > 0)[at].astype(float)), (base, gain[at])):
+                np.add.at(total, piece.docs, np.bincount(text, value[code], len(docs)))
+        tokens, had, base = tokens + 1, had + (count[end] > 0), base + gain[end]
+        ids, train = zip(*(self.docs[i] for i in range(n)))
+        columns = [pa.array(ids, pa.int64()), pa.array(train, pa.bool_()), pa.array(tokens.astype(np.int64)), pa.array(np.rint(had).astype(np.int64)),
+                   pa.array(np.full(n, self.total, np.int64)), pa.array(base - tokens * self.floor), pa.array(score), pa.array(size.astype(np.int64)),
+                   pa.array(-score * math.log2(10) / size)]
+        return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in RESULT.split(", ")])
+
+
+def _scored(depth: int, total: int, known: int):
+    """Rows in order of chunk, place and slot, pieces first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, scores = None, None
         for batch in batches:
-            code, rows = word_windows(batch.column(0), depth)
-            lp = np.bincount(rows, values[np.searchsorted(keys, code)], minlength=batch.num_rows).astype(float)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp)], ["word", "c", "lp"])
-    return words.mapInArrow(run, "word binary, c long, lp double")
-
-
-def _ask_for_windows(words: DataFrame, scores: DataFrame, depth: int) -> DataFrame:
-    """The same by joins: words are dealt into parts of about PART_WORDS; a part asks for each of its distinct windows once
-    and sums what comes back."""
-    parts = max(1, -(-words.count() // PART_WORDS))
-    dealt = words.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(parts)))
-
-    def distinct(table: pa.Table) -> pa.Table:
-        own = np.unique(word_windows(table["word"], depth)[0])
-        return pa.table([pa.array(np.full(len(own), table["part"][0].as_py())), pa.array(own)], names=["part", "window"])
-    asked = dealt.select("part", "word").groupBy("part").applyInArrow(distinct, "part long, window long")
-    answers = asked.join(scores, "window").select(F.col("part").alias("for_part"), "window", "lp")
-
-    def summed(table: pa.Table, answers: pa.Table) -> pa.Table:
-        code, rows = word_windows(table["word"], depth)
-        order = np.argsort(answers["window"].to_numpy())
-        keys, values = answers["window"].to_numpy()[order], answers["lp"].to_numpy()[order]
-        return pa.table([table["word"], table["c"], pa.array(np.bincount(rows, values[np.searchsorted(keys, code)], minlength=len(table)))],
-                        names=["word", "c", "lp"])
-    return dealt.groupBy("part").cogroup(answers.groupBy("for_part")).applyInArrow(summed, "word binary, c long, lp double")
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                if row["chunk"] != current:
+                    if scores:
+                        yield scores.rows()
+                    current, scores = row["chunk"], _Scores(depth, total, known)
+                if row["place"] is not None:
+                    scores.add_piece(row["keys"], row["doc_ids"], row["docs"], row["train"], row["sizes"])
+                else:
+                    scores.values[row["slot"]] = row["values"]
+        if scores:
+            yield scores.rows()
+    return run
 
 
 def score_texts(docs: DataFrame, train: Column, depth: int = DEPTH) -> DataFrame:
@@ -284,172 +486,29 @@ def score_texts(docs: DataFrame, train: Column, depth: int = DEPTH) -> DataFrame
 
     Rows where ``train`` holds teach both models. ``score`` is the log10 probability of the coded bytes under the weighted
     context tree, ``base_score`` that of the words and the end under add-one counts. Null and empty texts have one token, the end. Repeated
-    rows count and are scored each. Without training rows every bit has probability one half. An empty table gives no rows; other
-    columns are not read.
-
-    Texts are read once: each task numbers the words of its chunk and writes documents as counts over these
-    numbers. Words are counted and scored once for the whole corpus, go back to the chunks that hold them, and
-    a chunk's documents are summed in one task of bounded size. A frequent word has one row per chunk and topic, not per document.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), text_bytes().alias("text"))
-    units = written(rows.mapInArrow(_word_units, _UNITS_SQL), "units")
-    entries, documents = units.where("word is not null"), units.where("word is null")
-    # one shuffle by the word itself gives the counts per topic and word and, above them, per word
-    plain, mark = F.expr("substring(word, 2)"), F.expr("substring(word, 1, 1)")
-    by_word = entries.select(plain.alias("plain"), mark.alias("mark"), "n").repartition("plain").groupBy("plain", "mark").agg(F.sum("n").alias("n"))
-    same = Window.partitionBy("plain")
-    counted = written(by_word.select(F.concat("mark", "plain").alias("word"), "n", F.sum("n").over(same).alias("c"),
-                                     (F.col("mark") == F.min("mark").over(same)).alias("first")), "entries")
-    total, known = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("first") & (F.col("c") > 0), 1))).first()
-    topics = {r[0]: r[1] for r in documents.where("train").groupBy("topic").count().collect()}
-    topic_lp = np.log10((np.array([topics.get(k, 0) for k in range(256)]) + 0.5) / (sum(topics.values()) + 128))
-
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def summed():
-            table = pa.Table.from_batches(held)
-            code, at = word_windows(table["word"], depth)
-            own, inverse = np.unique(code, return_inverse=True)
-            n = np.zeros(len(own), np.int64)
-            np.add.at(n, inverse, table["n"].to_numpy()[at])
-            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], ["window", "n"])
-        for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= PART_WORDS:
-                yield summed()
-                held.clear()
-        if held:
-            yield summed()
-    windows = written(counted.select("word", "n").mapInArrow(gathered, "window long, n long").groupBy("window").agg(F.sum("n").alias("n")), "windows")
-    scores = written(window_scores(windows, depth + 1), "scores")
-    scored = written(_score_words(counted.select("word", "c"), scores, depth), "scored")
-    # words go back by 96 bits of hash, which tell any number of words apart
-    key = [F.xxhash64("word").alias("h"), F.hash("word").alias("g")]
-    looked_up = entries.select("chunk", "place", *key).join(scored.select(*key, "c", "lp"), ["h", "g"]).select(F.col("chunk").alias("home"), "place", "c", "lp")
-    floor = math.log10(total + known + 1)
-    schema = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-
-    def summed(docs: pa.Table, entries: pa.Table) -> pa.Table:
-        n = len(docs)
-        seen, lp = np.zeros(len(entries), np.int64), np.zeros(len(entries))
-        at = entries["place"].to_numpy()
-        seen[at], lp[at] = entries["c"].to_numpy(), entries["lp"].to_numpy()
-        places, counts = (pa.concat_arrays(docs[c].chunks) if n else pa.array([], docs[c].type) for c in ("places", "counts"))
-        own = np.repeat(np.arange(n), np.diff(places.offsets.to_numpy()))
-        word, times = places.flatten().to_numpy(), counts.flatten().to_numpy()
-        tokens, size = docs["tokens"].to_numpy(), docs["bytes"].to_numpy()
-        found = np.rint(np.bincount(own, times * (seen[word] > 0), minlength=n)).astype(np.int64)
-        base = np.bincount(own, times * np.log10(seen + 1.0)[word], minlength=n) - tokens * floor
-        score = np.bincount(own, times * lp[word], minlength=n) + topic_lp[docs["topic"].to_numpy()]
-        return pa.table([docs["doc_id"], docs["train"], pa.array(tokens), pa.array(found), pa.array(np.full(n, total, np.int64)), pa.array(base),
-                         pa.array(score), pa.array(size), pa.array(-score * math.log2(10) / size)],
-                        names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"])
-    chunks = documents.select("chunk", "doc_id", "train", "topic", "tokens", "bytes", "places", "counts")
-    return chunks.groupBy("chunk").cogroup(looked_up.groupBy("home")).applyInArrow(summed, schema)
-
-
-_RUNNING = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("train", pa.bool_()), ("text", pa.binary()), ("word", pa.binary()),
-                     ("window", pa.int64()), ("n", pa.int64())])
-_RUNNING_SQL = "chunk long, doc_id long, train boolean, text binary, word binary, window long, n long"
-
-
-def running_windows(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(window, row) for every byte of every coded text: ``depth`` bytes before it and the byte itself, in one integer."""
-    lengths = np.array([len(t) for t in texts], np.int64)
-    data = np.frombuffer(b"".join(TEXT_END * depth + t for t in texts), np.uint8)
-    rows = np.repeat(np.arange(len(texts)), lengths)
-    at = np.arange(len(rows)) + rows * depth
-    code = np.zeros(len(rows), np.int64)
-    for k in range(depth + 1):
-        code = (code << 8) | data[at + k]
-    return code, rows
-
-
-def _running_units(depth: int):
-    """Cut a task's texts into chunks: one row per coded text, and, when a chunk closes, one per distinct word and
-    distinct window of it with its count in training texts."""
-    def rows(size, /, **columns):
-        return pa.RecordBatch.from_pydict({f.name: pa.nulls(size, f.type) for f in _RUNNING} | columns, schema=_RUNNING)
-
-    def closed(chunk, texts, train):
-        words = defaultdict(int)
-        for text, taught in zip(texts, train):
-            for w, n in Counter([*text.split(), TEXT_END]).items():
-                words[w] += n * taught
-        yield rows(len(words), chunk=pa.array(np.full(len(words), chunk)), word=pa.array(list(words), pa.binary()), n=pa.array(list(words.values()), pa.int64()))
-        code, at = running_windows(texts, depth)
-        own, inverse = np.unique(code, return_inverse=True)
-        n = np.bincount(inverse, np.array(train, np.int64)[at], len(own)).astype(np.int64)
-        for k in range(0, len(own), 1 << 16):
-            part = own[k: k + (1 << 16)]
-            yield rows(len(part), chunk=pa.array(np.full(len(part), chunk)), window=pa.array(part), n=pa.array(n[k: k + (1 << 16)]))
-
-    def documents(chunk, ids, train, texts):
-        return rows(len(ids), chunk=pa.array(np.full(len(ids), chunk)), doc_id=pa.array(ids, pa.int64()), train=pa.array(train, pa.bool_()), text=pa.array(texts, pa.binary()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, texts, taught, held = random.SystemRandom().getrandbits(62), [], [], 0
-        for batch in batches:
-            ids, first = [], len(texts)  # documents of this batch and chunk
-            for doc_id, train, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                texts.append(b"".join(w + WORD_END for w in text.as_py().lower().split()) + TEXT_END)
-                taught.append(train)
-                ids.append(doc_id)
-                held += len(texts[-1])
-                if held >= RUNNING_BYTES:
-                    yield documents(chunk, ids, taught[first:], texts[first:])
-                    yield from closed(chunk, texts, taught)
-                    chunk, texts, taught, held = random.SystemRandom().getrandbits(62), [], [], 0
-                    ids, first = [], 0
-            if ids:
-                yield documents(chunk, ids, taught[first:], texts[first:])
-        if texts:
-            yield from closed(chunk, texts, taught)
-    return run
-
-
-def score_running_texts(docs: DataFrame, train: Column, depth: int = RUNNING_DEPTH) -> DataFrame:
-    """The columns of ``score_texts``, with ``score`` under a context tree over the bytes of the running text.
+    rows count and are scored each. Without training rows every bit has probability one half. A null ``train`` is false. An empty table gives no rows; other
+    columns are not read. A very long text is coded, sorted and looked up in pieces.
 
-    Texts are cut into chunks. A chunk counts its distinct windows (context and coded byte) and words; Spark sums the counts, weighs the
-    trees, and sends each chunk the scores of its own windows and words, which it looks up for every position of its texts.
+    Lists meet by slot once to be counted and once to be answered; pieces meet their chunk's answers once. A frequent window or word has one entry per chunk.
+    A task holds the distinct windows of one chunk, or of one slot.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), text_bytes().alias("text"))
-    units = written(rows.mapInArrow(_running_units(depth), _RUNNING_SQL), "units")
-    texts, words, asked = (units.where(f"{c} is not null") for c in ("text", "word", "window"))
-    counted = written(words.groupBy("word").agg(F.sum("n").alias("c")), "words")
-    total, known = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    windows = written(asked.groupBy("window").agg(F.sum("n").alias("n")), "windows")
-    scores = written(window_scores(windows, depth), "scores")
-    none = F.lit(None)
-    answers = words.select("chunk", "word").join(counted, "word").select("chunk", "word", none.cast("long").alias("window"), F.col("c").cast("double").alias("value")).unionByName(
-        asked.select("chunk", "window").join(scores, "window").select("chunk", none.cast("binary").alias("word"), "window", F.col("lp").alias("value")))
-    floor = math.log10(total + known + 1)
-    schema = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-
-    def summed(docs: pa.Table, found: pa.Table) -> pa.Table:
-        n = len(docs)
-        is_word = found["word"].is_valid()
-        of_words, of_windows = found.filter(is_word), found.filter(found["window"].is_valid())
-        seen = dict(zip(of_words["word"].to_pylist(), of_words["value"].to_pylist()))
-        keys, values = of_windows["window"].to_numpy(), of_windows["value"].to_numpy()
-        order = np.argsort(keys)
-        keys, values = keys[order], values[order]
-        tokens, had, base, score, size = (np.zeros(n, t) for t in (np.int64, np.int64, float, float, np.int64))
-        for i, text in enumerate(docs["text"]):
-            text = text.as_py()
-            c = np.array([seen[w] for w in [*text.split(), TEXT_END]])
-            tokens[i], had[i], base[i] = len(c), (c > 0).sum(), np.log10(c + 1).sum() - len(c) * floor
-            score[i], size[i] = values[np.searchsorted(keys, running_windows([text], depth)[0])].sum(), len(text)
-        return pa.table([docs["doc_id"], docs["train"], pa.array(tokens), pa.array(had), pa.array(np.full(n, total, np.int64)), pa.array(base), pa.array(score),
-                         pa.array(size), pa.array(-score * math.log2(10) / size)],
-                        names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"])
-    return texts.select("chunk", "doc_id", "train", "text").groupBy("chunk").cogroup(
-        answers.withColumnRenamed("chunk", "home").groupBy("home")).applyInArrow(summed, schema)
+    units = written(rows.mapInArrow(_chunks(depth), _UNITS_SQL), "units")
+    lists, pieces = units.where("slot is not null"), units.where("slot is null")
+    counts = written(lists.select("slot", "keys", "values").repartition("slot").sortWithinPartitions("slot").mapInArrow(
+        _slot_counts, "slot int, keys binary, values binary, total long, known long"), "counts")
+    total, known = counts.where(F.col("slot") >= SLOTS).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
+    scores = window_scores(counts.where(F.col("slot") < SLOTS), depth).unionByName(
+        counts.where(F.col("slot") >= SLOTS).select("slot", "keys", "values"))
+    none = F.lit(None).cast("long").alias("chunk")
+    asked = lists.select("slot", "chunk", "keys", F.lit(None).cast("binary").alias("values")).unionByName(written(scores, "scores").select("slot", none, "keys", "values"))
+    answers = asked.repartition("slot").sortWithinPartitions("slot", F.asc_nulls_first("chunk")).mapInArrow(_answers, "chunk long, slot int, values binary")
+    back = pieces.unionByName(answers, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", F.asc_nulls_last("place"), "slot")
+    return back.mapInArrow(_scored(depth, total, known), RESULT)
 
 
 def op3_ctw(spark, sf_dir: str) -> DataFrame:
-    found = score_running_texts(read_table(spark, sf_dir, "documents"), id_remainder("doc_id", 7) != 2)
+    """``score_texts`` of all documents, learned from those whose crc32(doc_id) modulo 7 is not 2; rows and defined cases are its own."""
+    found = score_texts(read_table(spark, sf_dir, "documents"), id_remainder("doc_id", 7) != 2)
     return found.select("doc_id", (id_remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score",
                         "n_bytes", "bits_per_byte")

@@ -1,8 +1,9 @@
 """op3 on running text: against trees built node by node, and the order of words counts."""
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,19 +55,57 @@ def brute(train, texts, depth):
     return out
 
 
-def test_running_text_equals_brute_force_and_order_counts(spark, monkeypatch):
-    monkeypatch.setattr(ctw, "RUNNING_BYTES", 60)
-    monkeypatch.setattr(ctw, "PART_WINDOWS", 50)
+@pytest.mark.parametrize("depth,small", [(6, True), (7, True), (6, False), (2, True)])
+def test_running_text_equals_brute_force_and_order_counts(spark, monkeypatch, depth, small):
+    if small:
+        monkeypatch.setattr(ctw, "CHUNK_BYTES", 60)
+        monkeypatch.setattr(ctw, "PIECE_BYTES", 12)
+        monkeypatch.setattr(ctw, "SLOTS", 8)
     texts = ["the cat sat on the mat", "The dog sat", "là-bas un chat", "", "zebra the", "the cat sat on the mat", "mat the on sat cat the", "unseen words"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: r for r in ctw.score_running_texts(docs, F.col("doc_id") < 5).collect()}
-    for i, want in enumerate(brute([t.encode() for t in texts[:5]], [t.encode() for t in texts], ctw.RUNNING_DEPTH)):
-        assert got[i].score == pytest.approx(want, rel=1e-7)
-    assert got[5].score > got[6].score + 1 and got[5].base_score == pytest.approx(got[6].base_score)
-    assert got[7].n_known == 1 and got[7].n_tokens == 3
+    got = {r.doc_id: r for r in ctw.score_texts(docs, F.col("doc_id") < 5, depth).collect()}
+    for i, want in enumerate(brute([t.encode() for t in texts[:5]], [t.encode() for t in texts], depth)):
+        assert got[i].score == pytest.approx(want, rel=1e-6)
+    assert got[5].score > got[6].score + 0.3 and got[5].base_score == pytest.approx(got[6].base_score)
+    counts = Counter(w for t in texts[:5] for w in [*t.lower().split(), "\n"])
+    n, v = sum(counts.values()), len(counts)
+    for i, t in enumerate(texts):
+        tokens = [*t.lower().split(), "\n"]
+        assert got[i].base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens), rel=1e-9)
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(tokens), sum(counts[w] > 0 for w in tokens), n)
 
 
-def test_running_text_on_awkward_rows(awkward, no_docs):
-    got = ctw.score_running_texts(awkward, F.col("doc_id") % 2 == 0).collect()
+def test_pieces_and_chunks_do_not_change_scores(spark, monkeypatch):
+    """A text of 300,000 bytes, whole and in pieces of a tenth of that."""
+    words = " ".join(f"word{i * i % 9973} x{i % 31}" for i in range(25_000))
+    docs = spark.createDataFrame([(1, words), (2, words[:5000]), (3, "a " * 3000)], "doc_id long, text string")
+    whole = {r.doc_id: r for r in ctw.score_texts(docs, F.col("doc_id") != 2).collect()}
+    monkeypatch.setattr(ctw, "PIECE_BYTES", 30_000)
+    monkeypatch.setattr(ctw, "CHUNK_BYTES", 100_000)
+    parts = {r.doc_id: r for r in ctw.score_texts(docs.repartition(3), F.col("doc_id") != 2).collect()}
+    for i, r in whole.items():
+        assert parts[i].score == pytest.approx(r.score, rel=1e-7) and parts[i].base_score == pytest.approx(r.base_score)
+        assert (parts[i].n_tokens, parts[i].n_known, parts[i].n_bytes) == (r.n_tokens, r.n_known, r.n_bytes)
+    assert whole[1].n_tokens == 50_001
+
+
+def test_awkward_rows(awkward, no_docs):
+    got = ctw.score_texts(awkward, F.col("doc_id") % 2 == 0).collect()
     assert len(got) == awkward.count() and all(math.isfinite(r.score) and r.score < 0 for r in got)
-    assert {r.n_tokens for r in got if r.doc_id in (2, 3, 4, 11)} == {1} and ctw.score_running_texts(no_docs, F.lit(True)).count() == 0
+    assert {r.n_tokens for r in got if r.doc_id in (2, 3, 4, 11)} == {1} and ctw.score_texts(no_docs, F.lit(True)).count() == 0
+    untaught = ctw.score_texts(awkward, F.lit(False)).collect()
+    assert all(r.train_tokens == 0 and r.base_score == 0 and r.bits_per_byte == pytest.approx(8) for r in untaught)
+
+
+def test_beats_the_word_model_on_held_out_texts(spark):
+    held = ctw.op3_ctw(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert held[0] > held[1]
+
+
+def test_packing():
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 1 << 63, 1000, np.uint64) * np.uint64(2))
+    assert (ctw.unpacked_sorted(ctw.packed_sorted(keys)) == keys).all()
+    values = rng.normal(size=77).astype(np.float32)
+    assert (ctw.unpacked(ctw.packed(values), np.float32) == values).all()
+    assert ctw.unpacked_words(ctw.packed_words([b"", b"a", b"b"])) == [b"", b"a", b"b"]

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marketloom.llm import ctw, packing, secret_scan, simhash
+from marketloom.llm import packing, secret_scan, simhash
 from marketloom.llm.common import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -190,100 +190,3 @@ def test_packing_cuts_lengths_that_do_not_fit(spark):
     padding, sequences = check_packing(packing.pack(docs, packing.default_vocabulary()).collect(), docs.collect(), fine=True)
     assert padding < packing.SEQUENCE and sequences == -(-2201 * 30 // packing.SEQUENCE)
     assert [n for _, n in packing.cut_points(4096 + 64 * 5 + 3, True)] == [4096, 256, 64, 3]
-
-
-def brute_ctw(train, texts, depth):
-    """Context trees over the same symbols, built node by node, with recursive weighting."""
-    counts = defaultdict(lambda: [0, 0])
-
-    def steps(text):
-        words = text.lower().split()
-        count = Counter(words)
-        about = ctw.topic(count)
-        for w in words + [ctw.TEXT_END]:
-            coded = ctw.WORD_END * depth + w + ctw.WORD_END
-            for i in range(len(w) + 1):
-                context = bytes([about if i < ctw.TOPIC_BYTES else 0]) + coded[i:i + depth]
-                byte = coded[i + depth]
-                for k in range(8):
-                    yield context, byte >> (8 - k) | 1 << k, byte >> (7 - k) & 1
-        return about
-    for t in train:
-        for context, node, bit in steps(t):
-            for d in range(depth + 2):
-                counts[(context[len(context) - d:], node)][bit] += 1
-    children = defaultdict(set)
-    for context, node in counts:
-        if context:
-            children[(context[1:], node)].add(context)
-
-    def kt(a, b):
-        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
-    memo = {}
-
-    def weighted(context, node):
-        key = context, node
-        if key not in memo:
-            own = kt(*counts[key])
-            if len(context) == depth + 1:
-                memo[key] = own
-            else:
-                memo[key] = np.logaddexp(own, sum(weighted(c, node) for c in children[key])) - math.log(2)
-        return memo[key]
-    topics = Counter(ctw.topic(Counter(t.lower().split())) for t in train)
-    out = []
-    for t in texts:
-        total = math.log10((topics[ctw.topic(Counter(t.lower().split()))] + 0.5) / (len(train) + 128))
-        for context, node, bit in steps(t):
-            mix, reach, one = 0.0, 1.0, 0.5
-            for d in range(depth + 2):
-                key = (context[len(context) - d:], node)
-                if key not in counts:
-                    break
-                a, b = counts[key]
-                p = (b + 0.5) / (a + b + 1)
-                one = mix + reach * p
-                share = 1.0 if d == depth + 1 else min(1.0, 0.5 * math.exp(kt(a, b) - weighted(*key)))
-                mix, reach = mix + reach * share * p, reach * (1 - share)
-            total += math.log10(one if bit else 1 - one)
-        out.append(total)
-    return out
-
-
-def test_ctw_equals_brute_force(spark):
-    texts = ["the cat sat on the mat", "The dog sat", "a cat and a dog", "les chats sont là", "", "zebra zzz the", "the the the", "unseen words only here"]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: r for r in ctw.score_texts(docs, F.col("doc_id") < 6).collect()}
-    want = brute_ctw([t.encode() for t in texts[:6]], [t.encode() for t in texts], ctw.DEPTH)
-    for i, w in enumerate(want):
-        assert got[i].score == pytest.approx(w, rel=1e-7)
-    counts = Counter(w for t in texts[:6] for w in [*t.lower().split(), "\n"])
-    n, v = sum(counts.values()), len(counts)
-    for i, t in enumerate(texts):
-        tokens = [*t.lower().split(), "\n"]
-        assert got[i].base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens), rel=1e-9)
-        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(tokens), sum(counts[w] > 0 for w in tokens), n)
-
-
-def test_ctw_on_awkward_rows(awkward, no_docs):
-    got = ctw.score_texts(awkward, F.col("doc_id") % 2 == 0).collect()
-    assert len(got) == awkward.count() and all(math.isfinite(r.score) and r.score < 0 for r in got)
-    assert {r.n_tokens for r in got if r.doc_id in (2, 3, 4, 11)} == {1}
-    assert ctw.score_texts(no_docs, F.lit(True)).count() == 0
-    untaught = ctw.score_texts(awkward, F.lit(False)).collect()
-    assert all(r.train_tokens == 0 and r.base_score == 0 for r in untaught)
-
-
-def test_ctw_words_in_many_parts_and_chunks(docs, monkeypatch):
-    whole = {r.doc_id: r.score for r in ctw.score_texts(docs, F.col("doc_id") % 5 != 0).collect()}
-    monkeypatch.setattr(ctw, "PART_WORDS", 700)
-    monkeypatch.setattr(ctw, "PART_WINDOWS", 500)
-    monkeypatch.setattr(ctw, "SENT_WINDOWS", 0)
-    monkeypatch.setattr(ctw, "CHUNK_WORDS", 900)
-    parts = {r.doc_id: r.score for r in ctw.score_texts(docs, F.col("doc_id") % 5 != 0).collect()}
-    assert whole.keys() == parts.keys() and all(parts[k] == pytest.approx(v, rel=1e-9) for k, v in whole.items())
-
-
-def test_ctw_beats_the_word_model_on_held_out_texts(spark):
-    held = ctw.op3_ctw(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert held[0] > 1.02 * held[1]
