@@ -2,11 +2,11 @@
 
 A text is coded as its lower-cased words, each closed by a blank, and a byte that ends the text. The context of a byte is up to DEPTH bytes
 before it, across blanks; before the text stand TEXT_END bytes. A window is a context and the byte coded after it, in one 64-bit integer with the
-latest byte of the context on top, so that sorted windows lie next to those they share a context with.
+latest bytes of the context on top, so that sorted windows lie next to those they share a context with. The two latest bytes, the family of the window, are
+multiplied by an odd number modulo 65,536: families then fall evenly into slots, which are runs of sorted windows.
 
-Texts stay in chunks, as compressed pieces. A chunk finds its distinct windows and words by sorting its pieces one by one; they are dealt into slots,
-a slot holding all windows whose contexts end in the same two bytes. Between chunks and slots go sorted, difference-coded lists, never a row per window: counts
-one way, and, since a chunk finds its sorted lists again, bare values the other way.
+Texts stay in chunks, as compressed pieces. A chunk finds its distinct windows and words by sorting its pieces one by one. Between chunks and slots go sorted,
+difference-coded lists, never a row per window: counts one way, scores the other.
 """
 
 from __future__ import annotations
@@ -26,13 +26,15 @@ from pyspark.sql import functions as F
 
 from marketloom.llm.common import id_remainder, read_table, text_bytes, written
 
-#: Bytes of context, 7 at most: with the coded byte they fill a 64-bit window.
-DEPTH = 7
+#: Bytes of context, 2 to 7: with the coded byte they fill a 64-bit window. One byte more asks for two to three times as many windows.
+DEPTH = 6
 #: Bytes of text in one piece, and in the pieces of one chunk. A long text fills pieces of its own; a word is never cut.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 CHUNK_BYTES = 64 << 20
-#: Slots of windows, and as many of words: a power of two.
+#: Slots of windows, and as many of words: a power of two, up to 65,536.
 SLOTS = 512
+_SPREAD = 40503
+_GATHER = pow(_SPREAD, -1, 1 << 16)
 
 # What closes a word, and what ends a text. Neither can be part of a word.
 WORD_END = b"\x20"
@@ -68,6 +70,13 @@ def unpacked_words(data: bytes) -> list[bytes]:
     return zstandard.ZstdDecompressor().decompress(data).split(b"\n")
 
 
+def _with_family(context: np.ndarray, depth: int, factor: int) -> np.ndarray:
+    """Contexts with their two top bytes multiplied by ``factor``."""
+    rest = np.uint64(8 * (depth - 2))
+    family = ((context >> rest) * np.uint64(factor)) & np.uint64(0xFFFF)
+    return (family << rest) | (context & np.uint64((1 << int(rest)) - 1))
+
+
 class Piece:
     """Some coded texts, or a part of a long one, each after the ``depth`` bytes before it."""
 
@@ -83,19 +92,21 @@ class Piece:
         inside = np.ones(len(self.data), bool)
         starts = np.cumsum(self.sizes + self.depth) - self.sizes - self.depth
         inside[(starts[:, None] + np.arange(self.depth)).ravel()] = False
-        return (context[inside] << np.uint64(8)) | raw[8:][inside]
+        context, byte = _with_family(context[inside], self.depth, _SPREAD), raw[8:][inside]
+        context <<= np.uint64(8)
+        context |= byte
+        return context
 
-    def words(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    def words(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """Distinct words, and for every word of the texts its number and the place of its text in the piece; the ends of texts are not among them."""
         upto = np.cumsum(self.sizes + self.depth)
         texts = [self.data[e - n: e].rstrip(b" \n") for e, n in zip(upto.tolist(), self.sizes.tolist())]
         lists = pc.split_pattern(pa.array(texts, pa.binary()), " ")
         flat = lists.flatten().dictionary_encode()
         own = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
-        code, words = flat.indices.to_numpy(), flat.dictionary.to_pylist()
-        if b"" in words:  # of a text without words
-            none = words.index(b"")
-            own, code = own[code != none], code[code != none]
+        code, words = flat.indices.to_numpy(), flat.dictionary
+        if len(none := np.flatnonzero(pc.equal(pc.binary_length(words), 0))):  # of a text without words
+            own, code = own[code != none[0]], code[code != none[0]]
         return words, code, own
 
 
@@ -115,7 +126,7 @@ def coded_pieces(text: bytes) -> Iterator[bytes]:
 def merged(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys of some lists with the sums of their numbers."""
     keys, n = (np.concatenate(c) for c in zip(*lists))
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, n = keys[order], n[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     return keys[first], np.add.reduceat(n, first)
@@ -143,37 +154,61 @@ class Merger:
         return self.lists[0]
 
 
+class WordMerger:
+    """The same for words."""
+
+    def __init__(self):
+        self.words, self.n, self.last = [], [], 0
+
+    def add(self, words: pa.Array, n: np.ndarray) -> None:
+        self.words.append(words)
+        self.n.append(n)
+        if sum(map(len, self.words)) > 2 * self.last + (1 << 19):
+            self._merge()
+
+    def _merge(self) -> None:
+        own = pa.concat_arrays(self.words).dictionary_encode()
+        self.n = [np.rint(np.bincount(own.indices.to_numpy(), np.concatenate(self.n), len(own.dictionary))).astype(np.int64)]
+        self.words, self.last = [own.dictionary], len(own.dictionary)
+
+    def result(self) -> tuple[list[bytes], np.ndarray]:
+        if not self.words:
+            return [], np.empty(0, np.int64)
+        self._merge()
+        order = pc.sort_indices(self.words[0])
+        return self.words[0].take(order).to_pylist(), self.n[0][order.to_numpy()]
+
+
 def counted_windows(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    windows = np.sort(windows)
+    windows.sort()
     first = np.flatnonzero(np.r_[True, windows[1:] != windows[:-1]]) if len(windows) else np.empty(0, np.int64)
     return windows[first], np.diff(np.r_[first, len(windows)])
 
 
-def window_slots(windows: np.ndarray, depth: int) -> np.ndarray:
-    """Slot of each window, by the two latest bytes of its context."""
-    family = windows >> np.uint64(8 * (depth - 1))
-    return ((family * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int16)
-
+def window_slots(windows: np.ndarray, depth: int) -> Iterator[tuple[int, slice]]:
+    """(slot, its run) of sorted windows."""
+    width = np.uint64(8 * (depth + 1) - SLOTS.bit_length() + 1)
+    ends = np.searchsorted(windows >> width, np.arange(SLOTS, dtype=np.uint64), side="right")
+    for slot, (first, end) in enumerate(zip([0, *ends.tolist()], ends.tolist())):
+        if first < end:
+            yield slot, slice(first, end)
 
-def word_slots(words: list[bytes]) -> np.ndarray:
-    return np.array([SLOTS + zlib.crc32(w) % SLOTS for w in words], np.int16)
 
-
-def by_slot(slots: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(slot, positions of its members in order) of every slot that has some."""
+def word_slots(words: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, positions of its words, in order); slots of words follow those of windows."""
+    slots = np.array([zlib.crc32(w) % SLOTS for w in words], np.int16)
     order = np.argsort(slots, kind="stable")
-    ends = np.flatnonzero(np.r_[slots[order][1:] != slots[order][:-1], True]) + 1 if len(order) else []
-    first = 0
-    for end in ends:
-        yield int(slots[order[first]]), order[first:end]
-        first = end
+    ends = np.searchsorted(slots[order], np.arange(SLOTS), side="right")
+    for slot, (first, end) in enumerate(zip([0, *ends.tolist()], ends.tolist())):
+        if first < end:
+            yield SLOTS + slot, order[first:end]
 
 
 class Chunk:
     """Distinct windows and words of pieces, and how often each occurs in training texts."""
 
     def __init__(self):
-        self.windows, self.words = Merger(), {}
+        self.windows, self.words = Merger(), WordMerger()
 
     def add(self, piece: Piece, train: np.ndarray) -> None:
         """``train``: of each text of the piece."""
@@ -183,13 +218,7 @@ class Chunk:
         others = counted_windows(windows[~taught])[0]
         self.windows.add(others, np.zeros(len(others), np.int64))
         words, code, own = piece.words()
-        for w, n in zip(words, np.bincount(code, train[own], len(words)).astype(np.int64).tolist()):
-            if w:
-                self.words[w] = self.words.get(w, 0) + n
-
-    def lists(self, depth: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        windows, n = self.windows.result()
-        return windows, n, sorted(self.words)
+        self.words.add(words, np.bincount(code, train[own], len(words)))
 
 
 _UNITS = pa.schema([("chunk", pa.int64()), ("slot", pa.int32()), ("place", pa.int32()), ("keys", pa.binary()), ("values", pa.binary()),
@@ -216,16 +245,13 @@ def _chunks(depth: int):
             return out
 
         def closed():
-            if ends:
-                chunk.words[b""] = ends
-            elif places:
-                chunk.words[b""] = 0
-            windows, n, words = chunk.lists(depth)
-            for slot, at in by_slot(window_slots(windows, depth)):
+            chunk.words.add(pa.array([b""], pa.binary()), np.array([ends]))
+            windows, n = chunk.windows.result()
+            for slot, at in window_slots(windows, depth):
                 yield row(chunk=name, slot=slot, keys=packed_sorted(windows[at]), values=packed(n[at]))
-            for slot, at in by_slot(word_slots(words)):
-                mine = [words[i] for i in at]
-                yield row(chunk=name, slot=slot, keys=packed_words(mine), values=packed(np.array([chunk.words[w] for w in mine], np.int64)))
+            words, n = chunk.words.result()
+            for slot, at in word_slots(words):
+                yield row(chunk=name, slot=slot, keys=packed_words([words[i] for i in at]), values=packed(n[at]))
         for batch in batches:
             for doc_id, taught, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 before = TEXT_END * depth
@@ -254,15 +280,11 @@ def _chunks(depth: int):
 
 def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (slot, keys, values) in order of slot: one row per slot with the counts of all chunks."""
-    slot, windows, words = None, Merger(), {}
+    slot, merger = None, None
 
     def done():
-        if slot < SLOTS:
-            keys, n = windows.result()
-            return slot, packed_sorted(keys), packed(n), int(n.sum()), len(keys)
-        names = sorted(words)
-        n = np.array([words[w] for w in names], np.int64)
-        return slot, packed_words(names), packed(n), int(n.sum()), int((n > 0).sum())
+        keys, n = merger.result()
+        return slot, (packed_sorted if slot < SLOTS else packed_words)(keys), packed(n), int(n.sum()), int((n > 0).sum())
 
     def out(row):
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()))],
@@ -272,19 +294,16 @@ def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if at != slot:
                 if slot is not None:
                     yield out(done())
-                slot, windows, words = at, Merger(), {}
-            if at < SLOTS:
-                windows.add(unpacked_sorted(keys), unpacked(values, np.int64))
-            else:
-                for w, n in zip(unpacked_words(keys), unpacked(values, np.int64).tolist()):
-                    words[w] = words.get(w, 0) + n
+                slot, merger = at, Merger() if at < SLOTS else WordMerger()
+            own = unpacked_sorted(keys) if at < SLOTS else pa.array(unpacked_words(keys), pa.binary())
+            merger.add(own, unpacked(values, np.int64))
     if slot is not None:
         yield out(done())
 
 
 def _in_order(windows: np.ndarray, depth: int) -> np.ndarray:
     """Windows with the latest byte of the context at the bottom of it, as signed integers."""
-    context = ((windows >> np.uint64(8)) << np.uint64(8 * (8 - depth))).byteswap()
+    context = (_with_family(windows >> np.uint64(8), depth, _GATHER) << np.uint64(8 * (8 - depth))).byteswap()
     return ((context << np.uint64(8)) | (windows & np.uint64(255))).view(np.int64)
 
 
@@ -396,7 +415,7 @@ def window_scores(counts: DataFrame, depth: int) -> DataFrame:
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (slot, chunk, keys, values) in order of slot, a slot's own row (no chunk) first: (chunk, slot, values), the slot's values of the chunk's keys."""
+    """Rows (slot, chunk, keys, values) in order of slot, a slot's own row (no chunk) first: (chunk, slot, keys, values), the slot's values of the chunk's keys."""
     keys = values = None
     for batch in batches:
         out = []
@@ -407,9 +426,10 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys = {w: i for i, w in enumerate(unpacked_words(own))} if words else unpacked_sorted(own)
                 continue
             at = [keys[w] for w in unpacked_words(own)] if slot >= SLOTS else np.searchsorted(keys, unpacked_sorted(own))
-            out.append((chunk, slot, packed(values[at])))
+            out.append((chunk, slot, own, packed(values[at])))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))], ["chunk", "slot", "values"])
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["chunk", "slot", "keys", "values"])
 
 
 RESULT = ("doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, "
@@ -417,44 +437,43 @@ RESULT = ("doc_id long, train boolean, n_tokens long, n_known long, train_tokens
 
 
 class _Scores:
-    """A chunk on its way back: first its pieces, then the values of its slots."""
+    """A chunk on its way back: its pieces, compressed, and the windows and words of its slots with their values."""
 
     def __init__(self, depth: int, total: int, known: int):
         self.depth, self.total, self.floor = depth, total, math.log10(total + known + 1)
-        self.pieces, self.chunk, self.values, self.docs = [], Chunk(), {}, {}
+        self.pieces, self.windows, self.lp, self.words, self.docs = [], [], [], {}, {}
 
     def add_piece(self, data, doc_ids, docs, train, sizes) -> None:
         self.pieces.append((data, docs, sizes))
         self.docs.update(zip(docs, zip(doc_ids, train)))
-        self.chunk.add(self._piece(*self.pieces[-1]), np.array(train))
 
-    def _piece(self, data, docs, sizes) -> Piece:
-        return Piece(zstandard.ZstdDecompressor().decompress(data), docs, sizes, self.depth)
+    def add_slot(self, slot, keys, values) -> None:
+        if slot < SLOTS:
+            self.windows.append(unpacked_sorted(keys))
+            self.lp.append(unpacked(values, np.float32))
+        else:
+            self.words.update(zip(unpacked_words(keys), unpacked(values, np.int64).tolist()))
 
     def rows(self) -> pa.RecordBatch:
-        self.chunk.words[b""] = 0
-        windows, _, words = self.chunk.lists(self.depth)
-        lp, count = np.zeros(len(windows), np.float32), np.zeros(len(words), np.int64)
-        for slots, values in ((window_slots(windows, self.depth), lp), (word_slots(words), count)):
-            for slot, at in by_slot(slots):
-                values[at] = unpacked(self.values.pop(slot), values.dtype)
-        number = {w: i for i, w in enumerate(words)}
+        windows, lp = np.concatenate(self.windows), np.concatenate(self.lp)
+        self.windows = self.lp = None
         n = len(self.docs)
         tokens, had, base, score, size = (np.zeros(n) for _ in range(5))
-        gain, end = np.log10(count + 1.0), number[b""]
         for data, docs, sizes in self.pieces:
-            piece = self._piece(data, docs, sizes)
+            piece = Piece(zstandard.ZstdDecompressor().decompress(data), docs, sizes, self.depth)
             own = piece.windows()
             order = np.argsort(own)  # sorted questions are answered several times as fast
+            own = own[order]
             found = np.empty(len(own), np.float32)
-            found[order] = lp[np.searchsorted(windows, own[order])]
-            np.add.at(score, piece.docs, np.bincount(np.repeat(np.arange(len(docs)), piece.sizes), found, len(docs)))
+            found[order] = lp[np.searchsorted(windows, own)]
+            np.add.at(score, piece.docs, np.add.reduceat(found, np.cumsum(piece.sizes) - piece.sizes, dtype=float))
             np.add.at(size, piece.docs, piece.sizes)
             names, code, text = piece.words()
-            at = np.array([number[w] if w else end for w in names], np.int64)
-            for total, value in ((tokens, np.ones(len(at))), (had, (count > 0)[at].astype(float)), (base, gain[at])):
+            count = np.array([self.words.get(w, 0) for w in names.to_pylist()], np.int64)
+            for total, value in ((tokens, np.ones(len(count))), (had, (count > 0).astype(float)), (base, np.log10(count + 1.0))):
                 np.add.at(total, piece.docs, np.bincount(text, value[code], len(docs)))
-        tokens, had, base = tokens + 1, had + (count[end] > 0), base + gain[end]
+        ends = self.words[b""]
+        tokens, had, base = tokens + 1, had + (ends > 0), base + math.log10(ends + 1)
         ids, train = zip(*(self.docs[i] for i in range(n)))
         columns = [pa.array(ids, pa.int64()), pa.array(train, pa.bool_()), pa.array(tokens.astype(np.int64)), pa.array(np.rint(had).astype(np.int64)),
                    pa.array(np.full(n, self.total, np.int64)), pa.array(base - tokens * self.floor), pa.array(score), pa.array(size.astype(np.int64)),
@@ -475,7 +494,7 @@ def _scored(depth: int, total: int, known: int):
                 if row["place"] is not None:
                     scores.add_piece(row["keys"], row["doc_ids"], row["docs"], row["train"], row["sizes"])
                 else:
-                    scores.values[row["slot"]] = row["values"]
+                    scores.add_slot(row["slot"], row["keys"], row["values"])
         if scores:
             yield scores.rows()
     return run
@@ -502,7 +521,7 @@ def score_texts(docs: DataFrame, train: Column, depth: int = DEPTH) -> DataFrame
         counts.where(F.col("slot") >= SLOTS).select("slot", "keys", "values"))
     none = F.lit(None).cast("long").alias("chunk")
     asked = lists.select("slot", "chunk", "keys", F.lit(None).cast("binary").alias("values")).unionByName(written(scores, "scores").select("slot", none, "keys", "values"))
-    answers = asked.repartition("slot").sortWithinPartitions("slot", F.asc_nulls_first("chunk")).mapInArrow(_answers, "chunk long, slot int, values binary")
+    answers = asked.repartition("slot").sortWithinPartitions("slot", F.asc_nulls_first("chunk")).mapInArrow(_answers, "chunk long, slot int, keys binary, values binary")
     back = pieces.unionByName(answers, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", F.asc_nulls_last("place"), "slot")
     return back.mapInArrow(_scored(depth, total, known), RESULT)
 
