@@ -106,11 +106,9 @@ def _times(matrix: list[int], vector: int) -> int:
     return out
 
 
-def crc32_joined(crc: int, after: int, size: int) -> int:
-    """crc32 of two byte strings put together, from the crc32 of both and the bytes of the second.
-
-    The second string's crc32 does not depend on the first; the first's is carried over ``size`` zero bytes, a linear map of its bits that is
-    squared for every bit of ``size``."""
+def crc32_before(crc: int, size: int) -> int:
+    """What a string's crc32 adds to that of the string followed by ``size`` bytes: the crc32 of the whole is the exclusive or of this and the crc32 of
+    what follows. It is the crc32 carried over ``size`` zero bytes, a linear map of its bits that is squared for every bit of ``size``."""
     zeros = [0xEDB88320, *(1 << k for k in range(31))]  # over one zero bit
     for _ in range(3):
         zeros = [_times(zeros, row) for row in zeros]
@@ -119,7 +117,7 @@ def crc32_joined(crc: int, after: int, size: int) -> int:
             crc = _times(zeros, crc)
         zeros = [_times(zeros, row) for row in zeros]
         size >>= 1
-    return crc ^ after
+    return crc
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,32 +126,22 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = ids.offsets.to_numpy()
         values = ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
         crc = [zlib.crc32(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())],
-                                         ["part", "doc_id", "first", "n_tokens", "at", "n", "crc"])
-
-
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for pieces in batch.column(4).to_pylist():
-            crc = pieces[0]["crc"]
-            for p in pieces[1:]:
-                crc = crc32_joined(crc, p["crc"], 4 * p["n"])
-            out.append(crc)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.int64())], ["part", "doc_id", "first", "n_tokens", "ids_crc32"])
+        after = batch.column(3).to_numpy() - batch.column(4).to_numpy() - np.diff(offsets)
+        for i in np.flatnonzero(after):
+            crc[i] = crc32_before(crc[i], 4 * int(after[i]))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(crc, pa.int64())], ["part", "doc_id", "first", "n_tokens", "crc"])
 
 
 def document_digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) per document, from the files: the ids of all documents before it, its ids with the end id, and
     the crc32 of them as little-endian unsigned 32-bit integers.
 
-    Rows are digested where they lie, stripe by stripe; a document's rows meet in a group of digests alone. Files are placed by the sums of those
+    Rows are digested where they lie, stripe by stripe; the digests of a document's rows add up by exclusive or. Files are placed by the sums of those
     before them, one row per file.
     """
     stored = read_token_ids(spark, path)
-    rows = stored.mapInArrow(_digests, "part int, doc_id long, first long, n_tokens long, at long, n long, crc long")
-    digests = rows.groupBy("part", "doc_id", "first", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("at", "n", "crc"))).alias("pieces")).mapInArrow(
-        _joined, "part int, doc_id long, first long, n_tokens long, ids_crc32 long")
+    rows = stored.mapInArrow(_digests, "part int, doc_id long, first long, n_tokens long, crc long")
+    digests = rows.groupBy("part", "doc_id", "first", "n_tokens").agg(F.bit_xor("crc").alias("ids_crc32"))
     # the ids column is not read for this
     sizes = stored.where("at = 0").groupBy("part").agg(F.sum("n_tokens").alias("held"))
     before = F.sum("held").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
