@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,6 +65,23 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, limit: str = "8m") -> None:
+    """From now on rows go to Python in batches of about ``limit`` bytes, so that a task's memory does not follow the length of its rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", limit)
+
+
+def tidy(run):
+    """``run`` of a task; what it has freed goes back to the system at its end, because the next task may run in another process."""
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+    return whole
+
+
 def byte_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a binary column without nulls into runs of rows of about ``limit`` bytes.
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import byte_blocks, fresh, read_table, shingle_hashes, text_bytes, token_hashes, written
+from marketloom.llm.common import byte_blocks, fresh, read_table, shingle_hashes, text_bytes, tidy, token_hashes, written
 
 WORDS = 5
 CONTAINMENT = 0.8
@@ -53,7 +53,7 @@ def item_sketches(items: DataFrame, words: int = WORDS, least: float = CONTAINME
                     out[1].append(np.full(len(own), ids[first + row]))
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0]).view(np.int64)), pa.array(np.concatenate(out[1]).astype(np.int64))], ["h", "item_id"])
-    return _items(items).mapInArrow(run, "h long, item_id long")
+    return _items(items).mapInArrow(tidy(run), "h long, item_id long")
 
 
 def _items(items: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def contaminated(docs: DataFrame, items: DataFrame, words: int = WORDS, least: f
                     kinds = [pa.int64()] * 4 + [pa.float64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)],
                                                      ["doc_id", "item_id", "shared", "item_shingles", "containment"])
-        return rows.mapInArrow(run, f"doc_id long, {_MATCH}")
+        return rows.mapInArrow(tidy(run), f"doc_id long, {_MATCH}")
     matches = written(_joined_matches(rows, index), "matches")
     return rows.select("doc_id", F.sha2("text", 256).alias("digest")).join(matches, "digest").drop("digest")
 
@@ -177,7 +177,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, words: int = WORDS, lea
             for batch in batches:
                 texts = pa.array([b"" if (t := x.as_py()) is None else t.encode() for x in batch.column(at)], pa.binary())
                 yield batch.filter(pa.array([not row for row in search(texts)], pa.bool_()))
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(tidy(run), docs.schema)
     (digest,) = fresh(docs, "_digest")
     found = written(_joined_matches(docs, index).select(F.col("digest").alias(digest)).distinct(), "matches")
     return docs.withColumn(digest, F.sha2(text_bytes(), 256)).join(found, digest, "left_anti").drop(digest)

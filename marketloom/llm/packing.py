@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import read_table, text_bytes, written
+from marketloom.llm.common import read_table, text_bytes, tidy, written
 
 SEQUENCE = 4096
 #: What is left of a document after its full sequences is cut once more: a multiple of GRAIN tokens and fewer than GRAIN.
@@ -133,7 +133,7 @@ def pieces(docs: DataFrame, vocabulary: str, keep_ids: bool = False, fine: bool
                     bodies.append(body)
             columns = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5
             yield pa.RecordBatch.from_arrays(columns + [pa.array(bodies, pa.binary())] * keep_ids, names)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(tidy(run), schema)
 
 
 def _best_column(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -263,7 +263,7 @@ def pack(docs: DataFrame, vocabulary: str, keep_ids: bool = False) -> DataFrame:
                 offset[mine] = row[:, 3] + step % row[:, 1] * s
             yield pa.RecordBatch.from_arrays([*batch.columns[:rank_at], pa.array(sequence), pa.array(offset)], names)
     schema = ", ".join(f"{c} {t}" for c, t in cut.dtypes) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(tidy(run), schema)
 
 
 def default_vocabulary() -> str:

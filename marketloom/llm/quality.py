@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import byte_blocks, fresh, id_remainder, read_table, token_hashes, token_spans, written
+from marketloom.llm.common import byte_blocks, fresh, id_remainder, read_table, tidy, token_hashes, token_spans, written
 
 #: Expected number of labelled rows that the document classifier is fitted on, drawn by a hash of the id.
 SAMPLE_ROWS = 20_000
@@ -108,7 +108,7 @@ def with_evidence(docs: DataFrame, model: QualityModel, name: str = "_evidence")
             value = np.clip(text_features(texts) @ weights + intercept, -_LOGIT, _LOGIT) * full
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value)], names)
     schema = docs.select("*", F.lit(0.0).alias(name)).schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def _strength(rates: DataFrame, n: str, good: str, mean: Column) -> Column:

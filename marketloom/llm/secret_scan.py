@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import read_table, text_bytes
+from marketloom.llm.common import read_table, text_bytes, tidy
 
 
 @dataclass(frozen=True)
@@ -306,7 +306,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
             column = batch.column(at)
             texts = pa.array([None if (t := x.as_py()) is None else clean(t.encode()) for x in column], pa.binary())
             yield batch.set_column(at, batch.schema.field(at), texts.cast(column.type))
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op8_secrets(spark, sf_dir: str) -> DataFrame:
