@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from checks.analytics import articles
 from checks.base import BLOCKS, check
 from checks.features import latest, market, model_rows, predictions, technical_rows, training_rows
+from marketloom.functions.columns import SIGNAL_THRESHOLD
 from marketloom.plans import evaluate, forecast_run, interpret, marts, model_frame as mf, score, train
 from marketloom.session import scratch_path
 from marketloom.sources import demo_universe as u
@@ -200,8 +201,10 @@ _FOREST_FOLD = ("regression_mae regression_rmse regression_directional_accuracy
 
 @check("m10_forest_fold_metrics")
 def _(spark, sf):
-    rows = train.forest_folds_of(evaluate.fold_blocks(imputed(spark, sf)), mf.MODEL_FEATURES)
-    return spark.createDataFrame([(r["fold"], *[r.get(c) for c in _FOREST_FOLD]) for r in rows],
+    rows = train.refitted_fold_metrics(evaluate.fold_blocks(imputed(spark, sf)), mf.MODEL_FEATURES)
+    flat = [{"fold": r["fold"]} | {f"regression_{k}": v for k, v in r["regression"]["random_forest_regressor"].items()}
+            | {f"classification_{k}": v for k, v in r["classification"]["random_forest_classifier"].items()} for r in rows]
+    return spark.createDataFrame([(r["fold"], *[r.get(c) for c in _FOREST_FOLD]) for r in flat],
                                  "fold int, " + ", ".join(f"{c} double" for c in _FOREST_FOLD))
 
 
@@ -266,10 +269,38 @@ def _(spark, sf):
     return interpret.permutation_importance(model, train.regression_rows(vectors.where(~flag)), mf.MODEL_FEATURES)
 
 
+def stored_run_predictions(spark, sf):
+    """Models are fitted and stored, read back, and score the latest rows."""
+    rows = training_rows(spark, sf).persist()
+    root = scratch_path(spark, "stored_run")
+    train.save_result(spark, train.fit_models(rows), forecast_run.run_path(root, "check"))
+    return forecast_run.predict_from_run(spark, root, "check", rows, GENERATED)
+
+
 @check("m14_predictions")
 def _(spark, sf):
-    rows = training_rows(spark, sf).persist()
-    return score.predict(rows, train.train_models(rows), GENERATED, run_id="check")
+    return stored_run_predictions(spark, sf)
+
+
+@check("m14_prediction_rules", """
+select asset_id, feature_date as as_of_date, 20 as prediction_horizon_days, true as return_is_clamped, true as chances_add_up,
+  true as flag_follows_chance, true as label_follows_score, true as scores_in_range, 8 as top_features, 3 as pillars, true as sizes_fall
+from x_last""")
+def _(spark, sf):
+    p = stored_run_predictions(spark, sf)
+    score_ = F.col("composite_ml_score")
+    label = F.when(score_ >= SIGNAL_THRESHOLD, "Favorable").when(score_ <= -SIGNAL_THRESHOLD, "Unfavorable").otherwise("Neutral")
+    top = F.from_json("top_features_json", "array<struct<feature:string,contribution:double,absolute_contribution:double>>")
+    sizes = F.transform(top, lambda t: t["absolute_contribution"])
+    pillars = F.from_json("pillar_weights_json", "array<struct<pillar:string,weight:double>>")
+    up, down = F.col("probability_positive_20d"), F.col("downside_probability_20d")
+    return p.select(
+        "asset_id", "as_of_date", "prediction_horizon_days", (F.abs("predicted_return_20d") <= 0.6).alias("return_is_clamped"),
+        (F.abs(up + down - 1) < 1e-9).alias("chances_add_up"), ((down >= 0.5).cast("int") == F.col("predicted_negative_return_flag")).alias("flag_follows_chance"),
+        (label == F.col("directional_signal")).alias("label_follows_score"),
+        (score_.between(-100, 100) & F.col("confidence_score").between(0, 1) & up.between(0, 1)).alias("scores_in_range"),
+        F.size(top).alias("top_features"), F.size(pillars).alias("pillars"),
+        ((F.reverse(F.array_sort(sizes)) == sizes) & F.forall(top, lambda t: t["absolute_contribution"] == F.abs(t["contribution"]))).alias("sizes_fall"))
 
 
 @check("m16_forecast_run")

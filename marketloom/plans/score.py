@@ -9,7 +9,7 @@ from marketloom.functions.columns import (
     clamp_probability, clamp_return, composite_score, confidence, signal_label)
 from marketloom.plans import interpret
 from marketloom.plans.model_frame import impute, latest_rows, model_frame
-from marketloom.plans.train import SELECTED, TrainingResult, probability_up, with_vector
+from marketloom.plans.train import TrainingResult, probability_up, with_vector
 
 # fixed values: stored in every prediction
 MODEL_FAMILY = "machine_learning_signal_calibration"
@@ -48,7 +48,7 @@ def top_rows(rows: DataFrame, key: str, measure: str, n: int = 8, name: str = "f
 def score_frame(prepared: DataFrame, result: TrainingResult, generated_at, run_id: str | None = None,
                 horizon_days: int = 20) -> DataFrame:
     """Predictions for every row of an imputed model frame. All models are applied in one narrow pass."""
-    models, names = result.models, SELECTED
+    models, names = result.models, result.selected
     scored = with_vector(prepared, result.features)
     scored = models[names["regression"]].transform(scored).withColumnRenamed("prediction", "raw_return")
     scored = models[names["comparison"]].transform(scored).withColumnRenamed("prediction", "raw_challenger")
@@ -56,7 +56,7 @@ def score_frame(prepared: DataFrame, result: TrainingResult, generated_at, run_i
     stats = (result.features, result.column_mean, result.column_scale, result.ridge_weights)
     top = F.transform(F.slice(interpret.contribution_array(*stats), 1, 8), lambda c: F.struct(
         c["feature"].alias("feature"), c["standardized_value"].alias("standardized_value"),
-        c["coefficient"].alias("coefficient"), c["contribution"].alias("contribution")))
+        c["coefficient"].alias("coefficient"), c["contribution"].alias("contribution"), c["absolute_contribution"].alias("absolute_contribution")))
     weights = F.array(*[F.struct(F.lit(r["pillar"]).alias("pillar"), F.lit(r["weight"]).alias("weight"))
                         for r in result.pillar_weights])
     important = F.array(*[F.struct(F.lit(r["feature"]).alias("feature"), F.lit(r["importance"]).alias("importance"))

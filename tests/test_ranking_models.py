@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from marketloom.operators import ranking
-from marketloom.plans import evaluate, forecast_run, interpret, model_frame as mf, train
+from marketloom.plans import evaluate, forecast_run, interpret, model_frame as mf, train, score
 from marketloom.session import scratch_path
 from marketloom.sources.schemas import RETURN_TARGET
 
@@ -114,12 +114,37 @@ def test_classification_metrics(spark):
     assert evaluate.classification_metrics(df.withColumn("score", F.lit(0.1)))["precision"] == 0.0
 
 
-def test_donors_are_a_permutation(spark, monkeypatch):
-    monkeypatch.setattr(interpret, "ROWS_PER_GROUP", 50)
-    df = frame(spark, 4, 100).withColumn("x", F.col("asset_id") * 1000.0 + F.dayofyear("feature_date"))
-    rows = interpret.with_donor(train.with_vector(df, ["x"])).select("x", vector_to_array("donor")[0].alias("d")).collect()
-    assert sorted(r.x for r in rows) == sorted(r.d for r in rows)
-    assert sum(r.x == r.d for r in rows) < 20
+def test_donors_are_one_cycle_in_hash_order(spark):
+    """The same permutation however the rows are ranged: each row takes the next in hash order, the last the first."""
+    df = train.with_vector(frame(spark, 4, 100).withColumn("x", F.col("asset_id") * 1000.0 + F.dayofyear("feature_date")), ["x"])
+    keyed = df.withColumn("h", F.xxhash64(F.lit(42), "asset_id", "feature_date")).orderBy("h", "asset_id", "feature_date").select("x").collect()
+    cycle = [r.x for r in keyed]
+    want = set(zip(cycle, cycle[1:] + cycle[:1]))
+    for parts in ("1", "4", "13"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        rows = interpret.with_donor(df).select("x", vector_to_array("donor")[0].alias("d")).collect()
+        assert {(r.x, r.d) for r in rows} == want and len(rows) == 400
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_importance_equals_a_plain_loop(spark):
+    rng = np.random.default_rng(1)
+    n = 300
+    pdf = pd.DataFrame({"a": rng.normal(size=n), "b": rng.normal(size=n), "c": rng.normal(size=n), "asset_id": np.arange(n)})
+    pdf["label"] = 3 * pdf.a - pdf.b
+    df = train.with_vector(spark.createDataFrame(pdf).withColumn("feature_date", F.lit(dt.date(2024, 1, 1))), ["a", "b", "c"])
+    model = train.fit_ridge(df)
+    got = {r.feature: r.importance for r in interpret.permutation_importance(model, df, ["a", "b", "c"]).collect()}
+    rows = interpret.with_donor(df).select("label", vector_to_array("features").alias("x"), vector_to_array("donor").alias("d")).collect()
+    x, d, y = (np.array([r[k] for r in rows]) for k in ("x", "d", "label"))
+
+    def rmse(z):
+        return np.sqrt(((y - z @ model.coefficients.toArray() - model.intercept) ** 2).mean())
+    for j, name in enumerate("abc"):
+        z = x.copy()
+        z[:, j] = d[:, j]
+        assert got[name] == pytest.approx(max(rmse(z) - rmse(x), 0), abs=1e-9)
+    assert "Generate" not in interpret.permutation_importance(model, df, ["a", "b", "c"])._jdf.queryExecution().executedPlan().toString().split("Aggregate", 1)[1]
 
 
 def test_importance_finds_the_informative_feature(spark):
@@ -164,11 +189,11 @@ def test_forecast_run_end_to_end(spark, universe):
         assert 0 <= r.probability_positive_20d <= 1 and 0 <= r.confidence_score <= 1 and -100 <= r.composite_ml_score <= 100
         assert r.probability_positive_20d + r.downside_probability_20d == pytest.approx(1)
         assert abs(r.predicted_return_20d) <= 0.6 and r.model_run_id == run["run_id"]
-        assert r.top_features_json.count("contribution") == 8 and r.pillar_weights_json.count("pillar") == 3
+        assert r.top_features_json.count('"absolute_contribution"') == 8 and r.pillar_weights_json.count("pillar") == 3
     result = run["training"]
     assert len(result.features) == 62 and result.row_counts["total_rows"] == 360
     assert set(result.holdout["regression"]) == {"ridge_regression", "random_forest_regressor"}
-    assert result.expanding["forest_folds"] and sum(w["weight"] for w in result.pillar_weights) == pytest.approx(1)
+    assert len(result.expanding["refitted_folds"]) == 1 and sum(w["weight"] for w in result.pillar_weights) == pytest.approx(1)
     # weights in standardized units against the closed form
     frame_, features, _ = train.prepare(spark.read.parquet(f"{root}/technical_features").join(
         spark.read.parquet(f"{root}/sentiment_features").drop("batch_id", "writer"), ["asset_id", "feature_date"], "left").join(assets, "asset_id"))
@@ -177,6 +202,49 @@ def test_forecast_run_end_to_end(spark, universe):
     np.testing.assert_allclose([result.ridge_weights[f] for f in features], beta, rtol=1e-5, atol=1e-8)
 
 
+def test_stored_run_scores_without_a_fit(spark, universe, monkeypatch):
+    """Models, medians and scales are read back: the same rows, though every fit is an error."""
+    bars, news, assets = universe
+    from marketloom.plans.feature_store import feature_store_frames
+    rows = feature_store_frames(bars, news)["training_frame"].persist()
+    result, root = train.fit_models(rows), scratch_path(spark, "stored")
+    train.save_result(spark, result, forecast_run.run_path(root, "r1"))
+    want = sorted(map(str, score.predict(rows, result, dt.datetime(2024, 12, 1), run_id="r1").collect()))
+
+    def no_fit(*_):
+        raise AssertionError("fitted")
+    monkeypatch.setattr(train, "MODEL_FACTORIES", {"regression": {"ridge_regression": no_fit}, "classification": {}})
+    other = spark.newSession()
+    got = forecast_run.predict_from_run(other, root, "r1", rows, dt.datetime(2024, 12, 1)).collect()
+    assert sorted(map(str, got)) == want and len(want) == 2
+    loaded = train.load_result(spark, forecast_run.run_path(root, "r1"))
+    assert loaded.start_date == result.start_date and loaded.importances == result.importances and loaded.medians == result.medians
+
+
+def test_registered_challenger_is_evaluated_and_scores(spark, universe):
+    """A gradient-boosted regressor beside the others shows up in holdout, folds and predictions."""
+    from pyspark.ml.regression import GBTRegressor
+    from marketloom.plans.feature_store import feature_store_frames
+    bars, news, _ = universe
+    rows = feature_store_frames(bars, news)["training_frame"].persist()
+    small = dict(train.FOREST, numTrees=3, maxDepth=2)
+    registry = {"regression": {"ridge_regression": train.fit_ridge, "boosted_trees": lambda f: GBTRegressor(maxIter=3, maxDepth=2, seed=1).fit(f)},
+                "classification": {"random_forest_classifier": lambda f: train.fit_forest_classifier(f, **small)}}
+    result = train.train_models(rows, forest_folds=1, registry=registry, selected={"comparison": "boosted_trees"})
+    assert set(result.holdout["regression"]) == {"ridge_regression", "boosted_trees"} and result.holdout["regression"]["boosted_trees"]["rmse"] > 0
+    assert result.expanding["regression"]["boosted_trees"]["folds"] == 1 and result.expanding["refitted_folds"][0]["regression"]["boosted_trees"]["mae"] > 0
+    assert score.predict(rows, result, dt.datetime(2024, 12, 1)).count() == 2
+
+
+def test_metrics_of_groups_equal_those_of_one(spark):
+    rng = np.random.default_rng(8)
+    rows = [(g, int(y), float(np.round(s, 1))) for g in range(4) for y, s in zip(rng.integers(0, 2, 60) if g else np.ones(60), rng.random(60))]
+    df = spark.createDataFrame(rows, "fold int, label int, score double")
+    for r in evaluate.classification_metrics_by(df, ["fold"]).collect():
+        one = evaluate.classification_metrics(df.where(F.col("fold") == r.fold))
+        assert {k: v for k, v in r.asDict().items() if k != "fold"} == {k: pytest.approx(v) if v is not None else None for k, v in one.items()}
+
+
 def test_training_is_deterministic(spark, universe):
     bars, news, _ = universe
     from marketloom.plans.feature_store import feature_store_frames
