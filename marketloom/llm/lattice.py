@@ -65,6 +65,16 @@ def cells(units: np.ndarray, tables: int, probes: int, cell: float, seed: int =
 _CLASS = "label string, digest binary, node long, copies long, unit binary, width long, codes array<long>"
 
 
+def unit_vector(x: np.ndarray) -> np.ndarray:
+    """``x`` over its norm; where squares would overflow or vanish, the largest component is scaled to one first."""
+    with np.errstate(over="ignore"):
+        norm = np.linalg.norm(x)
+    if not 1e-140 < norm < np.inf:
+        x = x / np.abs(x).max()
+        norm = np.linalg.norm(x)
+    return x / norm
+
+
 def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(vec_id, label, digest, unit) of vectors that can link; the unit vector as doubles."""
     for batch in batches:
@@ -74,9 +84,8 @@ def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if label is None or not values or None in values:
                 continue
             x = np.array(values, np.float64)
-            norm = np.linalg.norm(x)
-            if np.isfinite(x).all() and np.isfinite(norm) and norm > 0:
-                raw = (x / norm).tobytes()
+            if np.isfinite(x).all() and x.any():
+                raw = unit_vector(x).tobytes()
                 out.append((vec_id, label, hashlib.blake2b(x.tobytes(), digest_size=16).digest(), raw))
         columns = list(zip(*out)) or [(), (), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.binary(), pa.binary()))],
@@ -231,9 +240,9 @@ def similar_vectors(vectors: DataFrame, least: float = COSINE, tables: int = TAB
 
 def _left_out(source: DataFrame) -> DataFrame:
     """Ids of the rows that ``_prepared`` leaves out, by the same rules."""
-    total = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
-    bad = (F.col("label").isNull() | F.col("embedding").isNull() | (F.size("embedding") == 0) | F.exists("embedding", lambda x: x.isNull())
-           | ~F.coalesce((total > 0) & (total < float("inf")), F.lit(False)))
+    strange = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    bad = F.col("label").isNull() | F.col("embedding").isNull() | F.coalesce(strange, F.lit(True)) | ~F.coalesce(
+        F.exists("embedding", lambda x: x != 0), F.lit(False))
     return source.where("vec_id is not null").where(bad).select("vec_id")
 
 
