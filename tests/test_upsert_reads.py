@@ -172,6 +172,33 @@ def test_snapshot_is_not_reshuffled(spark):
     assert table.folded == {"bulk": 1} and table.current().count() == 100
 
 
+def test_first_time_of_an_article_outlives_compaction_and_a_new_url(spark):
+    """Known by its provider's id, it keeps the time it was first stored, with or without a snapshot in between."""
+    def article(url, provider_id, stamp):
+        return spark.createDataFrame([(1, 1, provider_id, url, "h", T0, stamp, stamp)], NEWS)
+    later = T0 + dt.timedelta(days=400)
+    for compacted in (False, True):
+        root = scratch_path(spark, "t")
+        table = LakeTable(spark, root, "news_articles", ["ingestion_timestamp"])
+        assert table.next_batch() == 0
+        table.write_batch(article("u1", "p1", T0).unionByName(article("u2", None, T0)), 0)
+        table = table.compact(f"{root}/snapshot-1") if compacted else table
+        table.write_batch(article("u1-moved", "p1", later).unionByName(article("u3", None, later)).unionByName(article("u2", None, later)), 1)
+        got = {r.url: r.created_at for r in table.current().collect()}
+        assert got == {"u1-moved": T0, "u2": T0, "u3": later}
+
+
+def test_only_a_missing_folder_means_an_empty_table(spark, monkeypatch):
+    from pyspark.errors import AnalysisException
+    table = LakeTable(spark, scratch_path(spark, "t"), "ml_model_runs")
+
+    def broken(self):
+        raise AnalysisException("no access", errorClass="PERMISSION_DENIED", messageParameters={})
+    monkeypatch.setattr(LakeTable, "_stored", broken)
+    with pytest.raises(AnalysisException):
+        table.next_batch()
+
+
 def test_top_rows_are_limited_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("asset_id"), F.col("id").alias("v"))
     top = reads.newest_rows(df, 4, ["asset_id"], [F.desc("v")])
