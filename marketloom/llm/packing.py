@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import read_table, text_bytes, tidy, written
+from marketloom.llm.tokens import model_without_store
 
 SEQUENCE = 4096
 #: What is left of a document after its full sequences is cut once more: a multiple of GRAIN tokens and fewer than GRAIN.
@@ -36,6 +37,7 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer.model = model_without_store(path)
         self.letters = Tokenizer(self.tokenizer.model)
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])

@@ -102,6 +102,16 @@ def sliced_units(texts: pa.Array, lead: str) -> Iterator[Units]:
         first = end
 
 
+def model_without_store(path: str):
+    """The vocabulary's merges without the library's own store of words, which only costs time where every word comes once."""
+    from tokenizers import models
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    options = {k: model[k] for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback") if model.get(k)}
+    return models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, **options)
+
+
 def _encoded(tokenizer, strings: list[str]) -> list[np.ndarray]:
     return [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
@@ -111,14 +121,10 @@ class ByteVocabulary:
 
     def __init__(self, path: str, plain_marks: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, models, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain_marks
-        with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
-        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
-        # every word comes once, so the library's own store of words would only cost time
-        self.tokenizer.model = models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0)
+        self.tokenizer.model = model_without_store(path)
         # a blank and letters are one unit of the vocabulary's pattern, which need not be looked for there
         self.letters = Tokenizer(self.tokenizer.model)
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([
