@@ -8,11 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import read_table, text_bytes, tidy, written
-from marketloom.llm.tokens import model_without_store
+from marketloom.llm.tokens import SLICE_BYTES, model_without_store, ragged
 
 SEQUENCE = 4096
 #: What is left of a document after its full sequences is cut once more: a multiple of GRAIN tokens and fewer than GRAIN.
@@ -20,13 +21,17 @@ GRAIN = 64
 END_ID = 2
 #: If more than this share would be padding, documents are cut into finer pieces.
 MOST_PADDING = 0.005
-_CACHED_WORDS = 800_000
+_JOINED = 4000
+_GATHERED = 1 << 20
+# Lower-case ASCII and all Latin-1 letters, which any version of Unicode calls letters, and the marks that may end a word.
+_LETTERS = "^[a-zÀ-ÖØ-öø-ÿ]+$"
+_MARKS = ".,;:!?"
 _BUCKET_ROWS = 4000
 
 
 class WordEncoder:
-    """Ids of whole texts. The vocabulary drops white space and never joins across it, so each distinct word is
-    encoded once and kept (up to a bound, then the store starts anew).
+    """Ids of whole texts. The vocabulary drops white space and never joins across it, so each distinct word of a slice of texts is
+    encoded once.
 
     A run of letters is one unit of the vocabulary whatever stands around it. Words of ASCII and Latin-1 letters, with or
     without a full stop or the like behind them, therefore go to the same merges through a tokenizer without the
@@ -36,7 +41,7 @@ class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.model = model_without_store(path)
         self.letters = Tokenizer(self.tokenizer.model)
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([
@@ -45,62 +50,79 @@ class WordEncoder:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def _whole(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _letters(self, words: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for k in range(0, len(words), 4000):
-            ids = np.array(self.letters.encode_batch_fast([" ".join(words[k: k + 4000])], add_special_tokens=False)[0].ids, "<u4")
-            cuts = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
-            raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip([0, *cuts], cuts)]
-        return out
-
-    def _learn(self, words: set[bytes]) -> None:
-        split, plain, other = [], {}, {}
-        for word in words:
-            text = word.decode()
-            stem = text.rstrip(".,;:!?")
-            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0100"):
-                tail = text[len(stem):]
-                stem = stem if stem.isascii() else stem.lower()
-                if stem not in plain:
-                    plain[stem] = self.known.get(stem.encode())
-            else:
-                stem, tail = "", text
-            if tail:
-                other[tail] = b""
-            split.append((word, stem, tail))
-        new = [w for w, ids in plain.items() if ids is None]
-        plain.update(zip(new, self._letters(new)))
-        self.known.update((w.encode(), plain[w]) for w in new)
-        plain[""] = b""
-        other = dict(zip(other, self._whole(list(other)))) | {"": b""}
-        self.known.update([(word, plain[stem] + other[tail] if tail else plain[stem]) for word, stem, tail in split])
+    def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the strings one after another, and the number of ids of each."""
+        ids = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.concatenate([np.empty(0, "<u4"), *ids]), np.array([len(x) for x in ids], np.int64)
+
+    def _letters(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        out = [np.empty(0, "<u4")]
+        for k in range(0, len(words), _JOINED):
+            joined = " ".join(words.slice(k, _JOINED).to_pylist())
+            out.append(np.array(self.letters.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4"))
+        ids = np.concatenate(out)
+        return ids, np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_whole``, for distinct words without capital ASCII letters."""
+        stems = pc.utf8_rtrim(words, characters=_MARKS)
+        plain = pc.match_substring_regex(stems, _LETTERS)
+        at = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
+        own = pc.utf8_lower(stems.filter(plain)).dictionary_encode()
+        stem_ids, stem_sizes = self._letters(own.dictionary)
+        stem = own.indices.to_numpy()
+        tail = _behind(words.filter(plain), stems.filter(plain)).dictionary_encode()
+        tail_ids, tail_sizes = self._whole([t.decode() for t in tail.dictionary.to_pylist()])
+        other = words.filter(pc.invert(plain))
+        other_ids, other_sizes = self._whole(other.to_pylist())
+        ids = np.concatenate([stem_ids, tail_ids, other_ids])
+        begins = np.cumsum(np.r_[stem_sizes, tail_sizes, other_sizes]) - np.r_[stem_sizes, tail_sizes, other_sizes]
+        # two runs of ids for each word: its letters and its marks, or the whole word and nothing
+        first, size = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64)
+        tails = tail.indices.to_numpy()
+        first[at, 0], size[at, 0] = begins[stem], stem_sizes[stem]
+        first[at, 1], size[at, 1] = begins[len(stem_sizes) + tails], tail_sizes[tails]
+        rest = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        first[rest, 0], size[rest, 0] = begins[len(stem_sizes) + len(tail_sizes):], other_sizes
+        return ids[ragged(first.ravel(), size.ravel())], size.sum(axis=1)
+
+    def _slice(self, texts: pa.Array) -> Iterator[bytes]:
+        marked = pc.match_substring(texts, "<|")
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(marked, "", texts)))
+        offsets = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+        flat = lists.flatten().dictionary_encode()
+        code = flat.indices.to_numpy()
+        ids, sizes = self._words(flat.dictionary)
+        starts = np.cumsum(sizes) - sizes
+        marked, first = marked.to_numpy(zero_copy_only=False), 0
+        while first < len(texts):  # some texts at a time
+            end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + _GATHERED, side="right")) - 1)
+            mine = code[offsets[first]: offsets[end]]
+            own = ids[ragged(starts[mine], sizes[mine])].tobytes()
+            cuts = 4 * np.r_[0, np.cumsum(sizes[mine])][offsets[first: end + 1] - offsets[first]]
+            for row, a, b in zip(range(first, end), cuts.tolist(), cuts[1:].tolist()):
+                yield self._whole([texts[row].as_py()])[0].tobytes() if marked[row] else own[a:b]
+            first = end
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        words = [t.lower().split() if b"<|" not in t else None for t in texts]
-        new = set().union(*(w for w in words if w)).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > _CACHED_WORDS:
-                self.known, new = {}, set().union(*(w for w in words if w))
-            self._learn(new)
-        get = self.known.__getitem__
-        return [self._whole([t.decode()])[0] if w is None else b"".join(map(get, w)) for t, w in zip(texts, words)]
-
-
-def _runs(texts: pa.Array, limit: int = 2 << 20) -> Iterator[list[bytes]]:
-    run, held = [], 0
-    for text in texts:
-        run.append(text.as_py())
-        held += len(run[-1])
-        if held >= limit:
-            yield run
-            run, held = [], 0
-    if run:
-        yield run
+        return list(self.encode(pa.array(texts, pa.binary()).view(pa.string())))
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text of a string column without nulls."""
+        upto, first = np.r_[0, np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))], 0
+        while first < len(texts):
+            end = max(first + 1, int(np.searchsorted(upto, upto[first] + SLICE_BYTES, side="right")) - 1)
+            yield from self._slice(texts.slice(first, end - first))
+            first = end
+
+
+def _behind(words: pa.Array, stems: pa.Array) -> pa.Array:
+    """What each word has behind its stem: at most a few distinct runs of marks."""
+    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    ends = np.frombuffer(words.buffers()[1] or bytes(4), np.int32)[words.offset + 1: words.offset + 1 + len(words)].astype(np.int64)
+    size = (pc.binary_length(words).to_numpy(zero_copy_only=False) - pc.binary_length(stems).to_numpy(zero_copy_only=False)).astype(np.int64)
+    cuts = np.r_[0, np.cumsum(size)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(cuts), pa.py_buffer(raw[ragged(ends - size, size)].tobytes())])
 
 
 def cut_points(tokens: int, fine: bool = False) -> list[tuple[int, int]]:
@@ -123,10 +145,10 @@ def pieces(docs: DataFrame, vocabulary: str, keep_ids: bool = False, fine: bool
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = WordEncoder(vocabulary), np.array([END_ID], "<u4").tobytes()
+        encoder, end = WordEncoder(vocabulary), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows, bodies = [], []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), (x for run in _runs(batch.column(1)) for x in encode(run))):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).view(pa.string()))):
                 ids += end
                 total = len(ids) // 4
                 for start, length in cut_points(total, fine):
