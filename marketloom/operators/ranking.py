@@ -36,45 +36,37 @@ def dense_row_number(df: DataFrame, order: list[str], name: str) -> DataFrame:
 
 BINS = 2048
 SMALL_ENOUGH = 5_000
-SAMPLE_ROWS = 20_000
+#: Size of the sketches; ``SKETCH_ERROR`` / ``SKETCH_SIZE`` is twice their usual error in rank or more.
+SKETCH_SIZE = 4096
+SKETCH_ERROR = 8.0
+_SKETCH_GROUPS = 32
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probability: float = 0.5) -> dict[str, float | None]:
     """Exact linear-interpolated quantile of several columns over the whole frame.
 
-    ``percentile`` would hold every distinct value in one task. Here each pass counts all values of all
-    columns below, in equal bins of, and above an interval around the wanted rank, and narrows the
-    interval to the part that holds it; only when few rows remain are their values fetched. A small
-    sample suggests the first intervals; the counts decide, so a poor sample costs a pass, not exactness.
+    ``percentile`` would hold every distinct value in one task. Here one pass inside the JVM makes a KLL sketch of every column,
+    merged in two levels, so that no task receives the sketches of all others. The sketches bracket the wanted ranks; a second pass
+    counts what lies below a bracket and fetches the distinct values inside. Where a bracket holds more than ``SMALL_ENOUGH``, its
+    values are first counted in equal bins and it is narrowed to the bin of the rank. Counts decide, so a poor sketch costs a pass, not exactness.
 
     Tasks count in numpy and emit at most ``BINS`` partial counts per interval, which Spark adds up; the
-    driver sees as many. Missing values are skipped. ``df`` is scanned a few times: persist it.
+    driver sees as many. Missing values are skipped. ``df`` is scanned twice, on very large tables three times: persist it.
     """
     if not columns:
         return {}
     values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    sample = values.sample(min(1.0, SAMPLE_ROWS / max(df.count(), 1)), seed=7).toPandas()
-    near = [max(probability - 0.02, 0.0), min(probability + 0.02, 1.0)]
-    spans = []
-    for c in columns:
-        known = sample[c].dropna()
-        spans.append((c, *map(float, known.quantile(near))) if len(known) else (c, 0.0, 0.0))
-    totals: dict[str, int] = {}
+    totals, targets = _bracketed(values, columns, probability)
     found: dict[tuple[str, int], float] = {}
-    targets: list[dict] = []
-    for (c, _, _), groups in _counted(values, spans, keep_values=False).items():
-        totals[c] = sum(g["n"] for g in groups)
-        for rank in _ranks(totals[c], probability):
-            targets.append(dict(column=c, rank=rank, **_at_rank(groups, rank)))
     while targets:
-        found.update({(t["column"], t["rank"]): t["lo"] for t in targets if t["lo"] == t["hi"]})
-        targets = [t for t in targets if t["lo"] < t["hi"]]
         few = [t for t in targets if t["n"] <= SMALL_ENOUGH]
         many = [t for t in targets if t["n"] > SMALL_ENOUGH]
         for batch, keep_values in ((few, True), (many, False)):
             counted = _counted(values, [(t["column"], t["lo"], t["hi"]) for t in batch], keep_values)
             for t in batch:
                 t.update(_at_rank(counted[t["column"], t["lo"], t["hi"]], t["rank"]))
+        found.update({(t["column"], t["rank"]): t["lo"] for t in targets if t["lo"] == t["hi"]})
+        targets = [t for t in targets if t["lo"] < t["hi"]]
     result: dict[str, float | None] = {c: None for c in columns}
     for c in columns:
         ranks = _ranks(totals.get(c, 0), probability)
@@ -85,6 +77,27 @@ def exact_quantiles(df: DataFrame, columns: list[str], probability: float = 0.5)
     return result
 
 
+def _bracketed(values: DataFrame, columns: list[str], probability: float) -> tuple[dict[str, int], list[dict]]:
+    """Number of values of each column, and for each wanted rank an interval that very likely holds it, with about the values inside."""
+    # NaN is missing too; a sketch of nothing cannot be asked for quantiles
+    def made(c):
+        return F.kll_sketch_agg_double(F.nanvl(F.col(c), F.lit(None).cast("double")), F.lit(SKETCH_SIZE)).alias(c)
+    parts = values.groupBy(F.pmod(F.spark_partition_id(), F.lit(_SKETCH_GROUPS)).alias("_group")).agg(*[made(c) for c in columns])
+    merged = parts.agg(*[F.kll_merge_agg_double(c).alias(c) for c in columns])
+    width = SKETCH_ERROR / SKETCH_SIZE
+    near = [max(probability - width, 0.0), min(probability + width, 1.0)]
+
+    def asked(c):
+        n = F.kll_sketch_get_n_double(c)
+        return F.struct(n.alias("n"), *[F.when(n > 0, F.kll_sketch_get_quantile_double(c, F.lit(q))).alias(f"q{i}") for i, q in enumerate(near)]).alias(c)
+    row = merged.select(*[asked(c) for c in columns]).first()
+    totals = {c: row[c]["n"] or 0 for c in columns}
+    inside = near[1] - near[0]
+    targets = [dict(column=c, rank=rank, n=int(totals[c] * inside), lo=row[c]["q0"], hi=row[c]["q1"])
+               for c in columns for rank in _ranks(totals[c], probability)]
+    return totals, targets
+
+
 def _ranks(n: int, probability: float) -> list[int]:
     """The one or two positions an interpolated quantile lies between."""
     if not n:

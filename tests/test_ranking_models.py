@@ -29,7 +29,7 @@ def test_exact_quantiles_narrow_in_passes(spark, monkeypatch):
     """A third of the rows share one value, the rest is heavy-tailed; small limits force several passes."""
     monkeypatch.setattr(ranking, "SMALL_ENOUGH", 10)
     monkeypatch.setattr(ranking, "BINS", 8)
-    monkeypatch.setattr(ranking, "SAMPLE_ROWS", 50)
+    monkeypatch.setattr(ranking, "SKETCH_SIZE", 16)
     rng = np.random.default_rng(1)
     x = np.r_[np.zeros(2000), np.exp(rng.normal(0, 6, 4001))]
     df = spark.createDataFrame(pd.DataFrame({"x": x, "y": -x, "z": np.full(len(x), 7.0)})).repartition(6)
@@ -39,6 +39,21 @@ def test_exact_quantiles_narrow_in_passes(spark, monkeypatch):
     assert ranking.exact_quantiles(df, ["x"], 0.99)["x"] == pytest.approx(np.quantile(x, 0.99), rel=1e-12)
 
 
+def test_exact_quantiles_take_two_scans(spark, monkeypatch):
+    """Sketches bracket the ranks; one more pass finds them, whatever is missing, repeated or infinite. A bracket beside the rank costs a pass only."""
+    rng, passes, counted = np.random.default_rng(4), [], ranking._counted
+    monkeypatch.setattr(ranking, "_counted", lambda values, spans, keep: (passes.append(len(spans)) if spans else None) or counted(values, spans, keep))
+    x = rng.normal(size=30_000)
+    y = np.where(rng.random(30_000) < 0.3, np.nan, np.round(x, 1))
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y, "c": np.full(30_000, 2.5), "none": np.full(30_000, np.nan)})).repartition(5)
+    got = ranking.exact_quantiles(df, ["x", "y", "c", "none"], 0.5)
+    assert got == {"x": np.median(x), "y": np.nanmedian(y), "c": 2.5, "none": None} and len(passes) == 1
+    wrong = [dict(column="x", rank=r, n=1, lo=9.0, hi=9.0) for r in ranking._ranks(30_000, 0.5)]
+    monkeypatch.setattr(ranking, "_bracketed", lambda *_: ({"x": 30_000}, wrong))
+    assert ranking.exact_quantiles(df, ["x"], 0.5)["x"] == np.median(x)
+    assert ranking.exact_quantiles(df.where("x is null"), [], 0.5) == {}
+
+
 def test_dense_row_number(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"))
     got = ranking.dense_row_number(df, ["k"], "n").collect()
