@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -112,20 +113,27 @@ _BENCHMARK_COLUMNS = {"benchmark_daily_return": "daily_return", "benchmark_momen
                       "benchmark_momentum_60d": "trailing_return_60d"}
 
 
-def benchmark_proxy(frame: DataFrame) -> DataFrame:
+def benchmark_assets(frame: DataFrame) -> list[int]:
+    """Ids of the benchmark tickers that have rows in the frame. Tickers are unique, so these are no more than ``BENCHMARKS``."""
+    rows = frame.where(F.col("ticker").isin(BENCHMARKS)).select("asset_id").distinct()  # no join, no window is left below
+    return sorted(r["asset_id"] for r in rows.collect() if r["asset_id"] is not None)
+
+
+def benchmark_proxy(frame: DataFrame, build: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """Per-date mean of the benchmark tickers, or of all assets when the frame holds no benchmark.
 
-    Which of the two applies is a scalar subquery on the ticker column, not an action.
+    ``build`` adds the columns of one asset's series that ``frame`` lacks. The benchmarks' ids are looked up first, a job that reads keys
+    only: a filter by id passes below every window over an asset's rows down to the bars, so the windows run over all assets once, and for the proxy over a few.
     """
-    is_benchmark = F.col("ticker").isin(BENCHMARKS)
-    present = frame.where(is_benchmark).select("ticker").limit(1).agg(F.count("*") > 0).scalar()
-    used = frame.where(is_benchmark | ~present)
-    return used.groupBy("feature_date").agg(*[F.avg(s).alias(n) for n, s in _BENCHMARK_COLUMNS.items()])
+    ids = benchmark_assets(frame)
+    used = build(frame.where(F.col("asset_id").isin(ids)) if ids else frame)
+    return used.where(F.col("ticker").isin(BENCHMARKS) | F.lit(not ids)).groupBy("feature_date").agg(
+        *[F.avg(s).alias(n) for n, s in _BENCHMARK_COLUMNS.items()])
 
 
-def benchmark_relative(frame: DataFrame) -> DataFrame:
+def benchmark_relative(frame: DataFrame, proxy: DataFrame | None = None) -> DataFrame:
     """One proxy row per date is joined on: its size is bounded by the calendar, so it is broadcast."""
-    return frame.join(F.broadcast(benchmark_proxy(frame)), "feature_date", "left").withColumns({
+    return frame.join(F.broadcast(benchmark_proxy(frame) if proxy is None else proxy), "feature_date", "left").withColumns({
         "benchmark_relative_return_1d": F.col("daily_return") - F.col("benchmark_daily_return"),
         "benchmark_relative_momentum_20d": F.col("momentum_20d") - F.col("benchmark_momentum_20d"),
         "benchmark_relative_return_60d": F.col("trailing_return_60d") - F.col("benchmark_momentum_60d"),
@@ -144,7 +152,8 @@ def pillar_scores(frame: DataFrame) -> DataFrame:
 
 def model_frame(training: DataFrame) -> DataFrame:
     """All 62 features with keys and targets; missing values are still NULL."""
-    enriched = pillar_scores(benchmark_relative(derived_ratios(trailing_context(training))))
+    proxy = benchmark_proxy(training, trailing_context)
+    enriched = pillar_scores(benchmark_relative(derived_ratios(trailing_context(training)), proxy))
     keys = [c for c in ("asset_id", "ticker", "feature_date") if c in enriched.columns]
     targets = [c for c in (RETURN_TARGET, NEGATIVE_TARGET) if c in enriched.columns]
     return enriched.select(*keys, *targets, *[F.col(c).cast("double").alias(c) for c in MODEL_FEATURES])

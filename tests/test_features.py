@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.operators import sentiment, technical
+from marketloom.session import scratch_path
 from marketloom.plans import feature_store, model_frame as mf
 from marketloom.sources.schemas import TECHNICAL_COLUMNS
 
@@ -102,6 +103,19 @@ def test_benchmark_switch(spark):
     assert mf.benchmark_proxy(doubled).agg(F.max("benchmark_daily_return")).first()[0] < 1
 
 
+def test_benchmark_branch_reads_benchmarks_only(spark):
+    """The proxy's filter by id passes below all windows into the scan, so only a few assets go through windows twice."""
+    path = scratch_path(spark, "bars")
+    market(spark, assets=(1, 2, 3)).withColumn("ticker", F.when(F.col("asset_id") == 3, "SPY").otherwise(F.col("ticker"))).write.parquet(path)
+    rows = feature_store.feature_store_frames(spark.read.parquet(path))["training_frame"]
+    assert mf.benchmark_assets(rows) == [3]
+    proxy = mf.benchmark_proxy(rows, mf.trailing_context)
+    plan = proxy._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(asset_id,3)" in plan and "Window" in plan
+    whole = mf.trailing_context(rows).where("ticker = 'SPY'").groupBy("feature_date").agg(F.avg("daily_return").alias("r")).collect()
+    assert {r.feature_date: r.benchmark_daily_return for r in proxy.collect()} == {r.feature_date: r.r for r in whole} and len(whole) == 50
+
+
 def test_latest_rows_as_of(spark):
     rows = feature_store.feature_store_frames(market(spark, assets=(1, 2)))["training_frame"]
     got = mf.latest_rows(rows, dt.date(2025, 2, 1)).collect()
