@@ -24,9 +24,10 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 LEAST_REVISIT_BYTES = 100
 DICTIONARY_BYTES = 112640
-#: Expected bytes of the pages from which the dictionary is built, and the largest page among them.
+#: Expected bytes of the pages from which the dictionary is built, the largest part taken of one page, and the pieces it is learned from.
 SAMPLE_BYTES = 4 << 20
 SAMPLE_PAGE_BYTES = 256 << 10
+_LEARNED_PIECE = 64 << 10
 #: A file is closed once this many compressed bytes are in it.
 FILE_BYTES = 64 << 20
 
@@ -62,23 +63,28 @@ def page_records(pages: DataFrame, least: int = LEAST_REVISIT_BYTES) -> DataFram
 
 
 def train_dictionary(records: DataFrame, sample_bytes: int = SAMPLE_BYTES, date: str = "2026-01-01T00:00:00Z") -> bytes:
-    """Zstandard dictionary from whole records of pages drawn by a hash, ``sample_bytes`` of payload expected.
+    """Zstandard dictionary from records of pages drawn by a hash, ``sample_bytes`` of payload expected.
 
-    Empty if there is too little to learn from; archives are then written without one.
+    Of a page beyond ``SAMPLE_PAGE_BYTES`` a part of that size is drawn, at a place given by its digest, so that large pages are
+    learned from too. Empty if there is too little to learn from (a few small records); archives are then written without one.
     """
-    total = records.agg(F.sum("payload_bytes")).first()[0] or 0
+    part = F.least("payload_bytes", F.lit(SAMPLE_PAGE_BYTES))
+    total = records.agg(F.sum(part)).first()[0] or 0
     if not total:
         return b""
     keep = min(1.0, sample_bytes / total)
-    drawn = records.where(F.pmod(F.xxhash64("page_id", "payload_digest"), F.lit(1 << 30)) < int(keep * (1 << 30))).where(
-        F.col("payload_bytes") <= SAMPLE_PAGE_BYTES)
+    place = F.pmod(F.xxhash64("payload_digest"), F.col("payload_bytes") - part + 1) + 1
+    drawn = records.where(F.pmod(F.xxhash64("page_id", "payload_digest"), F.lit(1 << 30)) < int(keep * (1 << 30))).withColumn(
+        "payload", F.when(F.col("payload_bytes") <= SAMPLE_PAGE_BYTES, F.col("payload")).otherwise(
+            F.substring("payload", place.cast("int"), F.lit(SAMPLE_PAGE_BYTES))))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         samples = []
         for batch in batches:
             for row in batch.to_pylist():
                 page = "null" if row["page_id"] is None else str(row["page_id"])
-                samples.append(_record("response", page, _safe_url(row["url"], page), date, row["payload_digest"], len(row["payload"]), row["payload"], None))
+                record = _record("response", page, _safe_url(row["url"], page), date, row["payload_digest"], len(row["payload"]), row["payload"], None)
+                samples += [record[k: k + _LEARNED_PIECE] for k in range(0, len(record), _LEARNED_PIECE)]
         try:
             found = zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=256, d=8).as_bytes() if samples else b""
         except zstandard.ZstdError:
