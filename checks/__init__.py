@@ -1,4 +1,4 @@
 from checks.base import CHECKS
-from checks import reading, analytics, features, models, scenarios, streams  # noqa: F401  (register checks)
+from checks import reading, analytics, features, models, scenarios, streams, ingest  # noqa: F401  (register checks)
 
 __all__ = ["CHECKS"]

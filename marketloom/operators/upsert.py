@@ -42,9 +42,14 @@ def upsert_prices(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def upsert_sources(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """Type and url follow the latest record (by ``updated_at``, where there is one); the id stays.
+
+    ``source_id`` stays NULL for sources not seen before, see ``assign_ids``.
+    """
     tidy = new.withColumns({"source_name": F.trim("source_name"), "source_type": F.trim("source_type")})
     keep = [c for c in ("source_id", "created_at") if c in existing.columns]
-    return upsert(existing, tidy, ["source_name"], ["source_type", "source_url"], keep)
+    order = [c for c in ("updated_at",) if c in new.columns]
+    return upsert(existing, tidy, ["source_name"], [*order, "source_type", "source_url"], keep)
 
 
 def upsert_assets(existing: DataFrame, records: DataFrame, primary_source_id: int | None = None) -> DataFrame:
@@ -81,14 +86,14 @@ def upsert_assets(existing: DataFrame, records: DataFrame, primary_source_id: in
     )
 
 
-def assign_ids(assets: DataFrame) -> DataFrame:
-    """Give assets without an id the next free ids, in ticker order."""
+def assign_ids(rows: DataFrame, id_column: str = "asset_id", key: str = "ticker") -> DataFrame:
+    """Give rows without an id the next free ids, in the order of their key: assets by ticker, sources by name."""
     from marketloom.operators.ranking import dense_row_number
 
-    known = assets.where(F.col("asset_id").isNotNull())
-    fresh = dense_row_number(assets.where(F.col("asset_id").isNull()), ["ticker"], "_rank")
-    top = known.agg(F.coalesce(F.max("asset_id"), F.lit(0))).scalar()
-    return known.unionByName(fresh.withColumn("asset_id", F.col("_rank") + top).drop("_rank"))
+    known = rows.where(F.col(id_column).isNotNull())
+    fresh = dense_row_number(rows.where(F.col(id_column).isNull()), [key], "_rank")
+    top = known.agg(F.coalesce(F.max(id_column), F.lit(0))).scalar()
+    return known.unionByName(fresh.withColumn(id_column, F.col("_rank") + top).drop("_rank").select(*rows.columns))
 
 
 def upsert_news(existing: DataFrame, new: DataFrame) -> DataFrame:
@@ -145,7 +150,7 @@ def normalized_requests(requests: DataFrame) -> DataFrame:
 def ingestion_state(runs: DataFrame) -> DataFrame:
     """Current state per (ticker, provider): a success sets everything, a failure only the attempt."""
     ok = F.col("fetch_status") == "success"
-    rank = F.struct("started_at", "run_id")
+    rank = F.struct("started_at", *(["run_id"] if "run_id" in runs.columns else ["completed_at", "fetch_status"]))
     attempt = F.struct("started_at", "fetch_status", "error_message")
     success = F.struct("started_at", "asset_type", "record_count_fetched", "coverage_start_date", "coverage_end_date")
     state = runs.groupBy("ticker", "provider_name").agg(
@@ -165,6 +170,23 @@ def ingestion_state(runs: DataFrame) -> DataFrame:
     )
 
 
+def merged_state(previous: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Two states of the same log's parts as one: the later attempt, the later success, the first sight of every key.
+
+    Equal to ``ingestion_state`` of the whole log, without reading it again.
+    """
+    both = previous.withColumn("_part", F.lit(0)).unionByName(fresh.withColumn("_part", F.lit(1)))
+    attempt = ["request_timestamp", "fetch_status", "error_message", "updated_at"]
+    success = ["asset_type", "last_successful_fetch_at", "record_count_fetched", "coverage_start_date", "coverage_end_date",
+               "metadata_fetched_at", "prices_fetched_at"]
+    done = F.col("last_successful_fetch_at")
+    merged = both.groupBy("ticker", "provider_name").agg(
+        F.max_by(F.struct(*attempt), F.struct("request_timestamp", "_part")).alias("a"),
+        F.max_by(F.struct(*success), F.when(done.isNotNull(), F.struct(done, F.col("_part")))).alias("s"),
+        F.min("created_at").alias("created_at"))
+    return merged.select("ticker", "provider_name", "created_at", "a.*", "s.*").select(*fresh.columns)
+
+
 def batch_summary(runs: DataFrame) -> DataFrame:
     """Tickers processed, assets loaded and rows written, per provider."""
     ok = F.col("fetch_status") == "success"

@@ -165,6 +165,13 @@ def raw_daily_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linestatus") == "F", net).alias("adj_close"), F.col("l_quantity").alias("volume"))
 
 
+def with_ticker(rows: DataFrame) -> DataFrame:
+    """Raw rows as a vendor sends them: by ticker, spelled carelessly, without an asset id."""
+    key = F.col("asset_id")
+    code = F.when(key == 0, "spy").otherwise(F.concat(F.lit(" s"), F.lpad(key.cast("string"), 6, "0")))
+    return rows.withColumn("ticker", code).drop("asset_id")
+
+
 def raw_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as raw asset records with blank, missing and spelled-out missing values."""
     key = F.col("c_custkey")

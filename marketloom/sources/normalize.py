@@ -10,8 +10,8 @@ from marketloom.functions.columns import (
     blank_to_null, fallback_article_id, finite, lexical_score, published_time, sentiment_label)
 
 
-def normalize_bars(raw: DataFrame) -> DataFrame:
-    """Zone-stripped date, six-decimal prices, whole volume; rows without a close are dropped.
+def parse_bars(raw: DataFrame) -> DataFrame:
+    """Zone-stripped date, six-decimal prices, whole volume; what cannot be read is NULL, every row stays.
 
     ``raw``: keys, ``date`` text, ``open high low close adj_close volume`` doubles.
     """
@@ -25,7 +25,12 @@ def normalize_bars(raw: DataFrame) -> DataFrame:
         price("open").alias("open_price"), price("high").alias("high_price"), price("low").alias("low_price"),
         price("close").alias("close_price"), price("adj_close").alias("adjusted_close"),
         finite(F.col("volume").cast("double")).try_cast("long").alias("volume"),
-    ).dropna(subset=["close_price"])
+    )
+
+
+def normalize_bars(raw: DataFrame) -> DataFrame:
+    """``parse_bars`` without the rows that have no close."""
+    return parse_bars(raw).dropna(subset=["close_price"])
 
 
 def normalize_metadata(raw: DataFrame) -> DataFrame:
@@ -65,8 +70,8 @@ def _text(c):
     return F.nullif(F.trim(c), F.lit(""))
 
 
-def normalize_feed(raw: DataFrame, shape: str, payload: str = "payload", **lexicon) -> DataFrame:
-    """One feed shape to the article schema; rows without headline, url or time are dropped."""
+def normalize_feed(raw: DataFrame, shape: str, payload: str = "payload", keep_unusable: bool = False, **lexicon) -> DataFrame:
+    """One feed shape to the article schema; rows without headline, url or time are dropped, or kept if asked."""
     fields = FEED_SHAPES[shape]
     schema = _FLAT if shape == "flat" else _NESTED
     keys = [c for c in raw.columns if c != payload]
@@ -80,7 +85,8 @@ def normalize_feed(raw: DataFrame, shape: str, payload: str = "payload", **lexic
         *keys, pick(fields["headline"]).alias("headline"), pick(fields["summary"]).alias("summary"),
         _text(F.col("j.url")).alias("url"), published_time(pick(fields["time"])).alias("published_at"),
         _text(publisher).alias("publisher_name"), pick(fields["id"]).alias("raw_id"))
-    usable = parsed.where(F.col("headline").isNotNull() & F.col("url").isNotNull() & F.col("published_at").isNotNull())
+    usable = parsed if keep_unusable else parsed.where(
+        F.col("headline").isNotNull() & F.col("url").isNotNull() & F.col("published_at").isNotNull())
     scored = usable.withColumn("sentiment_score", lexical_score(F.concat_ws(" ", "headline", "summary"), **lexicon))
     return scored.select(
         *keys, "headline", "summary", "url", "published_at", "publisher_name",
@@ -89,7 +95,7 @@ def normalize_feed(raw: DataFrame, shape: str, payload: str = "payload", **lexic
         "sentiment_score", sentiment_label(F.col("sentiment_score")).alias("sentiment_label"))
 
 
-def normalize_feeds(raw: DataFrame, shape_column: str = "shape", payload: str = "payload", **lexicon) -> DataFrame:
+def normalize_feeds(raw: DataFrame, shape_column: str = "shape", payload: str = "payload", keep_unusable: bool = False, **lexicon) -> DataFrame:
     """A table holding all feed shapes: each is normalized on its own, the results are unioned by name."""
-    parts = [normalize_feed(raw.where(F.col(shape_column) == s), s, payload, **lexicon) for s in FEED_SHAPES]
+    parts = [normalize_feed(raw.where(F.col(shape_column) == s), s, payload, keep_unusable, **lexicon) for s in FEED_SHAPES]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

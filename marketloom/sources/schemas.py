@@ -82,6 +82,16 @@ INGESTION_RUN_LOGS = _struct(
     ("coverage_end_date", T.DateType(), True),
 )
 
+# Rows that an ingest batch turned away, as they came, with the reason.
+REJECTED_ROWS = _struct(
+    ("table_name", T.StringType(), False),
+    ("provider_name", T.StringType(), False),
+    ("ticker", T.StringType(), True),
+    ("reason", T.StringType(), False),
+    ("row_json", T.StringType(), True),
+    ("rejected_at", T.TimestampType(), False),
+)
+
 NEWS_ARTICLES = _struct(
     ("asset_id", T.LongType(), False),
     ("source_id", T.LongType(), False),
@@ -185,6 +195,7 @@ TABLES = {
     "historical_prices": (HISTORICAL_PRICES, ["asset_id", "source_id", "price_date"]),
     "market_data_ingestion_state": (INGESTION_STATE, ["ticker", "provider_name"]),
     "ingestion_run_logs": (INGESTION_RUN_LOGS, []),
+    "rejected_rows": (REJECTED_ROWS, []),
     "news_articles": (NEWS_ARTICLES, ["asset_id", "source_id", "url"]),
     "technical_features": (TECHNICAL_FEATURES, ["asset_id", "feature_date"]),
     "sentiment_features": (SENTIMENT_FEATURES, ["asset_id", "feature_date"]),

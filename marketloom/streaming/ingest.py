@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import hashlib
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from marketloom.operators.upsert import ingestion_state, latest_per_key, split_known
+from marketloom.plans.ingest_run import Provider, ingest_market_batch
 from marketloom.sources.lake import LakeTable
 
 
+def _writer(checkpoint: str) -> str:
+    return "stream-" + hashlib.sha1(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
+
 def _into(table: LakeTable, checkpoint: str):
     """Write each micro-batch as one batch folder. Batch numbers start anew with every checkpoint, so the checkpoint names the
     writer: a replayed batch overwrites itself and nothing else."""
-    own = table.written_by("stream-" + hashlib.sha1(checkpoint.rstrip("/").encode()).hexdigest()[:16])
+    own = table.written_by(_writer(checkpoint))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         own.write_batch(batch, batch_id)
@@ -43,6 +49,15 @@ def ingest_news(articles: DataFrame, table: LakeTable, checkpoint: str, assets:
             .trigger(availableNow=True).start())
 
 
+def ingest_raw_bars(raw: DataFrame, root: str, provider: Provider, checkpoint: str) -> StreamingQuery:
+    """Every micro-batch of raw vendor rows through the whole ingest job: stored or rejected, logged, state updated."""
+    writer = _writer(checkpoint)
+
+    def load(batch: DataFrame, batch_id: int) -> None:
+        ingest_market_batch(batch.sparkSession, root, batch, provider, datetime.now(timezone.utc), batch_id=batch_id, writer=writer)
+    return raw.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def daily_sentiment_stream(articles: DataFrame, delay: str = "2 days") -> DataFrame:
     """Daily sentiment per asset on event time; a day is emitted once the watermark has passed it."""
     label = F.lower("sentiment_label")
