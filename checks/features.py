@@ -12,7 +12,8 @@ from marketloom.functions import columns as fc
 from marketloom.operators import reads, technical
 from marketloom.operators.sentiment import sentiment_features
 from marketloom.operators.technical import technical_features
-from marketloom.plans import feature_store, model_frame as mf, score
+from marketloom.plans import feature_store, marts, model_frame as mf, score
+from marketloom.session import scratch_path
 from marketloom.sources import demo_universe as u
 from marketloom.sources.schemas import NEGATIVE_TARGET, RETURN_TARGET, TECHNICAL_COLUMNS
 
@@ -251,10 +252,13 @@ select * exclude (rn) from (
 """
 
 
-def latest(spark, sf):
-    frames = feature_store.feature_store_frames(market(spark, sf), articles(spark, sf))
-    return reads.latest_prediction(predictions(spark, sf), u.assets(spark, sf), u.model_runs(spark, sf),
-                                   frames["technical_features"], frames["sentiment_features"])
+def latest(spark, sf, changed=lambda stored: stored):
+    """Features are stored once; the model frame behind the predictions and the snapshot's columns read the stored tables."""
+    store = feature_store.refresh_feature_store(spark, scratch_path(spark, "store"), market(spark, sf), articles(spark, sf), 0)
+    frame = reads.training_frame(store["technical_features"], store["sentiment_features"], u.assets(spark, sf))
+    stored = changed(u.stored_predictions(mf.model_frame(frame)))
+    return reads.latest_prediction(stored, u.assets(spark, sf), u.model_runs(spark, sf),
+                                   store["technical_features"], store["sentiment_features"])
 
 
 @check("q09_latest_prediction", f"""
@@ -319,6 +323,50 @@ def _(spark, sf):
     return assets_needing_forecast(u.assets(spark, sf), predictions(spark, sf)).select("asset_id", "ticker")
 
 
+BLOCKS["x_gappy"] = """
+select * replace (case when day(as_of_date) % 3 <> 0 then sentiment_score end as sentiment_score,
+  case when day(as_of_date) % 4 <> 1 then composite_ml_score end as composite_ml_score,
+  case when day(as_of_date) % 4 <> 1 then directional_signal end as directional_signal,
+  case when day(as_of_date) % 5 <> 2 then confidence_score end as confidence_score,
+  case when day(as_of_date) % 11 <> 7 then predicted_return_20d end as predicted_return_20d)
+from x_prediction where asset_id in (select asset_id from x_asset where is_active)
+"""
+
+
+@check("q14_assets_needing_forecast_gaps", """
+select asset_id, ticker from x_asset where asset_id not in (
+  select asset_id from (select *, row_number() over (partition by asset_id order by as_of_date desc) as rn from x_gappy)
+  where rn = 1 and composite_ml_score is not null and confidence_score is not null and history_score is not null
+    and risk_score is not null and sentiment_score is not null and directional_signal is not null)""")
+def _(spark, sf):
+    from marketloom.plans.forecast_run import assets_needing_forecast
+    stored = u.with_gaps(predictions(spark, sf), u.assets(spark, sf))
+    return assets_needing_forecast(u.assets(spark, sf), stored).select("asset_id", "ticker")
+
+
+@check("f11_parsed_explanations", """
+select asset_id, as_of_date, place::int as place, feature, contribution, abs(contribution) as absolute_contribution from (
+  select asset_id, as_of_date, 0 as place, 'history' as feature, history_contribution as contribution from x_prediction union all
+  select asset_id, as_of_date, 1, 'risk', risk_contribution from x_prediction union all
+  select asset_id, as_of_date, 2, 'sentiment', sentiment_contribution from x_prediction)
+where day(as_of_date) % 7 not in (3, 4)""", rounds="contribution absolute_contribution")
+def _(spark, sf):
+    parsed = marts.parsed_explanations(u.with_explanations(predictions(spark, sf)))
+    rows = parsed.select("asset_id", "as_of_date", F.posexplode("top_features").alias("place", "t"))
+    return rows.select("asset_id", "as_of_date", "place", "t.feature", "t.contribution", "t.absolute_contribution")
+
+
+@check("q15_feature_counts", f"""
+select unnest([{', '.join(f"'{c}'" for c in mf.MODEL_FEATURES)}]) as feature,
+  unnest([{', '.join(f"count({c})" for c in mf.MODEL_FEATURES)}]) as n from x_model""")
+def _(spark, sf):
+    """Rows that have a value, for every numeric column that the frame offers as a feature of the models."""
+    frame = model_rows(spark, sf)
+    names = [c for c in reads.feature_columns(frame) if c in mf.MODEL_FEATURES]
+    counts = frame.agg(*[F.count(c).alias(c) for c in names])
+    return counts.unpivot([], names, "feature", "n")
+
+
 @check("w24_feature_drivers", "select * from (" + """
 with slots as (""" + "\nunion all ".join(
     f"select asset_id, {i} as place, '{c}' as feature, '{l}' as label, arg_max({c}::double, feature_date) as plain, "

@@ -365,6 +365,58 @@ def _(spark, sf):
     return marts.commentary(briefing(spark, sf)).select("asset_id", "executive_text", "performance_text", "risk_text")
 
 
+@check("b02_news_and_signal_texts", """
+select asset_id,
+  case when article_count is null then 'No stored news.' else article_count::varchar || ' recent articles, tone '
+    || case when average_sentiment >= 0.2 then 'constructive' when average_sentiment <= -0.2 then 'cautious' else 'mixed' end
+    || ', mean score ' || printf('%.2f', average_sentiment) || '; positive ' || positive_count::varchar || ', neutral '
+    || neutral_count::varchar || ', negative ' || negative_count::varchar || '.' end as sentiment_text,
+  case when composite_ml_score is null then 'No stored model signal.' else 'Composite score ' || printf('%.2f', composite_ml_score)
+    || ' (' || lower(directional_signal) || '). Expected 20-day return ' || printf('%.2f%%', 100 * least(greatest(predicted_return_20d, -0.6), 0.6))
+    || ', chance of a gain ' || printf('%.2f%%', 100 * probability_positive_20d) || '. Pillars: history ' || printf('%.2f', history_score)
+    || ', risk ' || printf('%.2f', risk_score) || ', sentiment ' || printf('%.2f', sentiment_score) || '.' end as signal_text
+from x_kpi join x_asset using (asset_id) left join x_news using (asset_id) left join x_latest p using (asset_id)""")
+def _(spark, sf):
+    return marts.commentary(briefing(spark, sf)).select("asset_id", "sentiment_text", "signal_text")
+
+
+BLOCKS["x_gappy_latest"] = """
+select p.*, article_count_7d, source_count_7d from (
+  select *, row_number() over (partition by asset_id order by as_of_date desc, prediction_generated_at desc) as rn from x_gappy) p
+left join x_sent s on s.asset_id = p.asset_id and s.feature_date = as_of_date where rn = 1
+"""
+
+
+@check("b03_signal_overview", f"""
+select a.asset_id, a.ticker, p.asset_id is not null as available, case when p.asset_id is not null then coalesce(directional_signal, 'Neutral') end as regime_label,
+  case when p.asset_id is not null and composite_ml_score is null then '{marts._INCOMPLETE["composite_ml_score"]}' end as composite_ml_score_reason,
+  case when p.asset_id is not null and confidence_score is null then '{marts._INCOMPLETE["confidence_score"]}' end as confidence_score_reason,
+  case when p.asset_id is not null and sentiment_score is null then 'sentiment pillar missing in the stored signal'
+       when p.asset_id is not null and coalesce(article_count_7d, 0) = 0 and coalesce(source_count_7d, 0) = 0 then '{marts.NEUTRAL_SENTIMENT}' end
+    as sentiment_score_reason,
+  case when p.asset_id is not null and day(as_of_date) % 7 in (3, 4) then 0 when p.asset_id is not null then 3 end::int as top_features,
+  case when p.asset_id is null then '{marts.NO_SIGNAL}' else
+    case when composite_ml_score is null then 'Composite score unavailable.'
+         else 'Composite score ' || printf('%.1f', composite_ml_score) || ', signal ' || lower(directional_signal) || '.' end
+    || case when predicted_return_20d is null then ' Return or probability unavailable.'
+            else ' Expected 20-day return ' || printf('%.2f%%', 100 * least(greatest(predicted_return_20d, -0.6), 0.6)) || ', chance of a gain '
+                 || printf('%.2f%%', 100 * probability_positive_20d) || '.' end
+    || case when confidence_score is null then ' Confidence unavailable.' else ' Confidence ' || printf('%.0f%%', 100 * confidence_score) || '.' end
+    || ' Chance of a loss ' || printf('%.2f%%', 100 * downside_probability_20d) || ': '
+    || case when downside_probability_20d >= 0.60 then 'elevated downside risk' when downside_probability_20d <= 0.40
+         then 'contained downside risk' else 'mixed downside risk' end || '.'
+    || case when sentiment_score is null then ' Notes: sentiment pillar missing in the stored signal.'
+            when coalesce(article_count_7d, 0) = 0 and coalesce(source_count_7d, 0) = 0 then ' Notes: {marts.NEUTRAL_SENTIMENT}.' else '' end
+    || case when sentiment_score is null then ' Pillar scores are incomplete, see the notes.' else ' Pillars: history ' || printf('%.2f', history_score)
+         || ', risk ' || printf('%.2f', risk_score) || ', sentiment ' || printf('%.2f', sentiment_score) || '.' end end as interpretation
+from x_asset a left join x_gappy_latest p on p.asset_id = a.asset_id""")
+def _(spark, sf):
+    rows = latest(spark, sf, lambda stored: u.with_explanations(u.with_gaps(stored, u.assets(spark, sf))))
+    return marts.signal_overview(rows, u.assets(spark, sf)).select(
+        "asset_id", "ticker", "available", "regime_label", "composite_ml_score_reason", "confidence_score_reason", "sentiment_score_reason",
+        F.when(F.col("available"), F.size("top_features")).alias("top_features"), "interpretation")
+
+
 @check("b03_signal_summary", f"""
 select asset_id, least(greatest(predicted_return_20d, -0.6), 0.6) as predicted_return_20d, directional_signal,
   case when history_score is null then 'history pillar missing in the stored signal' end as history_score_reason,

@@ -134,6 +134,43 @@ def signal_summary(latest: DataFrame) -> DataFrame:
         "partial_inputs": notes, "interpretation": text})
 
 
+# Schemas of the lists that a prediction stores as JSON.
+EXPLANATIONS = {
+    "pillar_weights_json": "array<struct<pillar:string,weight:double>>",
+    "feature_importance_json": "array<struct<feature:string,importance:double>>",
+    "top_features_json": "array<struct<feature:string,standardized_value:double,coefficient:double,contribution:double,"
+                         "absolute_contribution:double>>",
+}
+NO_SIGNAL = "No stored model signal for this asset."
+_INCOMPLETE = {"composite_ml_score": "composite score missing: the scoring was incomplete",
+               "confidence_score": "confidence missing: the scoring was incomplete"}
+
+
+def parsed_explanations(stored: DataFrame) -> DataFrame:
+    """Adds each stored JSON list as an array; a missing or unreadable list is empty."""
+    return stored.withColumns({n.removesuffix("_json"): F.coalesce(F.from_json(n, s), F.array().cast(s))
+                               for n, s in EXPLANATIONS.items() if n in stored.columns})
+
+
+def signal_overview(latest: DataFrame, assets: DataFrame) -> DataFrame:
+    """One row per asset, also without a stored signal: the summary, every reason, the pillars in words and the parsed lists."""
+    c = F.col
+    pillars = [c(f"{n}_score") for n in ("history", "risk", "sentiment")]
+    known = pillars[0].isNotNull() & pillars[1].isNotNull() & pillars[2].isNotNull()
+    base = signal_summary(parsed_explanations(latest)).drop("ticker")
+    base = base.withColumns({
+        **{f"{n}_reason": F.when(c(n).isNull(), text) for n, text in _INCOMPLETE.items()},
+        "pillar_text": F.when(known, _sentence(
+            "Pillars: history ", number_text(pillars[0]), ", risk ", number_text(pillars[1]), ", sentiment ", number_text(pillars[2]), "."))
+        .otherwise("Pillar scores are incomplete, see the notes.")})
+    rows = assets.select("asset_id", "ticker").join(base, "asset_id", "left")
+    available = c("as_of_date").isNotNull()
+    return rows.withColumns({
+        "available": available,
+        "regime_label": c("directional_signal"),
+        "interpretation": F.when(available, F.concat_ws(" ", "interpretation", "pillar_text")).otherwise(NO_SIGNAL)})
+
+
 def pillar_contribution_rows(summary: DataFrame) -> DataFrame:
     """Chart rows: one per asset and pillar."""
     structs = F.array(*[F.struct(F.lit(p.title()).alias("pillar"), F.col(f"{p}_contribution").alias("contribution"))

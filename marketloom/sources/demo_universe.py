@@ -262,6 +262,25 @@ def stored_predictions(model_rows: DataFrame) -> DataFrame:
         F.timestamp_add("DAY", F.lit(1), F.col("feature_date").cast("timestamp")).alias("prediction_generated_at"))
 
 
+def with_gaps(stored: DataFrame, assets: DataFrame) -> DataFrame:
+    """Predictions of active assets alone, some of them incomplete: parts are missing on some days of the month."""
+    day = F.dayofmonth("as_of_date")
+
+    def unless(missing, *columns):
+        return {c: F.when(~missing, F.col(c)) for c in columns}
+    return stored.join(assets.where("is_active").select("asset_id"), "asset_id", "left_semi").withColumns({
+        **unless(day % 3 == 0, "sentiment_score"), **unless(day % 4 == 1, "composite_ml_score", "directional_signal"),
+        **unless(day % 5 == 2, "confidence_score"), **unless(day % 11 == 7, "predicted_return_20d")})
+
+
+def with_explanations(stored: DataFrame) -> DataFrame:
+    """Predictions with their pillars' contributions as a JSON list, unreadable or missing on some days of the month."""
+    day = F.dayofmonth("as_of_date")
+    pairs = F.array(*[F.struct(F.lit(p).alias("feature"), F.col(f"{p}_contribution").alias("contribution"),
+                               F.abs(F.col(f"{p}_contribution")).alias("absolute_contribution")) for p in ("history", "risk", "sentiment")])
+    return stored.withColumn("top_features_json", F.when(day % 7 == 3, "[{not json").when(day % 7 != 4, F.to_json(pairs)))
+
+
 def model_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     years = read(spark, sf_dir, "lineitem", "l_shipdate").select(F.year("l_shipdate").alias("y")).distinct()
     y = F.col("y").cast("string")
