@@ -13,7 +13,6 @@ from marketloom.operators import reads, technical
 from marketloom.operators.sentiment import sentiment_features
 from marketloom.operators.technical import technical_features
 from marketloom.plans import feature_store, marts, model_frame as mf, score
-from marketloom.session import scratch_path
 from marketloom.sources import demo_universe as u
 from marketloom.sources.schemas import NEGATIVE_TARGET, RETURN_TARGET, TECHNICAL_COLUMNS
 
@@ -253,12 +252,9 @@ select * exclude (rn) from (
 
 
 def latest(spark, sf, changed=lambda stored: stored):
-    """Features are stored once; the model frame behind the predictions and the snapshot's columns read the stored tables."""
-    store = feature_store.refresh_feature_store(spark, scratch_path(spark, "store"), market(spark, sf), articles(spark, sf), 0)
-    frame = reads.training_frame(store["technical_features"], store["sentiment_features"], u.assets(spark, sf))
-    stored = changed(u.stored_predictions(mf.model_frame(frame)))
-    return reads.latest_prediction(stored, u.assets(spark, sf), u.model_runs(spark, sf),
-                                   store["technical_features"], store["sentiment_features"])
+    frames = feature_store.feature_store_frames(market(spark, sf), articles(spark, sf))
+    return reads.latest_prediction(changed(predictions(spark, sf)), u.assets(spark, sf), u.model_runs(spark, sf),
+                                   frames["technical_features"], frames["sentiment_features"])
 
 
 @check("q09_latest_prediction", f"""
