@@ -78,9 +78,10 @@ def _fit(batches: Iterator[pa.RecordBatch], epochs: int) -> Iterator[pa.RecordBa
         return
     parts.sort(key=lambda p: p[2])
     held, count = np.unique(np.concatenate([p[1] for p in parts]), return_counts=True)
-    held = held[count >= 3]  # rarer grams can't reach the L1 bound
+    l1 = 0.12 * np.sqrt(len(parts))  # the gradient of a gram without meaning grows like this root
+    held = held[count * epochs > l1]  # a gradient is below 1 and without weight only gradients add up: rarer grams stay at zero
     docs = [(label, np.searchsorted(held, grams[np.isin(grams, held, assume_unique=True)])) for label, grams, _ in parts]
-    model = Ftrl(len(held), l1=0.12 * np.sqrt(len(docs)))  # the gradient of a gram without meaning grows like this root
+    model = Ftrl(len(held), l1=l1)
     for _ in range(epochs):
         for label, at in docs:
             model.learn(at, label)
