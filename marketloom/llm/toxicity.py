@@ -80,7 +80,10 @@ def _fit(batches: Iterator[pa.RecordBatch], epochs: int) -> Iterator[pa.RecordBa
     held, count = np.unique(np.concatenate([p[1] for p in parts]), return_counts=True)
     l1 = 0.12 * np.sqrt(len(parts))  # the gradient of a gram without meaning grows like this root
     held = held[count * epochs > l1]  # a gradient is below 1 and without weight only gradients add up: rarer grams stay at zero
-    docs = [(label, np.searchsorted(held, grams[np.isin(grams, held, assume_unique=True)])) for label, grams, _ in parts]
+    docs = []
+    for label, grams, _ in parts:
+        at = np.searchsorted(held, grams)
+        docs.append((label, at[held[np.minimum(at, max(len(held) - 1, 0))] == grams] if len(held) else at[:0]))
     model = Ftrl(len(held), l1=l1)
     for _ in range(epochs):
         for label, at in docs:
