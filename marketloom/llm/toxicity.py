@@ -122,6 +122,7 @@ class ToxicityModel:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, epochs: int = 8) -> ToxicityModel:
     """Fit on about ``sample_rows`` labelled documents of each label, drawn by a hash of doc_id; scores are for an even prior.
 
+    The drawn ids, about twice ``sample_rows`` of them whatever the input, are sent to the tasks: texts are not shuffled to be drawn.
     Rows with a null id, label or text are not used; of equal texts under one label one is used. Without both labels the score
     is constant. Features are built by the tasks; one task fits the bounded sample; its non-zero weights come back.
     """
@@ -130,7 +131,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     rate = {k: min(1.0, sample_rows / n) for k, n in counts.items()}
     bar = F.when(F.col("toxic") == 1, int(rate.get(1, 0) * (1 << 30))).otherwise(int(rate.get(0, 0) * (1 << 30)))
-    rows = docs.where("text is not null").select("doc_id", text_bytes().alias("text")).join(known.where(place < bar), "doc_id")
+    rows = docs.where("text is not null").select("doc_id", text_bytes().alias("text")).join(F.broadcast(known.where(place < bar)), "doc_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
