@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from marketloom.llm import jaccard
+from marketloom.llm.simhash import RADIUS, fingerprint
 
 
 def shingles(text, words=5):
@@ -62,3 +63,14 @@ def test_rows_without_ids_and_repeated_rows(spark, awkward, no_docs):
     assert len(rows) == awkward.count() and {r.component_id for r in rows if r.doc_id in (1, 6)} == {1}
     assert {r.component_id for r in rows if r.doc_id is None} == {None} and jaccard.near_duplicates(no_docs).count() == 0
     assert jaccard.near_duplicates(awkward.where(F.col("doc_id").isNotNull())).where("doc_id = 3").first().component_id == 2
+
+
+def test_links_of_the_index_do_not_need_a_band(spark, copies, monkeypatch):
+    monkeypatch.setattr(jaccard, "band_count", lambda similarity: 1)  # one band of six bytes misses many pairs
+    texts = {i: t for i, t in copies.items() if t and len(t.split()) > 5}
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    fps, sets = {i: fingerprint(t.encode()) for i, t in texts.items()}, {i: shingles(t) for i, t in texts.items()}
+    near = [(a, b) for a in texts for b in texts if a < b and (fps[a] ^ fps[b]).bit_count() <= RADIUS and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(near) >= 10 and all(got[a] == got[b] for a, b in near)
+    want = brute(texts)
+    assert all(want[i] == want[c] for i, c in got.items())
