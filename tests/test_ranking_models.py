@@ -173,6 +173,32 @@ def test_importance_finds_the_informative_feature(spark):
     assert got["a"] > 1 > got["b"] >= 0
 
 
+@pytest.mark.parametrize("settings", [{}, {"numTrees": 3, "maxDepth": 10, "minInstancesPerNode": 1}])
+def test_forest_importance_equals_transforms(spark, settings):
+    """A forest is scored from its splits in one pass, as its transform scores it; trees of more than a word of leaves go through the transform."""
+    rng = np.random.default_rng(3)
+    n, names = 500, ["a", "b", "c", "flat"]
+    pdf = pd.DataFrame({**{c: rng.normal(size=n) for c in "abc"}, "flat": 1.0, "asset_id": np.arange(n), "feature_date": dt.date(2024, 1, 1)})
+    pdf["label"] = np.sin(3 * pdf.a) + pdf.b * pdf.c
+    df = train.with_vector(spark.createDataFrame(pdf), names)
+    model = train.fit_forest_regressor(df, **settings)
+    found = interpret.permutation_importance(model, df, names)
+    trees = interpret.forest_table(model)
+    assert (trees is None) == bool(settings) and ("MapInArrow" in found._jdf.queryExecution().executedPlan().toString()) == (trees is not None)
+    got = {r.feature: r.importance for r in found.collect()}
+    rows = interpret.with_donor(df).select("label", vector_to_array("features").alias("x"), vector_to_array("donor").alias("d")).collect()
+    x, d, y = (np.array([r[k] for r in rows]) for k in ("x", "d", "label"))
+
+    def rmse(z):
+        p = model.transform(train.with_vector(spark.createDataFrame(pd.DataFrame(z, columns=names).assign(y=y)), names)).select("y", "prediction").toPandas()
+        return np.sqrt(((p.y - p.prediction) ** 2).mean())
+    for j, name in enumerate(names):
+        z = x.copy()
+        z[:, j] = d[:, j]
+        assert got[name] == pytest.approx(max(rmse(z) - rmse(x), 0), abs=1e-12)
+    assert got["a"] > 0 and got["flat"] == 0
+
+
 def test_pillar_shares():
     shares = {r["pillar"]: r["weight"] for r in interpret.pillar_shares({"momentum_5d": -3.0, "risk_score": 1.0, "volume": 9.0}, "weight")}
     assert shares == {"history": 0.75, "risk": 0.25, "sentiment": 0.0}
