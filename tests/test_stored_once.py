@@ -32,3 +32,25 @@ def test_merge_deletes_its_copy(spark):
         assert table.merge(spark.createDataFrame(rows, "asset_id long, ticker string, feature_date date, daily_return double, feature_version string")) == ["2024-01"]
     assert copies() == before
     assert [(r.asset_id, r.feature_version) for r in table.current().orderBy("asset_id").collect()] == [(None, "v2"), (1, "v2")]
+
+
+def test_ticks_are_shuffled_once(spark, tmp_path):
+    """Bars and the windows over them share the one exchange of the ticks; a bar is the same sum however its ticks are dealt."""
+    import datetime as dt
+
+    from marketloom.operators.technical import technical_features
+    from marketloom.sources import demo_universe as u
+    day = dt.datetime(2000, 1, 3)
+    rows = [(a, day + dt.timedelta(days=i // 2), 10.0 + i, float(1 + i % 3), "F") for a in (1, 2, None) for i in range(60)]
+    spark.createDataFrame(rows, "l_suppkey long, l_shipdate timestamp, l_extendedprice double, l_quantity double, l_linestatus string").repartition(
+        5).write.parquet(f"{tmp_path}/lineitem.parquet")
+    bars = u.bars(spark, str(tmp_path))
+    plan = technical_features(bars)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    got = {(r.asset_id, r.price_date): r for r in bars.collect()}
+    assert len(got) == 90
+    for i in range(0, 60, 2):
+        r = got[2, (day + dt.timedelta(days=i // 2)).date()]
+        prices = [(10.0 + k) / (1 + k % 3) for k in (i, i + 1)]
+        assert (r.high_price, r.low_price, r.volume) == (max(prices), min(prices), 2 + i % 3 + (i + 1) % 3)
+        assert r.close_price == (21.0 + 2 * i) / r.volume
