@@ -3,6 +3,8 @@
 import datetime as dt
 import glob
 
+import pytest
+
 import checks.models as queries
 from marketloom.plans import train
 from marketloom.session import scratch_path, shared_folder
@@ -34,6 +36,20 @@ def test_merge_deletes_its_copy(spark):
     assert [(r.asset_id, r.feature_version) for r in table.current().orderBy("asset_id").collect()] == [(None, "v2"), (1, "v2")]
 
 
+def test_merge_copies_nothing(spark, monkeypatch):
+    table = MonthlyTable(spark, scratch_path(spark, "m"), "technical_features", ["feature_version"])
+
+    def rows(*found):
+        return spark.createDataFrame([(a, "A", dt.date(2024, m, 2), x, v) for a, m, x, v in found],
+                                     "asset_id long, ticker string, feature_date date, daily_return double, feature_version string")
+    table.merge(rows((1, 1, 0.5, "v1"), (2, 1, 0.5, "v1"), (1, 2, 0.5, "v1")))
+    monkeypatch.setattr("marketloom.session.scratch_path", lambda *_: pytest.fail("a copy is written"))
+    assert table.merge(rows((1, 1, 0.7, "v2"), (3, 1, 0.7, "v2"))) == ["2024-01"]
+    got = {(r.asset_id, r.feature_date.month): (r.daily_return, r.feature_version) for r in table.current().collect()}
+    assert got == {(1, 1): (0.7, "v2"), (2, 1): (0.5, "v1"), (3, 1): (0.7, "v2"), (1, 2): (0.5, "v1")}
+    assert not glob.glob(f"{table.path}/.spark-staging*")
+
+
 def test_ticks_are_shuffled_once(spark, tmp_path):
     """Bars and the windows over them share the one exchange of the ticks; a bar is the same sum however its ticks are dealt."""
     import datetime as dt
