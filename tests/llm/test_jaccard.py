@@ -74,3 +74,14 @@ def test_links_of_the_index_do_not_need_a_band(spark, copies, monkeypatch):
     assert len(near) >= 10 and all(got[a] == got[b] for a, b in near)
     want = brute(texts)
     assert all(want[i] == want[c] for i, c in got.items())
+
+
+def test_rows_without_ids_are_compared_too(spark):
+    words = [f"w{k}" for k in range(100)]
+    near, other = " ".join(["new", *words[1:]]), " ".join(f"x{k}" for k in range(50))
+    docs = spark.createDataFrame([(7, " ".join(words), 1), (None, near, 2), (None, other, 3), (None, other.upper(), 4), (None, "one of its kind", 5),
+                                  (9, " ".join(words), 6), (9, "another text", 7), (9, "another text", 8)], "doc_id long, text string, _own int")
+    left = corpus_pipeline.near_dedup(spark, docs, "")
+    got = {(r.doc_id, r._own) for r in left.collect()}
+    assert left.columns == docs.columns and (7, 1) in got and (None, 5) in got and len(got & {(None, 3), (None, 4)}) == 1
+    assert (None, 2) not in got and not got & {(9, 6), (9, 7), (9, 8)}
