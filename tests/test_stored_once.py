@@ -4,8 +4,10 @@ import datetime as dt
 import glob
 
 import pytest
+from pyspark import StorageLevel
 
 import checks.models as queries
+from marketloom import session
 from marketloom.plans import train
 from marketloom.session import scratch_path, shared_folder
 from marketloom.sources.monthly import MonthlyTable
@@ -36,6 +38,23 @@ def test_merge_deletes_its_copy(spark):
     assert [(r.asset_id, r.feature_version) for r in table.current().orderBy("asset_id").collect()] == [(None, "v2"), (1, "v2")]
 
 
+def test_large_input_is_not_stored(spark, tmp_path, monkeypatch):
+    """Frames over much input are made anew per pass; what they are made from counts once, rows without a file do not."""
+    spark.range(1000).withColumnRenamed("id", "a").write.parquet(f"{tmp_path}/t")
+    frame = spark.read.parquet(f"{tmp_path}/t")
+    made = spark.createDataFrame([(1,)], "a long")
+    size = session.input_bytes(frame)
+    assert 0 < size < 100_000 and session.input_bytes(frame.join(frame.groupBy("a").count(), "a").join(made, "a", "left")) == size and session.input_bytes(made) == 0
+    small = session.kept(frame)
+    assert small.storageLevel.useDisk and small.storageLevel.useMemory
+    small.unpersist()
+    monkeypatch.setattr(session, "STORED_INPUT_BYTES", size - 1)
+    assert session.kept(frame).storageLevel == StorageLevel.NONE and session.kept(made).storageLevel.useMemory
+    raw = spark.read.parquet(f"{tmp_path}/t")
+    monkeypatch.setattr(queries, "model_rows", lambda spark, sf: raw)
+    assert queries.imputed(spark, "", ["a"]).count() == 1000 and raw.storageLevel == StorageLevel.NONE
+
+
 def test_merge_copies_nothing(spark, monkeypatch):
     table = MonthlyTable(spark, scratch_path(spark, "m"), "technical_features", ["feature_version"])
 
